@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +23,16 @@ from pyspark.sql import functions as F
 
 SEQUENCE, SEGMENTS, END = 2048, 64, 1
 #: Documents that wait at a time, their ids at most, and words whose ids a task keeps.
-WINDOW, WINDOW_IDS, WORDS = 256, 1 << 21, 400_000
+WINDOW, WINDOW_IDS, WORDS = 256, 1 << 21, 1_000_000
 
 
 class WordTokenizer:
-    """Token ids by ``tokenizers``, with the ids of frequent words kept.
+    """Token ids by ``tokenizers``, with the ids of words kept.
 
-    The vocabulary's normaliser and splitter never look across white space, so a text's ids are those of its blank-free
-    parts. New parts are encoded together and told apart by the ids that end a word; where the counts don't agree, one
-    by one.
+    The vocabulary's normaliser composes, makes blanks of white space and lower-cases; its splitter cuts a text into runs
+    of letters, single digits, contractions and runs of other characters, and each is encoded for itself. So a text's ids
+    are those of its parts. New parts are encoded together and told apart by the ids that end a part. Texts in which lower
+    case or white space depend on more than one character are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -45,32 +47,47 @@ class WordTokenizer:
         self.part = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.ids: dict[str, bytes] = {}
 
-    def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isalpha() or w[:-1].isalpha() and not w[-1].isalnum() and w[-1] not in "'<|>"]
-        counts = np.array([1 if w.isalpha() else 2 for w in plain])
-        ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, np.uint32) if plain else np.zeros(0, np.uint32)
-        stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else ids
-        if len(stops) == counts.sum():
-            stop = stops[np.cumsum(counts) - 1] * 4 if len(plain) else []
-            raw, at = ids.astype("<u4").tobytes(), 0
-            for w, e in zip(plain, stop, strict=True):
-                self.ids[w] = raw[at:e]
-                at = e
-        rest = [w for w in words if w not in self.ids]
-        if rest:
-            for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-                self.ids[w] = array("I", e.ids).tobytes()
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        raw = self._encode(" ".join(parts))
+        stops = np.flatnonzero(self.ends[np.frombuffer(raw, np.uint32)]) + 1
+        if len(stops) != len(parts):
+            self.ids.update((p, self._encode(p)) for p in parts)
+            return
+        at = 0
+        for p, e in zip(parts, (4 * stops).tolist(), strict=True):
+            self.ids[p] = raw[at:e]
+            at = e
+
+    def learn(self, words: set[str]) -> None:
+        ids, cut, new = self.ids, {}, set()
+        for w in words:
+            if w.isalpha():
+                new.add(w)
+            elif "<|" in w:
+                ids[w] = self._encode(w)
+            else:
+                cut[w] = parts = (w[:-1], w[-1]) if w[-1] in ".,;:!?" and w[:-1].isalpha() else self.part.findall(w)
+                new.update(p for p in parts if p not in ids)
+        if new:
+            self._learn_parts(list(new))
+        for w, parts in cut.items():
+            ids[w] = b"".join([ids[p] for p in parts])
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        words = (text or "").split()
-        try:
-            return b"".join([self.ids[w] for w in words])
-        except KeyError:
+        text = text or ""
+        if "\u03a3" in text or not text.isascii() and not is_normalized("NFC", text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return self._encode(text)
+        words = text.lower().split()
+        if new := set(words).difference(self.ids):
             if len(self.ids) > WORDS:
                 self.ids.clear()
-            self.learn([w for w in dict.fromkeys(words) if w not in self.ids])
-            return b"".join([self.ids[w] for w in words])
+                new = set(words)
+            self.learn(new)
+        return b"".join(map(self.ids.__getitem__, words))
 
 
 class Packer:
