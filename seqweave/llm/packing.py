@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 from unicodedata import is_normalized
 
 import numpy as np
@@ -90,6 +91,12 @@ class WordTokenizer:
         return b"".join(map(self.ids.__getitem__, words))
 
 
+@cache
+def tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process, so that tasks after the first find their words known."""
+    return WordTokenizer(path)
+
+
 class Packer:
     """Fills sequences from a window of waiting documents."""
 
@@ -168,7 +175,7 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "d
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = WordTokenizer(tokenizer_path)
+        tok = tokenizer(tokenizer_path)
         packer = Packer(TaskContext.get().partitionId() << 40, tokens, segments, losses or tokens, window)
         end = array("I", [END]).tobytes()
         ready: list[tuple] = []
