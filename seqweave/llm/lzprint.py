@@ -43,7 +43,7 @@ def phrases(text: str) -> dict[str, None]:
 
 
 def signature(text: str | None) -> np.ndarray:
-    """``SIZE`` minimum hashes of 32 bits; all ones without phrases."""
+    """The low 16 bits of ``SIZE`` minimum hashes of 32 bits; all ones without phrases."""
     known = phrases(text or "")
     out = np.full(SIZE, 0xFFFFFFFF, np.uint32)
     if known:
@@ -51,7 +51,7 @@ def signature(text: str | None) -> np.ndarray:
         for i in range(0, len(hashes), CHUNK):
             mixed = (hashes[i : i + CHUNK, None] * _A + _B) >> np.uint64(32)
             out = np.minimum(out, mixed.min(axis=0).astype(np.uint32))
-    return out
+    return out.astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -65,23 +65,23 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _pack(sig: np.ndarray) -> str:
-    return sig.astype(">u4").tobytes().hex()
+def _pack(sig: np.ndarray) -> bytes:
+    return sig.astype(">u2").tobytes()
 
 
-def _unpack(sig: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(sig), ">u4")
+def _unpack(sig: bytes) -> np.ndarray:
+    return np.frombuffer(sig, ">u2")
 
 
 def _compare(text: str, sig: np.ndarray, after: str, after_sig: np.ndarray) -> tuple:
     """What is known of a document once the one after it is: edited_sha256, edited_fingerprint, near_edited, near_next."""
     changed = edited(text, after)
     changed_sig = sig if changed == text else signature(changed)
-    return hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), _pack(changed_sig), likeness(sig, changed_sig), likeness(sig, after_sig)
+    return hashlib.sha256(changed.encode("utf-8", "surrogatepass")).digest(), _pack(changed_sig), likeness(sig, changed_sig), likeness(sig, after_sig)
 
 
-SCHEMA = "key string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, part int, text string, head boolean"
-_TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.bool_()]
+SCHEMA = "key string, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, part int, text string, head boolean"
+_TYPES = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.bool_()]
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,4 +147,5 @@ def fingerprint_with_next(docs: DataFrame, text: str = "text", key: str = "doc_i
     lasts = rows.filter("not head and edited_sha256 is null").select("part", *names, "text")
     met = lasts.join(ring, "part").join(heads.withColumnRenamed("part", "next"), "next").select("key", "n_chars", "text", "fingerprint", "after", "after_sig")
     ends = met.mapInArrow(_join_ends, ", ".join(SCHEMA.split(", ")[:7]))
-    return whole.unionByName(ends).select(F.col("key").cast(kind).alias(key), *names[1:])
+    out = whole.unionByName(ends)
+    return out.select(F.col("key").cast(kind).alias(key), *(F.lower(F.hex(c)).alias(c) if t == "binary" else F.col(c) for c, t in out.dtypes[1:]))
