@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 SEQUENCE, SEGMENTS, END = 2048, 64, 1
 #: Documents that wait at a time, their ids at most, and words whose ids a task keeps.
-WINDOW, WINDOW_IDS, WORDS = 256, 1 << 21, 1_000_000
+WINDOW, WINDOW_IDS, WORDS = 256, 1 << 21, 400_000
 
 
 class WordTokenizer:
@@ -77,6 +77,11 @@ class WordTokenizer:
         for w, parts in cut.items():
             ids[w] = b"".join([ids[p] for p in parts])
 
+    def forget(self) -> None:
+        """Keep the shorter words, which come again most often: less than half of all."""
+        cut = sorted(map(len, self.ids))[len(self.ids) // 2]
+        self.ids = {w: i for w, i in self.ids.items() if len(w) < cut}
+
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         text = text or ""
@@ -85,8 +90,8 @@ class WordTokenizer:
         words = text.lower().split()
         if new := set(words).difference(self.ids):
             if len(self.ids) > WORDS:
-                self.ids.clear()
-                new = set(words)
+                self.forget()
+                new = set(words).difference(self.ids)
             self.learn(new)
         return b"".join(map(self.ids.__getitem__, words))
 
