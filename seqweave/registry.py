@@ -1,4 +1,507 @@
-"""Queries over the test tables, one for each operator, and the SQL that says what they return."""
+"""Queries over the test tables, one for each operator, and the SQL that says what they return.
 
-QUERIES: dict = {}
-SQL: dict = {}
+The tables hold no sequences, so texts are read as such: letters map onto bases, blanks go, all else breaks a sequence.
+Rows of ``conversations`` stand in for mate pairs, order lines for placements and paths.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import sequences as S
+from .operators import gaps, kmers, overlaps, reads, superreads, unitigs
+from .plans.storage import dense_ids, materialize
+from .sources import sequences as sources
+
+K = 21
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def _seq_sql(text: str = "text") -> str:
+    return f"translate(regexp_replace(regexp_replace(coalesce({text}, ''), '[ \n]', '', 'g'), '[^A-Za-z]', '-', 'g'), '{_LETTERS}', '{'ACGT' * 13}')"
+
+
+def _rc(e: str) -> str:
+    return f"reverse(translate({e}, 'ACGTacgt', 'TGCAtgca'))"
+
+
+def _kmers_sql(table: str, keys: str, where: str = "") -> str:
+    """CTEs runs_<table> and kmers_<table>(keys, kmer)."""
+    return f"""runs_{table} AS (SELECT {keys}, unnest(string_split({_seq_sql()}, '-')) AS run FROM {table} {where}),
+raw_{table} AS (SELECT {keys}, unnest(list_transform(range(1, length(run) - {K - 2}), lambda i: substr(run, i, {K}))) AS m FROM runs_{table} WHERE length(run) >= {K}),
+kmers_{table} AS (SELECT {keys}, least(m, {_rc('m')}) AS kmer FROM raw_{table})"""
+
+
+COUNTS_SQL = f"{_kmers_sql('documents', 'doc_id')}, counts AS (SELECT kmer, count(*) AS cnt FROM kmers_documents GROUP BY kmer), hist AS (SELECT cnt, count(*) AS n_kmers FROM counts GROUP BY cnt)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def doc_reads(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(doc_id, seq): documents as sequences, dealt over the cores as a file may be one split."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", *more)
+    return docs.repartition(max(spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())).select("doc_id", *more, S.as_sequence(F.col("text")).alias("seq"))
+
+
+def benchmark_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", S.as_sequence(F.col("text")).alias("seq"))
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmers.count_kmers(doc_reads(spark, sf_dir), K)
+
+
+# k-mers ---------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {COUNTS_SQL} SELECT kmer, cnt, least(cnt, 2) AS sat FROM counts")
+def kmer_count_canonical(spark, sf_dir):
+    return _counts(spark, sf_dir).select("kmer", "cnt", kmers.saturated(F.col("cnt")).cast("long").alias("sat"))
+
+
+@query(f"WITH {COUNTS_SQL} SELECT cnt, n_kmers FROM hist")
+def kmer_histogram(spark, sf_dir):
+    return kmers.histogram(_counts(spark, sf_dir))
+
+
+@query(f"""WITH {COUNTS_SQL}, c AS (SELECT sum(cnt * n_kmers) / sum(n_kmers)::DOUBLE AS c FROM hist WHERE cnt > 1),
+x AS (SELECT unnest(range(2, 1000))::DOUBLE AS x)
+SELECT (min(x) + 1)::BIGINT AS cutoff FROM x, c WHERE 0.01 / sqrt(2 * 3.1415927 * x) * pow(0.01 * c / 3 / x, x) * exp(-(0.01 * c / 3) + x) < 1e-6""")
+def kmer_error_cutoff(spark, sf_dir):
+    return kmers.error_cutoff(kmers.histogram(_counts(spark, sf_dir)))
+
+
+@query(f"""WITH {COUNTS_SQL}, r AS (SELECT cnt, sum(n_kmers) OVER (ORDER BY cnt) AS dist, floor(sum(n_kmers) OVER () * 0.98) AS goal FROM hist WHERE cnt > 1)
+SELECT greatest(coalesce(min(cnt), 75), 75)::BIGINT AS threshold FROM r WHERE dist > goal""")
+def kmer_cumulative_threshold(spark, sf_dir):
+    return kmers.cumulative_threshold(kmers.histogram(_counts(spark, sf_dir)))
+
+
+@query(f"WITH {COUNTS_SQL} SELECT count(*) FILTER (cnt > 1) AS genome_size FROM counts")
+def genome_size_estimate(spark, sf_dir):
+    return kmers.genome_size(_counts(spark, sf_dir))
+
+
+_TIER = "CASE lang WHEN 'en' THEN 3 WHEN 'de' THEN 2 WHEN 'fr' THEN 1 ELSE 0 END"
+
+
+@query(f"WITH {_kmers_sql('documents', _TIER + ' AS level').replace(f'SELECT {_TIER} AS level, unnest(list', 'SELECT level, unnest(list').replace(f'SELECT {_TIER} AS level, least', 'SELECT level, least')}, c AS (SELECT level, kmer, count(*) AS cnt FROM kmers_documents GROUP BY ALL HAVING count(*) >= 2) SELECT kmer, max(level)::INT AS level, arg_max(cnt, level) AS cnt FROM c GROUP BY kmer")
+def kmer_tiered_merge(spark, sf_dir):
+    leveled = doc_reads(spark, sf_dir, "lang").withColumn("level", F.expr(_TIER))
+    return kmers.tiered_merge(kmers.count_kmers(leveled, K, "level"))
+
+
+@query(f"WITH {COUNTS_SQL} SELECT sum(least(cnt, 5))::BIGINT AS rows_replayed, count(*) AS distinct_kmers FROM counts")
+def kmer_replay(spark, sf_dir):
+    return kmers.replay(_counts(spark, sf_dir), 5).agg(F.count(F.lit(1)).alias("rows_replayed"), F.count_if(F.col("nth") == 1).alias("distinct_kmers"))
+
+
+_HITS = f"WITH {_kmers_sql('documents', 'doc_id')}, {_kmers_sql('benchmark', 'item_id')}, hit AS (SELECT DISTINCT doc_id FROM kmers_documents WHERE kmer IN (SELECT kmer FROM kmers_benchmark))"
+
+
+@query(f"{_HITS} SELECT doc_id FROM hit")
+def contaminant_semi_join(spark, sf_dir):
+    return kmers.with_contaminant(doc_reads(spark, sf_dir), benchmark_reads(spark, sf_dir), K, "doc_id")
+
+
+@query(f"{_HITS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)")
+def contaminant_anti_join(spark, sf_dir):
+    return kmers.with_contaminant(doc_reads(spark, sf_dir), benchmark_reads(spark, sf_dir), K, "doc_id", "left_anti")
+
+
+# Sequences ------------------------------------------------------------------------------------------------------------
+
+_R = f"WITH r AS (SELECT doc_id, {_seq_sql()} AS seq FROM documents)"
+
+
+@query(f"{_R} SELECT doc_id, {_rc('seq')} AS rc, regexp_replace({_rc('seq')}, '[^ACGTacgt]', 'N', 'g') AS rc_n FROM r")
+def seq_revcomp(spark, sf_dir):
+    return doc_reads(spark, sf_dir).select("doc_id", S.revcomp(F.col("seq")).alias("rc"), S.revcomp(F.col("seq"), "N").alias("rc_n"))
+
+
+@query(f"{_R} SELECT DISTINCT greatest(seq, {_rc('seq')}) AS seq FROM r")
+def seq_canonical_dedup(spark, sf_dir):
+    return doc_reads(spark, sf_dir).select(S.canonical(F.col("seq"), largest=True).alias("seq")).distinct()
+
+
+@query(f"{_R} SELECT doc_id, length(seq) AS len, length(seq) - length(translate(seq, 'GCgc', '')) AS gc FROM r")
+def seq_gc_stats(spark, sf_dir):
+    return doc_reads(spark, sf_dir).select("doc_id", F.length("seq").cast("long").alias("len"), S.gc_count(F.col("seq")).alias("gc"))
+
+
+@query(f"{_R}, a AS (SELECT min(length(seq)) AS s, sum(length(seq) - length(translate(seq, 'GCgc', ''))) / sum(length(seq))::DOUBLE AS gc_ratio FROM r) SELECT greatest(floor(s * CASE WHEN gc_ratio < 0.5 THEN 0.7 WHEN gc_ratio < 0.6 THEN 0.5 ELSE 0.33 END), 31)::BIGINT AS k, gc_ratio FROM a")
+def seq_auto_k(spark, sf_dir):
+    return kmers.auto_k(doc_reads(spark, sf_dir))
+
+
+@query(f"{_R}, w AS (SELECT doc_id, seq, unnest(range(0, greatest(ceil((length(seq) - 2047) / 1550.0), 0)::BIGINT + 1)) * 1550 AS off FROM r) SELECT doc_id, off, substr(seq, off + 1, 2047) AS piece FROM w")
+def seq_windows(spark, sf_dir):
+    return doc_reads(spark, sf_dir).select("doc_id", F.explode(S.windows(F.col("seq"))).alias("w")).select("doc_id", "w.off", "w.piece")
+
+
+@query(f'{_R} SELECT doc_id AS ctg, l AS length, left(seq, l) AS "left", right(seq, l) AS "right" FROM r, (VALUES (100), (500), (1000)) v(l)')
+def seq_end_slices(spark, sf_dir):
+    return gaps.end_slices(doc_reads(spark, sf_dir).withColumnRenamed("doc_id", "ctg"), [100, 500, 1000])
+
+
+@query()
+def tail_trim(spark, sf_dir):
+    return doc_reads(spark, sf_dir).select("doc_id", S.tail_trim_length(F.col("seq")).alias("trimmed_len"))
+
+
+@query(f"{_R}, n AS (SELECT doc_id, seq, row_number() OVER (ORDER BY doc_id) - 1 AS read_no FROM r) SELECT read_no, seq FROM n WHERE NOT regexp_matches(seq, '[^ACGTN]')")
+def rename_interleave(spark, sf_dir):
+    return reads.rename_interleaved(doc_reads(spark, sf_dir), "pe", "doc_id").select("read_no", "seq")
+
+
+# Mates ----------------------------------------------------------------------------------------------------------------
+
+_MATES = 'WITH m AS (SELECT conv_id, turn // 2 AS pair, (turn % 2)::INT AS "end", text AS seq FROM conversations)'
+_INSERT = ["conv_id", "pair"]
+
+
+def _mates(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", F.expr("turn div 2").alias("pair"), (F.col("turn") % 2).cast("int").alias("end"), F.col("text").alias("seq"))
+
+
+@query(f"""{_MATES}, i AS (SELECT DISTINCT conv_id, pair FROM m) SELECT i.conv_id, i.pair, e AS "end", coalesce(min(m.seq), 'N') AS seq FROM i CROSS JOIN (VALUES (0), (1)) v(e) LEFT JOIN m ON m.conv_id = i.conv_id AND m.pair = i.pair AND m."end" = e GROUP BY ALL""")
+def mate_pad_missing(spark, sf_dir):
+    return reads.pad_missing_mates(_mates(spark, sf_dir), _INSERT, "end", "seq")
+
+
+@query(f"""{_MATES}, g AS (SELECT *, count(*) FILTER (length(seq) >= 64) OVER (PARTITION BY conv_id, pair) AS ok FROM m) SELECT conv_id, pair, "end", seq FROM g WHERE ok = 2""")
+def mate_pair_min_length(spark, sf_dir):
+    return reads.both_mates(_mates(spark, sf_dir), _INSERT, F.length("seq") >= 64)
+
+
+_PLACED = _MATES + ', p AS (SELECT conv_id, pair, "end", length(seq) % 3 AS sr FROM m)'
+
+
+def _placed(spark, sf_dir):
+    return _mates(spark, sf_dir).withColumn("sr", (F.length("seq") % 3).cast("long"))
+
+
+@query(f"{_PLACED} SELECT conv_id, pair, min(sr) AS sr1, max(sr) AS sr2 FROM p GROUP BY conv_id, pair HAVING count(*) = 2 AND min(sr) <> max(sr)")
+def mate_linking(spark, sf_dir):
+    return reads.linking_inserts(_placed(spark, sf_dir), _INSERT)
+
+
+@query(f"{_PLACED} SELECT conv_id, pair, sr FROM p GROUP BY conv_id, pair, sr HAVING count(*) = 2")
+def mate_same_group(spark, sf_dir):
+    return reads.joined_inserts(_placed(spark, sf_dir), _INSERT)
+
+
+@query(f"{_PLACED}, l AS (SELECT conv_id, pair, min(sr) AS sr1, max(sr) AS sr2 FROM p GROUP BY conv_id, pair HAVING count(*) = 2 AND min(sr) <> max(sr)) SELECT sr1, sr2, count(*) AS cnt FROM l GROUP BY sr1, sr2")
+def mate_unjoined_pairs(spark, sf_dir):
+    return reads.unjoined_pairs(_placed(spark, sf_dir), _INSERT).select("sr1", "sr2", "cnt")
+
+
+_EVENTS = "WITH p AS (SELECT event_id // 2 AS pair, event_id % 2 AS e, event_type AS sr, floor(value * 10)::BIGINT AS off, CASE WHEN user_id % 2 = 0 THEN 'F' ELSE 'R' END AS ori FROM events)"
+
+
+def _event_placements(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.expr("event_id div 2").alias("pair"), (F.col("event_id") % 2).alias("end"), F.col("event_type").alias("sr"), F.floor(F.col("value") * 10).alias("off"), F.when(F.col("user_id") % 2 == 0, "F").otherwise("R").alias("ori"))
+
+
+@query(f"""{_EVENTS}, d AS (SELECT a.pair, a.sr, CASE WHEN a.ori = 'F' AND b.ori = 'R' THEN a.off - b.off WHEN a.ori = 'R' AND b.ori = 'F' THEN b.off - a.off END AS distance FROM p a JOIN p b ON a.pair = b.pair AND a.sr = b.sr AND a.e = 0 AND b.e = 1) SELECT pair, sr, distance FROM d WHERE distance > 0 AND distance < 700""")
+def mate_chimeric_window(spark, sf_dir):
+    return reads.chimeric_inserts(_event_placements(spark, sf_dir), ["pair"], "end", "sr", "off", "ori")
+
+
+@query(f"{_EVENTS} SELECT a.pair, a.sr, b.off - a.off AS insert_size FROM p a JOIN p b ON a.pair = b.pair AND a.sr = b.sr AND a.e <> b.e AND a.ori = 'F' AND b.ori = 'R'")
+def mate_insert_size(spark, sf_dir):
+    return reads.insert_sizes(_event_placements(spark, sf_dir), ["pair"], "end", "sr", "off", "ori")
+
+
+@query()
+def greedy_redundancy(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", F.col("l_quantity").cast("long").alias("off2"), F.dayofyear("l_shipdate").cast("long").alias("off1"), "l_orderkey", "l_linenumber")
+    return reads.greedy_redundancy(lines, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "off1", "off2"], "off1", "off2")
+
+
+# Counts and statistics ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_partkey, count(DISTINCT l_orderkey) AS cnt FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) >= 2")
+def insert_support_counts(spark, sf_dir):
+    return reads.support_counts(table(spark, sf_dir, "lineitem"), "l_partkey", ["l_orderkey"])
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stdev, count(value) AS n FROM events GROUP BY event_type")
+def library_mean_stdev(spark, sf_dir):
+    return reads.library_stats(table(spark, sf_dir, "events"), "event_type", "value").select("event_type", F.round("mean", 6).alias("mean"), F.round("stdev", 6).alias("stdev"), "n")
+
+
+@query()
+def trimmed_mean_stdev(spark, sf_dir):
+    return reads.trimmed_stats(table(spark, sf_dir, "events"), "value")
+
+
+@query("""WITH f AS (SELECT l_partkey AS utg, l_quantity * 60 AS e, 1.0 / l_linenumber AS w FROM lineitem), per AS (SELECT utg, max(e) AS r, sum(w) AS cnt FROM f GROUP BY utg), rho AS (SELECT *, CASE WHEN r - 100 < 0 THEN 1 ELSE r - 100 END AS rho FROM per),
+rate AS (SELECT sum(cnt) / sum(rho) AS rate FROM rho WHERE r > 2000) SELECT utg, rho, round(cnt, 6) AS cnt, round((length(p_name) - length(translate(p_name, 'GCgc', ''))) / (length(p_name) + 1), 6) AS gc_ratio, round(rho * rate - 0.6931471805599453 * cnt, 4) AS astat FROM rho JOIN part ON utg = p_partkey, rate""")
+def astat_like(spark, sf_dir):
+    frags = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("utg"), (F.col("l_quantity") * 60).alias("end"), (F.lit(1.0) / F.col("l_linenumber")).alias("weight"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("utg"), F.col("p_name").alias("seq"))
+    out = reads.coverage_stat(parts, frags, "utg", 100).filter("gc_ratio is not null")
+    return out.select("utg", F.col("rho").cast("double"), *(F.round(c, d).alias(c) for c, d in (("cnt", 6), ("gc_ratio", 6), ("astat", 4))))
+
+
+_BLOCKS = "WITH t AS (SELECT source AS lib, max(doc_id) AS top FROM documents GROUP BY source), b AS (SELECT lib, top + CASE WHEN top % 2 = 0 THEN 2 ELSE 1 END AS total FROM t), o AS (SELECT lib, coalesce(sum(total) OVER (ORDER BY lib ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first, total FROM b)"
+
+
+@query(f"{_BLOCKS} SELECT d.doc_id AS read_no, lib, (first + d.doc_id)::BIGINT AS number FROM documents d JOIN o ON d.source = o.lib")
+def range_block_lookup(spark, sf_dir):
+    named = table(spark, sf_dir, "documents").select(F.col("source").alias("lib"), F.col("doc_id").alias("read_no"))
+    blocks = materialize(reads.number_blocks(named, "lib", "read_no"), "blocks")
+    return reads.from_number(reads.to_number(named, blocks, "lib", "read_no").select("number"), blocks, "lib").select("read_no", "lib", "number")
+
+
+# Sorting and sets -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT (row_number() OVER (ORDER BY length(text) DESC, doc_id) - 1)::BIGINT AS sr_id, doc_id AS sr, length(text) AS len FROM documents")
+def rank_by_length(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sr"), F.length("text").cast("long").alias("len"))
+    return superreads.rank_by_length(docs).select("sr_id", "sr", "len")
+
+
+@query("SELECT c_custkey AS key, c_acctbal AS amount FROM customer UNION ALL SELECT s_suppkey, s_acctbal FROM supplier")
+def merge_sorted_union(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("amount"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("amount"))
+    return c.unionByName(s).orderBy("key")
+
+
+@query("SELECT c_nationkey AS nation, 'customer' AS which, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT s_nationkey, 'supplier', count(*) FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer) GROUP BY 1")
+def first_wins_union(spark, sf_dir):
+    side = lambda t, k: table(spark, sf_dir, t).groupBy(F.col(k).alias("nation")).agg(F.lit(t).alias("which"), F.count(F.lit(1)).alias("n"))
+    return gaps.first_wins(side("customer", "c_nationkey"), side("supplier", "s_nationkey"), key="nation")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def set_difference(spark, sf_dir):
+    returned = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return reads.listed(table(spark, sf_dir, "orders").select("o_orderkey"), returned, "o_orderkey", keep=False)
+
+
+# Joins of reads and unitigs -------------------------------------------------------------------------------------------
+
+_LIB = f"""WITH pieces AS (SELECT DISTINCT substr(run, off + 1, 60) AS seq FROM (SELECT run, unnest(range(0, length(run) - 59, 40)) AS off FROM (SELECT unnest(string_split({_seq_sql()}, '-')) AS run FROM benchmark) WHERE length(run) >= 60)),
+lib AS (SELECT (row_number() OVER (ORDER BY seq) - 1)::BIGINT AS ku, seq FROM pieces)"""
+
+
+def piece_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ku, seq): stretches of 60 bases that follow each other with 20 in common, as in a library of unitigs for k = 21."""
+    runs = benchmark_reads(spark, sf_dir).select(F.explode(S.runs(F.col("seq"))).alias("run")).filter("length(run) >= 60")
+    pieces = runs.select(F.explode(F.transform(F.sequence(F.lit(0), ((F.length("run") - 60) / 40).cast("int")), lambda i: F.substr("run", i * 40 + 1, F.lit(60)))).alias("seq")).distinct()
+    return dense_ids(pieces, "ku", "seq").select("ku", "seq")
+
+
+_OVERLAPS = f"""{_LIB}, ends AS (SELECT ku, 60 AS len, e, m, least(m, {_rc('m')}) AS mer FROM (SELECT ku, 0 AS e, left(seq, 20) AS m FROM lib UNION ALL SELECT ku, 1, right(seq, 20) FROM lib)),
+rows AS (SELECT *, f FROM ends, (VALUES (0), (1)) v(f) WHERE (f = 0 AND m = mer) OR (f = 1 AND {_rc('m')} = mer)),
+half AS (SELECT DISTINCT a.ku AS u1, b.ku AS u2, CASE WHEN a.e = 0 THEN 20 - b.len ELSE a.len - 20 END AS ahg, CASE WHEN a.e = 0 THEN 20 - a.len ELSE b.len - 20 END AS bhg, CASE WHEN a.f = b.f THEN 'N' ELSE 'I' END AS ori FROM rows a JOIN rows b ON a.mer = b.mer AND a.ku < b.ku WHERE (a.e + b.e + a.f + b.f) % 2 = 1),
+ov AS (SELECT * FROM half UNION ALL SELECT u2, u1, CASE WHEN ori = 'N' THEN -ahg ELSE bhg END, CASE WHEN ori = 'N' THEN -bhg ELSE ahg END, ori FROM half)"""
+
+
+@query(f"{_OVERLAPS} SELECT u1, u2, ahg::INT AS ahg, bhg::INT AS bhg, ori FROM ov")
+def overlap_end_join(spark, sf_dir):
+    return overlaps.end_overlaps(piece_library(spark, sf_dir), K)
+
+
+_ULIB = f"""{_LIB}, uk AS (SELECT ku, off, substr(seq, off + 1, 21) AS m FROM (SELECT ku, seq, unnest(range(0, 40)) AS off FROM lib)), one AS (SELECT least(m, {_rc('m')}) AS mer FROM uk GROUP BY 1 HAVING count(*) = 1),
+bad AS (SELECT DISTINCT ku FROM uk WHERE least(m, {_rc('m')}) NOT IN (SELECT mer FROM one)), ul AS (SELECT * FROM lib WHERE ku NOT IN (SELECT ku FROM bad)), uu AS (SELECT ku, off, least(m, {_rc('m')}) AS mer, (m > {_rc('m')})::INT AS f FROM uk WHERE ku NOT IN (SELECT ku FROM bad))"""
+
+
+def unique_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces none of whose k-mers occurs twice."""
+    lib = materialize(piece_library(spark, sf_dir), "library")
+    own = overlaps.unitig_kmers(lib, K).select("mer", "ku")
+    twice = own.groupBy("mer").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mer")
+    return materialize(lib.join(own.join(twice, "mer", "left_semi").select("ku").distinct(), "ku", "left_anti"), "unique")
+
+
+@query(f"""{_ULIB}, rk AS (SELECT doc_id, j, len, substr(seq, j + 1, 21) AS m FROM (SELECT doc_id, seq, length(seq) AS len, unnest(range(0, length(seq) - 20)) AS j FROM (SELECT doc_id, {_seq_sql()} AS seq FROM documents) WHERE length(seq) >= 21)),
+hits AS (SELECT doc_id, len, j, ku, CASE WHEN f = (m > {_rc('m')})::INT THEN 'F' ELSE 'R' END AS ori, CASE WHEN f = (m > {_rc('m')})::INT THEN off - j ELSE off + j + 21 END AS start FROM rk JOIN uu ON mer = least(m, {_rc('m')}) WHERE NOT contains(m, '-')),
+n AS (SELECT *, CASE WHEN lag(j) OVER w IS NULL OR lag(ku) OVER w <> ku OR lag(ori) OVER w <> ori OR lag(start) OVER w <> start OR j > lag(j) OVER w + 21 THEN 1 ELSE 0 END AS fresh FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY j, ku, start)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY j, ku, start) AS nth FROM n)
+SELECT doc_id, nth::BIGINT AS nth, ku, (CASE WHEN ori = 'F' THEN start ELSE start - len END)::INT AS ahg, ori, min(j)::INT AS "begin", (max(j) + 21)::INT AS "end" FROM g GROUP BY doc_id, len, nth, ku, ori, start""")
+def read_match_islands(spark, sf_dir):
+    return overlaps.read_matches(doc_reads(spark, sf_dir), unique_library(spark, sf_dir), K, "doc_id").drop("read_len")
+
+
+@query(f"""{_OVERLAPS}, fk AS (SELECT DISTINCT ku, least(m, {_rc('m')}) AS kmer FROM (SELECT ku, substr(seq, o + 1, 15) AS m FROM (SELECT ku, seq, unnest(range(0, 46)) AS o FROM lib))), cc AS (SELECT kmer FROM fk GROUP BY kmer HAVING count(*) > 2),
+good AS (SELECT * FROM fk WHERE kmer NOT IN (SELECT kmer FROM cc)) SELECT u1 AS id1, u2 AS id2, ahg::INT AS ahg, bhg::INT AS bhg, ori FROM ov o WHERE u1 < u2 AND EXISTS (SELECT 1 FROM good a JOIN good b ON a.kmer = b.kmer WHERE a.ku = o.u1 AND b.ku = o.u2)""")
+def overlap_filter_bad_kmers(spark, sf_dir):
+    lib = materialize(piece_library(spark, sf_dir), "library")
+    frags = lib.withColumnRenamed("ku", "id")
+    bad = kmers.explode_kmers(frags, 15, "id").distinct().groupBy("kmer").count().filter("count > 2")
+    found = overlaps.end_overlaps(lib, K).withColumnRenamed("u1", "id1").withColumnRenamed("u2", "id2")
+    return overlaps.good_overlaps(found, frags, bad, 15).select("id1", "id2", "ahg", "bhg", "ori")
+
+
+_PATHS = "WITH named AS (SELECT DISTINCT string_agg((l_suppkey % 7)::VARCHAR || CASE WHEN l_linestatus = 'F' THEN 'F' ELSE 'R' END, '_' ORDER BY l_linenumber, l_suppkey, l_partkey) AS sr FROM lineitem GROUP BY l_orderkey)"
+
+
+def order_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sr, path): each order's lines as a path of unitigs."""
+    item = F.struct("l_linenumber", "l_suppkey", "l_partkey", (F.col("l_suppkey") % 7).alias("ku"), F.when(F.col("l_linestatus") == "F", "F").otherwise("R").alias("ori"))
+    paths = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("x"))
+    paths = paths.select(F.transform("x", lambda v: F.struct(v["ku"].alias("ku"), v["ori"].alias("ori"))).alias("path"))
+    return paths.select(S.name_of_path(F.col("path")).alias("sr"), "path").distinct()
+
+
+@query(f"""{_PATHS}, p AS (SELECT sr, string_split(sr, '_') AS t, '_' || sr || '_' AS f FROM named), q AS (SELECT sr, t, f, len(t) AS n, '_' || array_to_string(list_transform(list_reverse(t), lambda x: translate(x, 'FR', 'RF')), '_') || '_' AS r FROM p),
+ix AS (SELECT sr, f, n, unnest(list_distinct(list_transform(t, lambda x: x[:-2]))) AS ku FROM q), met AS (SELECT q.sr, ix.sr AS container, ix.n AS in_n, ix.f AS in_f, q.n, CASE WHEN contains(ix.f, q.f) THEN 'F' ELSE 'R' END AS rel_ori, CASE WHEN contains(ix.f, q.f) THEN q.f ELSE q.r END AS s FROM q JOIN ix ON q.t[1][:-2] = ix.ku AND ix.n > q.n AND (contains(ix.f, q.f) OR contains(ix.f, q.r))),
+top AS (SELECT * FROM met WHERE container NOT IN (SELECT sr FROM met)), best AS (SELECT *, row_number() OVER (PARTITION BY sr ORDER BY in_n DESC, container) AS k FROM top)
+SELECT sr, container, rel_ori, (len(string_split(left(in_f, instr(in_f, s)), '_')) - 2 + CASE WHEN rel_ori = 'R' THEN n ELSE 0 END)::BIGINT AS adj FROM best WHERE k = 1""")
+def path_containment_reduce(spark, sf_dir):
+    return superreads.contained(order_paths(spark, sf_dir))
+
+
+# Scaffolds and gaps ---------------------------------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT l_orderkey AS scf, l_linenumber AS b, (l_partkey * 100 + l_suppkey % 100)::BIGINT AS ctg, CASE WHEN l_linestatus = 'F' THEN 'f' ELSE 'r' END AS ori FROM lineitem), w AS (SELECT scf, ctg AS left_ctg, ori AS left_ori, lead(ctg) OVER w AS right_ctg, lead(ori) OVER w AS right_ori, (lead(b) OVER w - b)::INT AS gap FROM r WINDOW w AS (PARTITION BY scf ORDER BY b, ctg)) SELECT * FROM w WHERE right_ctg IS NOT NULL""")
+def scaffold_lead_pairs(spark, sf_dir):
+    return gaps.scaffold_gaps(_layout(spark, sf_dir))
+
+
+def _layout(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scf"), F.col("l_linenumber").alias("begin"), F.col("l_linenumber").alias("end"), (F.col("l_partkey") * 100 + F.col("l_suppkey") % 100).alias("ctg"), F.when(F.col("l_linestatus") == "F", "f").otherwise("r").alias("ori"))
+
+
+_GAPS = "WITH g AS (SELECT DISTINCT o_custkey AS left_ctg, o_custkey + 1 AS right_ctg, CASE WHEN o_custkey % 2 = 0 THEN 'f' ELSE 'r' END AS left_ori, CASE WHEN o_custkey % 3 = 0 THEN 'f' ELSE 'r' END AS right_ori FROM orders)"
+_LINKS = "l AS (SELECT o_custkey + o_orderkey % 2 AS ctg1, o_custkey + 1 - o_orderkey % 2 AS ctg2, o_totalprice AS mean, 1.0::DOUBLE AS stdev, substr('NIOA', (o_orderkey % 4 + 1)::INT, 1) AS ori, CASE WHEN o_orderstatus = 'F' THEN 'U' ELSE 'X' END AS status, o_orderkey AS seen FROM orders)"
+
+
+def _gap_links(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    g = o.select(F.col("o_custkey").alias("left_ctg"), (F.col("o_custkey") + 1).alias("right_ctg"), F.when(F.col("o_custkey") % 2 == 0, "f").otherwise("r").alias("left_ori"), F.when(F.col("o_custkey") % 3 == 0, "f").otherwise("r").alias("right_ori")).distinct()
+    odd = F.col("o_orderkey") % 2
+    links = o.select((F.col("o_custkey") + odd).alias("ctg1"), (F.col("o_custkey") + 1 - odd).alias("ctg2"), F.col("o_totalprice").alias("mean"), F.lit(1.0).alias("stdev"), F.substr(F.lit("NIOA"), (F.col("o_orderkey") % 4 + 1).cast("int"), F.lit(1)).alias("ori"), F.when(F.col("o_orderstatus") == "F", "U").otherwise("X").alias("status"), F.col("o_orderkey").alias("seen"))
+    return g, links
+
+
+@query(f"{_GAPS}, {_LINKS}, s AS (SELECT least(ctg1, ctg2) AS a, greatest(ctg1, ctg2) AS b, arg_max(mean, seen) AS mean, arg_max(stdev, seen) AS stdev FROM l GROUP BY 1, 2) SELECT g.*, mean, stdev FROM g LEFT JOIN s ON a = left_ctg AND b = right_ctg")
+def gap_link_last(spark, sf_dir):
+    g, links = _gap_links(spark, sf_dir)
+    return gaps.link_stats(g, links, "seen")
+
+
+@query(f"""{_GAPS}, {_LINKS}, b AS (SELECT ctg1, ctg2, ori, mean, stdev, status FROM l UNION ALL SELECT ctg2, ctg1, CASE ori WHEN 'N' THEN 'A' WHEN 'A' THEN 'N' ELSE ori END, mean, stdev, status FROM l),
+m AS (SELECT g.*, b.mean, b.stdev, b.status FROM g LEFT JOIN b ON left_ctg = ctg1 AND right_ctg = ctg2 AND b.ori = CASE WHEN left_ori = 'f' AND right_ori = 'f' THEN 'N' WHEN left_ori = 'f' THEN 'I' WHEN right_ori = 'f' THEN 'O' ELSE 'A' END),
+c AS (SELECT left_ctg, right_ctg, left_ori, right_ori, count(*) FILTER (status = 'U') AS u, count(*) FILTER (status <> 'U') AS x, min(mean) FILTER (status = 'U') AS um, min(mean) FILTER (status <> 'U') AS xm FROM m GROUP BY ALL)
+SELECT left_ctg, right_ctg, left_ori, right_ori, CASE WHEN u = 1 THEN um WHEN u = 0 AND x = 1 THEN xm END AS mean, CASE WHEN u = 1 OR (u = 0 AND x = 1) THEN 1.0::DOUBLE END AS stdev, CASE WHEN u = 1 THEN 'U' WHEN u = 0 AND x = 1 THEN 'X' END AS status FROM c""")
+def gap_link_unique(spark, sf_dir):
+    return gaps.unique_links(*_gap_links(spark, sf_dir))
+
+
+@query("""WITH rd AS (SELECT c_custkey AS read, c_nationkey AS utg, c_custkey * 10 AS b, c_custkey * 10 + 100 AS e, CASE WHEN c_custkey % 2 = 0 THEN 'f' ELSE 'r' END AS ori FROM customer), un AS (SELECT n_nationkey AS utg, n_regionkey AS ctg, n_nationkey * 100000 AS b, n_nationkey * 100000 + 50000 AS e, CASE WHEN n_nationkey % 2 = 0 THEN 'f' ELSE 'r' END AS ori FROM nation),
+placed AS (SELECT c_custkey AS read, 0 AS ctg, 0::BIGINT AS b, 100::BIGINT AS e, 'f' AS ori FROM customer WHERE c_acctbal > 5000),
+new AS (SELECT read, ctg, CASE WHEN un.ori = 'f' THEN un.b + rd.b ELSE un.e - rd.e END AS b, CASE WHEN un.ori = 'f' THEN un.b + rd.e ELSE un.e - rd.b END AS e, CASE WHEN un.ori = 'f' THEN rd.ori ELSE translate(rd.ori, 'fr', 'rf') END AS ori FROM rd JOIN un USING (utg) WHERE utg % 3 = 0 AND NOT EXISTS (SELECT 1 FROM placed p WHERE p.read = rd.read AND p.ctg = un.ctg))
+SELECT read, ctg, b AS "begin", e AS "end", ori FROM placed UNION ALL SELECT * FROM new""")
+def placement_compose(spark, sf_dir):
+    side = lambda c: F.when(F.col(c) % 2 == 0, "f").otherwise("r").alias("ori")
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    rd = c.select(F.col("c_custkey").alias("read"), F.col("c_nationkey").alias("utg"), (F.col("c_custkey") * 10).alias("begin"), (F.col("c_custkey") * 10 + 100).alias("end"), side("c_custkey"))
+    un = n.select(F.col("n_nationkey").alias("utg"), F.col("n_regionkey").alias("ctg"), (F.col("n_nationkey") * 100000).alias("begin"), (F.col("n_nationkey") * 100000 + 50000).alias("end"), side("n_nationkey"))
+    status = n.select(F.col("n_nationkey").alias("utg"), F.when(F.col("n_nationkey") % 3 == 0, "S").otherwise("U").alias("status"))
+    placed = c.filter("c_acctbal > 5000").select(F.col("c_custkey").alias("read"), F.lit(0).alias("ctg"), F.lit(0).cast("long").alias("begin"), F.lit(100).cast("long").alias("end"), F.lit("f").alias("ori"))
+    return gaps.compose_placements(rd, un, status, placed)
+
+
+@query(f"""WITH {_kmers_sql('documents', 'doc_id')}, {_kmers_sql('benchmark', 'item_id')}, own AS (SELECT DISTINCT item_id, kmer FROM kmers_benchmark), caught AS (SELECT DISTINCT doc_id // 2 AS pair, doc_id % 2 AS e, kmer FROM kmers_documents WHERE kmer IN (SELECT kmer FROM own)),
+freq AS (SELECT kmer FROM caught GROUP BY kmer HAVING count(*) >= 1000), hits AS (SELECT DISTINCT item_id, pair, e FROM caught JOIN own USING (kmer) WHERE kmer NOT IN (SELECT kmer FROM freq))
+SELECT item_id AS gap, pair AS insert, CASE WHEN count(*) = 2 THEN 'B' ELSE 'M' END AS how FROM hits GROUP BY item_id, pair""")
+def gap_fishing(spark, sf_dir):
+    mates = doc_reads(spark, sf_dir).select(F.expr("doc_id div 2").alias("insert"), (F.col("doc_id") % 2).alias("end"), "seq")
+    return gaps.fish_reads(benchmark_reads(spark, sf_dir).withColumnRenamed("item_id", "gap"), mates, K)
+
+
+@query(f"""{_R}, w AS (SELECT doc_id, seq, length(seq) AS n, unnest(range(0, greatest(ceil((length(seq) - 2047) / 1550.0), 0)::BIGINT + 1)) * 1550 AS off FROM r) SELECT CASE WHEN n <= 2047 THEN doc_id::VARCHAR ELSE doc_id || '.' || off END AS name, substr(seq, off + 1, 2047) AS seq FROM w WHERE length(substr(seq, off + 1, 2047)) >= 64""")
+def fragment_sink_rows(spark, sf_dir):
+    return sources.super_read_fragments(doc_reads(spark, sf_dir).select(F.col("doc_id").cast("string").alias("name"), "seq"))
+
+
+# Graphs (checked against brute force in the tests) ----------------------------------------------------------------------
+
+
+def _benchmark_unitigs(spark, sf_dir):
+    return materialize(unitigs.compact(kmers.count_kmers(benchmark_reads(spark, sf_dir), K), K, solid=1), "unitigs")
+
+
+@query()
+def unitig_compaction(spark, sf_dir):
+    return _benchmark_unitigs(spark, sf_dir)
+
+
+@query()
+def spur_removal(spark, sf_dir):
+    u = _benchmark_unitigs(spark, sf_dir)
+    return unitigs.kill_spurs(overlaps.adjacency(overlaps.end_overlaps(u, K), u), u, K, 30)
+
+
+@query()
+def unique_merge_report(spark, sf_dir):
+    u = _benchmark_unitigs(spark, sf_dir)
+    adjacent = materialize(overlaps.adjacency(overlaps.end_overlaps(u, K), u), "adjacent")
+    return unitigs.unique_joins(adjacent, unitigs.kill_spurs(adjacent, u, K, 30))
+
+
+def _super_reads(spark, sf_dir):
+    u = _benchmark_unitigs(spark, sf_dir)
+    source = benchmark_reads(spark, sf_dir).select("item_id", F.posexplode(S.runs(F.col("seq"))).alias("nth_run", "seq"))
+    m = overlaps.read_matches(source, u, K, "item_id", "nth_run")
+    return u, materialize(superreads.read_paths(m, u, K, "item_id", "nth_run"), "placed")
+
+
+@query()
+def super_read_placements(spark, sf_dir):
+    u, placed = _super_reads(spark, sf_dir)
+    seqs = superreads.path_sequences(placed, u, K)
+    return superreads.replace_placements(placed.select("item_id", "nth_run", "sr", "off", "ori"), seqs, superreads.contained(placed, superreads.path_lengths(placed.select("sr", "path").distinct(), u, K), K, u))
+
+
+@query()
+def chain_merge(spark, sf_dir):
+    return superreads.merge_chains(_super_reads(spark, sf_dir)[1])
+
+
+@query()
+def mate_path_join(spark, sf_dir):
+    u, placed = _super_reads(spark, sf_dir)
+    adjacent = materialize(overlaps.adjacency(overlaps.end_overlaps(u, K), u), "adjacent")
+    lengths = u.select(F.col("ku").alias("_ku"), F.length("seq").cast("long").alias("len"))
+    w = Window.partitionBy("item_id").orderBy("nth_run")
+    pairs = placed.withColumn("other", F.lead("path").over(w)).filter("other is not null")
+    pairs = pairs.select(F.concat_ws("/", "item_id", "nth_run").alias("insert"), F.col("path").alias("even"), S.reverse_path(F.col("other")).alias("odd"), F.lit(0).alias("before"), F.lit(0).alias("after"), F.lit(300.0).alias("mean"), F.lit(30.0).alias("stdev"))
+    pairs = pairs.join(lengths, F.col("even")[0]["ku"] == F.col("_ku")).drop("_ku")
+    return superreads.join_mates(pairs, adjacent, K).select("insert", "outcome", S.name_of_path(F.col("path")).alias("sr"))
+
+
+@query()
+def gap_k_search(spark, sf_dir):
+    """Each item's first and last 40 bases of its longest stretch are the ends of a gap; the items' stretches are the reads."""
+    runs = benchmark_reads(spark, sf_dir).select("item_id", F.explode(S.runs(F.col("seq"))).alias("seq")).filter("length(seq) >= 120")
+    g = runs.groupBy(F.col("item_id").alias("gap")).agg(F.max_by("seq", F.struct(F.length("seq"), F.col("seq"))).alias("s")).select("gap", F.left("s", F.lit(40)).alias("left_seq"), F.right("s", F.lit(40)).alias("right_seq"))
+    mates = runs.select(F.xxhash64("item_id", "seq").alias("insert"), F.lit(0).alias("end"), "seq")
+    ends = g.select("gap", F.explode(F.array("left_seq", "right_seq")).alias("seq"))
+    return gaps.close_gaps(g, gaps.fish_reads(ends, mates, K), mates)
