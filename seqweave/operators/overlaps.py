@@ -57,10 +57,10 @@ def unitig_kmers(unitigs: DataFrame, k: int) -> DataFrame:
 
 
 def read_matches(reads: DataFrame, unitigs: DataFrame, k: int, *keys: str) -> DataFrame:
-    """(keys, read_len, nth, ku, ahg, ori, begin, end): the unitigs along each read, an island of hits for each.
+    """(keys, read_len, nth, ku, ahg, ori, hit_begin, hit_end): the unitigs along each read, an island of hits for each.
 
     A new island begins where unitig, strand or implied start changes, or a k-mer begins after the last hit's end.
-    ``begin`` and ``end`` are the island's place in the read. Reads are exploded once and probe the unitigs' k-mers.
+    ``hit_begin`` and ``hit_end`` are the island's place in the read. Reads are exploded once and probe the unitigs' k-mers.
     """
     hits = _placed_kmers(reads.withColumn("read_len", F.length("seq")), k, *keys, "read_len").join(unitig_kmers(unitigs, k), "mer")
     same = F.col("flipped") == F.col("ku_flipped")
@@ -69,8 +69,8 @@ def read_matches(reads: DataFrame, unitigs: DataFrame, k: int, *keys: str) -> Da
     before = lambda c: F.lag(c).over(w)
     fresh = before("at").isNull() | (before("ku") != F.col("ku")) | (before("ori") != F.col("ori")) | (before("start") != F.col("start")) | (F.col("at") > before("at") + k)
     islands = hits.withColumn("_new", fresh.cast("int")).withColumn("nth", F.sum("_new").over(w))
-    out = islands.groupBy(*keys, "read_len", "nth", "ku", "ori", "start").agg(F.min("at").alias("begin"), (F.max("at") + k).alias("end"))
-    return out.select(*keys, "read_len", F.col("nth").cast("long").alias("nth"), "ku", F.when(F.col("ori") == "F", F.col("start")).otherwise(F.col("start") - F.col("read_len")).alias("ahg"), "ori", "begin", "end")
+    out = islands.groupBy(*keys, "read_len", "nth", "ku", "ori", "start").agg(F.min("at").alias("hit_begin"), (F.max("at") + k).alias("hit_end"))
+    return out.select(*keys, "read_len", F.col("nth").cast("long").alias("nth"), "ku", F.when(F.col("ori") == "F", F.col("start")).otherwise(F.col("start") - F.col("read_len")).alias("ahg"), "ori", "hit_begin", "hit_end")
 
 
 def translate_matches(matches: DataFrame, translation: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def path_sequences(paths: DataFrame, unitigs: DataFrame, k: int, most_difference
     rows = met.groupBy("sr", "size").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("x")).filter("size(x) = size")
     differ = F.transform(F.sequence(F.lit(1), F.size("x") - 1), lambda i: F.levenshtein(F.right(F.get("x", i - 1)["piece"], F.lit(n)), F.left(F.get("x", i)["piece"], F.lit(n))))
     rows = rows.withColumn("worst", F.when(F.size("x") > 1, F.array_max(differ)).otherwise(0)).filter(F.col("worst") <= most_differences)
-    seq = F.concat(F.col("x")[0]["piece"], F.array_join(F.transform(F.slice("x", 2, 2**31 - 1), lambda v: F.substr(v["piece"], F.lit(n + 1))), ""))
+    seq = F.concat(F.col("x")[0]["piece"], F.array_join(F.transform(F.slice("x", F.lit(2), F.size("x")), lambda v: F.substr(v["piece"], F.lit(n + 1))), ""))
     return rows.select("sr", seq.alias("seq")).withColumn("len", F.length("seq").cast("long"))
 
 

@@ -58,7 +58,7 @@ def compact(counts: DataFrame, k: int, solid: int = 2, low_run: int = 0, least:
     spans = solids.groupBy("head", "part").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     members = placed.join(spans, "head").filter("pos between lo and hi") if low_run else solids
     ordered = members.groupBy("head", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("x"))
-    seq = F.concat(F.col("x")[0]["node"], F.array_join(F.transform(F.slice("x", 2, 2**31 - 1), lambda v: F.right(v["node"], F.lit(1))), ""))
+    seq = F.concat(F.col("x")[0]["node"], F.array_join(F.transform(F.slice("x", F.lit(2), F.size("x")), lambda v: F.right(v["node"], F.lit(1))), ""))
     seqs = ordered.select(S.canonical(seq, largest=True).alias("seq")).distinct().filter(F.length("seq") >= (least or k))
     return dense_ids(seqs.withColumn("_n", F.length("seq")), "ku", F.desc("_n"), F.col("seq")).select("ku", "seq")
 

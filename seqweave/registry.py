@@ -342,7 +342,7 @@ def unique_library(spark: SparkSession, sf_dir: str) -> DataFrame:
 hits AS (SELECT doc_id, len, j, ku, CASE WHEN f = (m > {_rc('m')})::INT THEN 'F' ELSE 'R' END AS ori, CASE WHEN f = (m > {_rc('m')})::INT THEN off - j ELSE off + j + 21 END AS start FROM rk JOIN uu ON mer = least(m, {_rc('m')}) WHERE NOT contains(m, '-')),
 n AS (SELECT *, CASE WHEN lag(j) OVER w IS NULL OR lag(ku) OVER w <> ku OR lag(ori) OVER w <> ori OR lag(start) OVER w <> start OR j > lag(j) OVER w + 21 THEN 1 ELSE 0 END AS fresh FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY j, ku, start)),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY j, ku, start) AS nth FROM n)
-SELECT doc_id, nth::BIGINT AS nth, ku, (CASE WHEN ori = 'F' THEN start ELSE start - len END)::INT AS ahg, ori, min(j)::INT AS "begin", (max(j) + 21)::INT AS "end" FROM g GROUP BY doc_id, len, nth, ku, ori, start""")
+SELECT doc_id, nth::BIGINT AS nth, ku, (CASE WHEN ori = 'F' THEN start ELSE start - len END)::INT AS ahg, ori, min(j)::INT AS hit_begin, (max(j) + 21)::INT AS hit_end FROM g GROUP BY doc_id, len, nth, ku, ori, start""")
 def read_match_islands(spark, sf_dir):
     return overlaps.read_matches(doc_reads(spark, sf_dir), unique_library(spark, sf_dir), K, "doc_id").drop("read_len")
 

@@ -53,7 +53,7 @@ def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                 rows = pd.DataFrame(parse_fastq(text), columns=["name", "seq", "qual"])
                 yield rows
 
-    return spark.read.option("wholetext", True).text(paths).mapInPandas(run, "name string, seq string, qual string")
+    return spark.read.text(paths, wholetext=True).mapInPandas(run, "name string, seq string, qual string")
 
 
 def read_sequences(spark: SparkSession, paths: list[str]) -> DataFrame:
