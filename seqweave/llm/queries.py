@@ -83,4 +83,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mix, op2_simhash, op3_media, op4_lzprint, op5_licenses, op6_language_id, op7_sharding, op8_pii, op9_url_filter, op10_packing, language_id_pages)}
 
-SQL: dict[str, str] = {}
+#: The mix: levels of targets, highest quotients over all seats, and the stretch that each shard takes of its words.
+SQL: dict[str, str] = {
+    "op1_mix": rf"""WITH sizes AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{mix.WORD}')) AS size, md5('{mix.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS draw FROM documents),
+listed AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS nth FROM sizes GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][(nth - 1) % 3 + 1] AS weight, 2.0::DOUBLE * source_size AS cap FROM listed), ratios AS (SELECT *, cap / weight AS ratio FROM weighed),
+levels AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ratio, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ratios),
+targets AS (SELECT *, coalesce(least(cap, weight * (SELECT level FROM levels WHERE level <= ratio ORDER BY ratio, nth LIMIT 1)), cap) AS target, greatest(ceil(source_size / {mix.SHARD_WORDS}.0), 1)::BIGINT AS shards FROM levels),
+seats AS (SELECT nth, row_number() OVER (ORDER BY target / (2 * j - 1) DESC, nth, j) AS place FROM (SELECT nth, target, unnest(range(1, (2 * target / {mix.BLOCK})::BIGINT + 4)) AS j FROM targets)),
+won AS (SELECT nth, count(*) AS blocks FROM seats WHERE place <= (SELECT sum(round(target / {mix.BLOCK})) FROM targets) GROUP BY nth),
+sources AS (SELECT t.*, coalesce(won.blocks, 0) AS blocks FROM targets t LEFT JOIN won USING (nth)),
+drawn AS (SELECT s.*, nth, source_size, target, ('0x' || substr(draw, 1, 8))::BIGINT % shards AS shard FROM sizes s JOIN sources t ON s.source IS NOT DISTINCT FROM t.source),
+cells AS (SELECT nth, any_value(source) AS source, shard, sum(size)::BIGINT AS words FROM drawn GROUP BY nth, shard),
+shares AS (SELECT nth, shard, row_number() OVER (PARTITION BY nth ORDER BY words::DOUBLE / (2 * j - 1) DESC, shard, j) AS place FROM (SELECT c.nth, shard, words, unnest(range(1, blocks + 1)) AS j FROM cells c JOIN sources USING (nth) WHERE words > 0)),
+quotas AS (SELECT nth, shard, count(*) AS blocks FROM shares JOIN (SELECT nth, blocks AS most FROM sources) USING (nth) WHERE place <= most GROUP BY nth, shard),
+cut AS (SELECT c.nth, c.shard, c.words, least(greatest(coalesce(q.blocks, 0) * {mix.BLOCK} + CASE WHEN row_number() OVER (PARTITION BY c.nth ORDER BY c.words DESC, c.shard) = 1 THEN round(s.target)::BIGINT - s.blocks * {mix.BLOCK} ELSE 0 END, 0), 2 * c.words) AS quota,
+(('0x' || substr(md5('{mix.SEED}:' || coalesce(c.source, 'null') || ':' || c.shard), 1, 8))::BIGINT % greatest(ceil(c.words / {mix.BLOCK}.0), 1)::BIGINT) * {mix.BLOCK} AS first FROM cells c JOIN sources s USING (nth) LEFT JOIN quotas q ON q.nth = c.nth AND q.shard = c.shard),
+ends AS (SELECT *, sum(size) OVER (PARTITION BY nth, shard ORDER BY substr(draw, 9, 24), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM drawn),
+laid AS (SELECT d.*, e - size AS b, words, first, CASE WHEN words > 0 THEN quota // words ELSE 0 END AS turns, first + CASE WHEN words > 0 THEN quota % words ELSE 0 END AS stop FROM ends d JOIN cut USING (nth, shard)),
+spans AS (SELECT *, CASE WHEN size > 0 THEN turns ELSE 0 END AS epochs, greatest(least(e, stop, words) - greatest(b, first), 0) AS cut_words, greatest(least(e, stop - words) - b, 0) AS head_words FROM laid)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (epochs * size + cut_words + head_words)::BIGINT AS taken, source, shard, epochs::BIGINT AS epochs, (CASE WHEN cut_words > 0 THEN greatest(b, first) - b ELSE 0 END)::BIGINT AS cut_from, cut_words::BIGINT AS cut_words, head_words::BIGINT AS head_words FROM spans""",
+}
