@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 SEQUENCE, SEGMENTS, END = 2048, 64, 1
 #: Documents that wait at a time, their ids at most, and words whose ids a task keeps.
-WINDOW, WINDOW_IDS, WORDS = 256, 1 << 21, 400_000
+WINDOW, WINDOW_IDS, WORDS = 256, 1 << 21, 650_000
 
 
 class WordTokenizer:
