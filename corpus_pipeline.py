@@ -25,8 +25,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with its smallest doc_id. Documents with null doc_id stay."""
-    found = simhash.near_duplicates(docs)
+    """One document of each component of texts that share four fifths of their five-word shingles: that with its smallest
+    doc_id. Documents with null doc_id stay."""
+    found = simhash.similar_documents(docs)
     gone = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
     kept = docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
     # Rows that repeat a doc_id would all stay: one of them does.

@@ -207,6 +207,42 @@ def test_index_of_one_crowded_bucket():
         assert [int(x) for x in label] == [want[int(f)] for f in fps]
 
 
+def changed(rng, words, share):
+    """A copy whose shingles of five words have about ``share`` in common with the original's."""
+    out = list(words)
+    for _ in range(max(1, round(len(words) * (1 - share) / (1 + share) / 5))):
+        out[rng.randrange(len(out))] = f"new{rng.randrange(10**6)}"
+    return out
+
+
+def test_similar_documents(spark):
+    """Copies that share over four fifths of their shingles are found, others are left alone; held against all pairs."""
+    rng = random.Random(17)
+    texts = []
+    for _ in range(150):
+        words = [f"{rng.choice('abcdefgh')}{rng.randrange(3000)}" for _ in range(rng.randint(60, 400))]
+        texts += [words, *(changed(rng, words, rng.choice([0.3, 0.5, 0.84, 0.9, 0.95])) for _ in range(rng.randint(0, 3)))]
+    texts += [["same", "words"]] * 3 + [[]] * 2
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    alike = lambda a, b: len(a & b) / len(a | b)
+    close = [(i, j) for j in range(len(texts)) for i in range(max(0, j - 5), j) if alike(sets[i], sets[j]) >= 0.8]
+    for i, j in close:
+        root[find(j)] = find(i)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    assert sum(got[i] == got[j] for i, j in close) / len(close) >= 0.9
+    wrong = [(i, c) for i, c in got.items() if c != i and alike(sets[i], sets[c]) < 0.5]
+    assert not wrong and len(got) == len(texts)
+    assert simhash.similar_documents(df.limit(0)).count() == 0
+
+
 # Media ----------------------------------------------------------------------------------------------------------------
 
 

@@ -131,7 +131,7 @@ def test_pipeline(spark, docs, rows, folder):
     assert len(kept) == len(letters)
     now = spark.createDataFrame(kept, now.schema)
     single = stages["near_duplicates"](spark, now, sf_dir).collect()
-    component = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(now).collect()}
+    component = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(now).collect()}
     assert sorted(r["doc_id"] for r in single if r["doc_id"] is not None) == sorted(set(component.values()) - {None})
     now = spark.createDataFrame(single, now.schema)
     private = stages["personal_data"](spark, now, sf_dir)
