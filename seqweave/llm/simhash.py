@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
 #: Bits of a band, and differing bits of all 64 * WORDS up to which wide fingerprints link. At a share s of common
 #: shingles a bit differs with probability arccos(2 s / (1 + s)) / pi: at 0.8 in 77 of 512 bits, give or take 8, and then
 #: some band of 36 agrees in 98 of 100 pairs (at 0.85 in 99.6, at 0.9 in 99.99).
-BAND_BITS, WIDE_BITS = 14, 90
+BAND_BITS, WIDE_BITS = 14, 86
 
 
 def _wide_links(k: int, band_bits: int):
