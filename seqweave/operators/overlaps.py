@@ -46,8 +46,11 @@ def adjacency(overlaps: DataFrame, unitigs: DataFrame) -> DataFrame:
 
 def _placed_kmers(df: DataFrame, k: int, *keys: str) -> DataFrame:
     """(keys, mer, at, flipped): each k-mer without other characters, at its offset from 0, in canonical form."""
-    at = F.sequence(F.lit(0), F.length("seq") - k)
-    out = df.filter(F.length("seq") >= k).select(*keys, "seq", F.explode(at).alias("at")).withColumn("m", F.substr("seq", F.col("at") + 1, F.lit(k))).filter(~F.col("m").rlike("[^ACGT]"))
+    # Long sequences are cut into blocks first: a substring of a string costs the way to its offset.
+    block = 512
+    blocks = df.filter(F.length("seq") >= k).select(*keys, F.explode(F.transform(F.sequence(F.lit(0), ((F.length("seq") - k) / block).cast("int")), lambda i: F.struct((i * block).alias("from"), F.substr("seq", i * block + 1, F.lit(block + k - 1)).alias("s")))).alias("_b"))
+    out = blocks.select(*keys, "_b", F.explode(F.sequence(F.lit(0), F.length("_b.s") - k)).alias("_i"))
+    out = out.select(*keys, (F.col("_b.from") + F.col("_i")).alias("at"), F.substr(F.col("_b.s"), F.col("_i") + 1, F.lit(k)).alias("m")).filter(~F.col("m").rlike("[^ACGT]"))
     return out.select(*keys, S.canonical(F.col("m")).alias("mer"), "at", F.when(F.col("m") <= S.revcomp(F.col("m")), 0).otherwise(1).alias("flipped"))
 
 

@@ -80,8 +80,12 @@ def contained(paths: DataFrame, lengths: DataFrame | None = None, k: int = 0, un
     p = p.join(lengths.select("sr", "len"), "sr") if lengths is not None else p.withColumn("len", F.col("n").cast("long"))
     framed = lambda path: F.concat(F.lit("_"), S.name_of_path(path), F.lit("_"))
     p = materialize(p.withColumn("f", framed(F.col("path"))).withColumn("r", framed(S.reverse_path(F.col("path")))), "paths")
-    index = p.select(F.col("sr").alias("container"), F.col("f").alias("in_f"), F.col("len").alias("in_len"), F.col("n").alias("in_n"), F.explode(F.array_distinct(F.transform("path", lambda x: x["ku"]))).alias("ku"))
-    met = p.withColumn("ku", F.col("path")[0]["ku"]).join(index, "ku").filter((F.col("in_n") > F.col("n")) & (F.col("in_f").contains(F.col("f")) | F.col("in_f").contains(F.col("r"))))
+    # A path meets the containers that hold its first four elements (or all, if it has fewer), read either way.
+    gram = lambda part: F.least(S.name_of_path(part), S.name_of_path(S.reverse_path(part)))
+    every = lambda m: F.transform(F.sequence(F.lit(1), F.col("n") - (m - 1)), lambda i: gram(F.slice("path", i, m)))
+    grams = [F.when(F.col("n") > m, every(m)).otherwise(F.array().cast("array<string>")) for m in (1, 2, 3, 4)]
+    index = p.select(F.col("sr").alias("container"), F.col("f").alias("in_f"), F.col("len").alias("in_len"), F.col("n").alias("in_n"), F.explode(F.array_distinct(F.concat(*grams))).alias("gram"))
+    met = p.withColumn("gram", gram(F.slice("path", 1, 4))).join(index, "gram").filter((F.col("in_n") > F.col("n")) & (F.col("in_f").contains(F.col("f")) | F.col("in_f").contains(F.col("r"))))
     met = materialize(met.select("sr", "container", "in_len", "in_f", F.col("n"), F.when(F.col("in_f").contains(F.col("f")), F.col("f")).otherwise(F.col("r")).alias("as"), F.when(F.col("in_f").contains(F.col("f")), "F").otherwise("R").alias("rel_ori")), "contained")
     top = met.join(met.select(F.col("sr").alias("container")).distinct(), "container", "left_anti")
     best = top.groupBy("sr").agg(F.min_by(F.struct("container", "rel_ori", "in_f", "as", "n"), F.struct(-F.col("in_len"), F.col("container"))).alias("b")).select("sr", "b.*")
