@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small
 
 SEED = 42
 #: Shingles whose bits are counted at a time.
@@ -53,17 +53,22 @@ WORDS = 8
 _SALT = np.random.RandomState(64).randint(1, 1 << 62, WORDS - 1).astype(np.uint64)
 
 
-def wide_fingerprint(text: str | None, width: int) -> bytes:
-    """``WORDS`` SimHashes of a text by as many hashes of each shingle, the first as in ``fingerprint``."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The distinct XXH64 values of a text's shingles; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return bytes(8 * WORDS)
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - width + 1)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) > width else iter([b" ".join(words)])
-    hashes, ones, left = map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.zeros(64 * WORDS, np.int64), n
-    while left:
-        h = np.fromiter(hashes, np.uint64, min(CHUNK // WORDS, left))
-        left -= len(h)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n))
+
+
+def wide_fingerprint(text: str | None, width: int) -> bytes:
+    """``WORDS`` SimHashes of a text by as many hashes of each distinct shingle; zero without words."""
+    hashes, ones = shingle_hashes(text, width), np.zeros(64 * WORDS, np.int64)
+    n = len(hashes)
+    for at in range(0, n, CHUNK // WORDS):
+        h = hashes[at : at + CHUNK // WORDS]
         more = (h[:, None] ^ _SALT) * np.uint64(0x9E3779B97F4A7C15)
         more = (more ^ (more >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         each = np.unpackbits(np.column_stack([h, more ^ (more >> np.uint64(29))]).view(np.uint8), axis=1, bitorder="little")
@@ -106,9 +111,38 @@ def _gray_rank(value: str) -> Column:
     return F.expr(f"{e} ^ shiftleft(1L, 63)")
 
 
-def gray_links(buckets: np.ndarray, fps: np.ndarray, k: int, budget: int = 2_000_000) -> np.ndarray:
+def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Which links (a, b) make a spanning forest of the groups in ``label``, the nearest first (Boruvka's rounds)."""
+    order, group, picked = np.argsort(apart, kind="stable"), label.copy(), []
+    while True:
+        order = order[group[a[order]] != group[b[order]]]
+        if not len(order):
+            return np.concatenate(picked) if picked else order
+        best, at = np.full(len(group), len(order)), np.arange(len(order))
+        np.minimum.at(best, group[a[order]], at)
+        np.minimum.at(best, group[b[order]], at)
+        new = order[np.unique(best[best < len(order)])]
+        picked.append(new)
+        root = np.arange(len(group))
+        x, y = group[a[new]], group[b[new]]
+        while True:
+            low = np.minimum(root[x], root[y])
+            now = root.copy()
+            for z in (x, y, root[x], root[y]):
+                np.minimum.at(now, z, low)
+            now = now[now]
+            if np.array_equal(now, root):
+                break
+            root = now
+        group = root[group]
+
+
+def gray_links(buckets: np.ndarray, fps: np.ndarray, k: int, budget: int = 2_000_000, nearer: tuple[int, ...] = (), links: list | None = None) -> np.ndarray:
     """For each row the smallest row that it is connected to, over links of at most ``k`` bits in its bucket.
 
+    With ``nearer`` (rising bounds below ``k``) links within these are made first. ``links`` receives (row, row, bits apart)
+    of a spanning forest of direct links.
+
     ``fps`` (uint64, one word for each row, or a row of words) are sorted by bucket, then by Gray rank. ``budget`` bounds
     the words of (row, node) pairs in work at once. Rows ask in slices; groups that earlier slices have connected with the asking
     row altogether aren't entered again, so a large cluster costs no comparison of all its pairs.
@@ -142,40 +176,44 @@ def gray_links(buckets: np.ndarray, fps: np.ndarray, k: int, budget: int = 2_000
         child_from.append(np.r_[np.searchsorted(levels[i - 1][0], first), len(levels[i - 1][0])] if i else None)
     top = len(levels) - 1
     root = np.searchsorted(levels[top][0], np.arange(n), "right") - 1
-    step, begin, now = int(np.clip(budget // sizes.max() // fps.shape[1], 16, 1 << 16)), 0, 1 << 16
-    if sizes.max() > 256:
-        now = 32  # the first rows connect what is close; the slices double from there
-    while begin < n:
-        now = min(now, step)
-        query = np.arange(begin, min(n, begin + now))
-        begin, now = begin + now, now * 2
-        query = query[sizes[bucket_of[query]] > 1]
-        node, apart = root[query], np.zeros(len(query), np.int32)
-        for i in range(top, 0, -1):
-            kids = child_from[i][node + 1] - child_from[i][node]
-            at = np.repeat(np.arange(len(query)), kids)
-            child = child_from[i][node][at] + np.arange(len(at)) - np.repeat(np.cumsum(kids) - kids, kids)
-            first, _, value = levels[i - 1]
-            q = query[at]
-            keep = np.r_[first[1:], n][child] - 1 > q  # each link is found from its smaller row
-            lows, highs = (np.minimum.reduceat(label, first), np.maximum.reduceat(label, first)) if i > 1 else (label, label)
-            keep &= (lows[child] != label[q]) | (highs[child] != label[q])
-            q, child, at = q[keep], child[keep], at[keep]
-            diff = apart[at] + bits((fps[q] ^ value[child]) & own[i - 1][child])
-            keep = diff <= k
-            query, node, apart = q[keep], child[keep], diff[keep]
-        a, b = query, node
-        while len(a):
-            low = np.minimum(label[a], label[b])
-            new = label.copy()
-            for x in (a, b, label[a], label[b]):
-                np.minimum.at(new, x, low)
-            new = new[new]
-            if np.array_equal(new, label):
-                break
-            label = new
-        while not np.array_equal(label, label[label]):
-            label = label[label]
+    step = int(np.clip(budget // sizes.max() // fps.shape[1], 16, 1 << 16))
+    for bound in (*nearer, k):
+        # The first rows of large buckets connect what is close; the slices double from there.
+        begin, now = 0, 32 if sizes.max() > 256 else 1 << 16
+        while begin < n:
+            now = min(now, step)
+            query = np.arange(begin, min(n, begin + now))
+            begin, now = begin + now, now * 2
+            query = query[sizes[bucket_of[query]] > 1]
+            node, apart = root[query], np.zeros(len(query), np.int32)
+            for i in range(top, 0, -1):
+                kids = child_from[i][node + 1] - child_from[i][node]
+                at = np.repeat(np.arange(len(query)), kids)
+                child = child_from[i][node][at] + np.arange(len(at)) - np.repeat(np.cumsum(kids) - kids, kids)
+                first, _, value = levels[i - 1]
+                q = query[at]
+                keep = np.r_[first[1:], n][child] - 1 > q  # each link is found from its smaller row
+                lows, highs = (np.minimum.reduceat(label, first), np.maximum.reduceat(label, first)) if i > 1 else (label, label)
+                keep &= (lows[child] != label[q]) | (highs[child] != label[q])
+                q, child, at = q[keep], child[keep], at[keep]
+                diff = apart[at] + bits((fps[q] ^ value[child]) & own[i - 1][child])
+                keep = diff <= bound
+                query, node, apart = q[keep], child[keep], diff[keep]
+            a, b = query, node
+            if links is not None and len(a):
+                tree = _forest(label, a, b, apart)
+                links.append((a[tree], b[tree], apart[tree]))
+            while len(a):
+                low = np.minimum(label[a], label[b])
+                new = label.copy()
+                for x in (a, b, label[a], label[b]):
+                    np.minimum.at(new, x, low)
+                new = new[new]
+                if np.array_equal(new, label):
+                    break
+                label = new
+            while not np.array_equal(label, label[label]):
+                label = label[label]
     return label
 
 
@@ -264,10 +302,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     return marked.join(classes, "fp").select(F.col("_key").alias(key), F.col("fp").alias("fingerprint"), "component_id")
 
 
-#: Bits of a band, and differing bits of all 64 * WORDS up to which wide fingerprints link. At a share s of common
+#: Bits of a band, and differing bits of all 64 * WORDS up to which wide fingerprints are compared. At a share s of common
 #: shingles a bit differs with probability arccos(2 s / (1 + s)) / pi: at 0.8 in 77 of 512 bits, give or take 8, and then
 #: some band of 36 agrees in 98 of 100 pairs (at 0.85 in 99.6, at 0.9 in 99.99).
-BAND_BITS, WIDE_BITS = 14, 86
+BAND_BITS, WIDE_BITS = 14, 96
+#: Nearer bounds, whose links come first: within the first, texts are alike beyond doubt (0.8 lies over three deviations off).
+NEARER = (48, 72)
+#: Share of common shingles from which texts count as near duplicates.
+SIMILARITY = 0.8
 
 
 def _wide_links(k: int, band_bits: int):
@@ -278,10 +320,11 @@ def _wide_links(k: int, band_bits: int):
         for s in (1, 2, 4, 8, 16, 32):
             rank ^= rank >> np.uint64(s)
         order = np.lexsort((rank, b))
-        label = gray_links(b[order], fps[order], k)
-        at = np.flatnonzero(label != np.arange(len(label)))
-        ids = ids[order]
-        return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[label[at]])], names=["a", "b"])
+        found: list[tuple] = []
+        gray_links(b[order], fps[order], k, nearer=NEARER, links=found)
+        ids, none = ids[order], np.zeros(0, np.int64)
+        x, y, apart = (np.concatenate(c) for c in zip((none, none, none), *found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(apart.astype(np.int64))], names=["a", "b", "apart"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -322,13 +365,16 @@ def _bands(band_bits: int):
     return run
 
 
-def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, k: int = WIDE_BITS, band_bits: int = BAND_BITS) -> DataFrame:
+def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, k: int = WIDE_BITS, band_bits: int = BAND_BITS, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row of ``docs``: (key, component_id), for documents that share most of their shingles.
 
     64 bits tell only nearly equal texts from others; here fingerprints have ``64 * WORDS`` bits, and those that agree in
-    a band of ``band_bits`` meet in a bucket, are indexed in Gray order there and link at ``k`` differing bits. Buckets hold
-    rows / 2**band_bits on average, so ``band_bits`` should grow with the logarithm of the corpus. Null or blank texts are
-    alike; null keys belong to components but never name one; repeated rows stay; an empty table gives no rows.
+    a band of ``band_bits`` meet in a bucket, are indexed in Gray order there and are candidates at ``k`` differing bits.
+    Each bucket gives a spanning forest, the nearest links first. Links within ``NEARER[0]`` bits stand; of others both
+    texts' shingle sets are compared, and those with less than ``similarity`` in common go. A link that lies only on a
+    path of others that go can be lost. Buckets hold rows / 2**band_bits on average, so ``band_bits`` should grow with the
+    logarithm of the corpus. Null or blank texts are alike; null keys belong to components but never name one, and link
+    beyond ``NEARER[0]`` bits only if an equal fingerprint has a key; repeated rows stay; an empty table gives no rows.
     """
 
     @F.pandas_udf("binary")
@@ -338,7 +384,19 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
     marked = materialize(docs.select(F.col(key).alias("_key"), of(F.col(text)).alias("fp")), "wide")
     firsts = materialize(marked.groupBy("fp").agg(F.min("_key").alias("first")).withColumn("id", F.monotonically_increasing_id()), "classes")
     rows = firsts.select("id", "fp").mapInArrow(_bands(band_bits), "bucket long, id long, fp binary").repartition("bucket").sortWithinPartitions("bucket")
-    root = components(rows.mapInArrow(_wide_links(k, band_bits), "a long, b long"))
+    links = materialize(rows.mapInArrow(_wide_links(k, band_bits), "a long, b long, apart long").withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}).distinct(), "links")
+    doubtful = links.filter(F.col("apart") > NEARER[0])
+
+    @F.pandas_udf("array<bigint>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(x, width).view(np.int64) for x in texts], dtype=object)
+
+    ends = materialize(doubtful.select("a").union(doubtful.select("b")).distinct().withColumnRenamed("a", "id").join(firsts, "id").select("id", F.col("first").alias("_key")), "ends")
+    sets = materialize(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(small(ends), "_key").select("id", shingles("_text").alias("s")), "sets")
+    both = doubtful.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    alike = both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    root = components(links.filter(F.col("apart") <= NEARER[0]).select("a", "b").union(alike))
     rooted = materialize(firsts.join(root.withColumnRenamed("node", "id"), "id", "left").select("fp", "first", F.coalesce("root", "id").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(named, "root").select("fp", "component_id")
