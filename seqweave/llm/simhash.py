@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small
@@ -137,25 +137,21 @@ def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray)
         group = root[group]
 
 
-def gray_links(buckets: np.ndarray, fps: np.ndarray, k: int, budget: int = 2_000_000, nearer: tuple[int, ...] = (), links: list | None = None) -> np.ndarray:
-    """For each row the smallest row that it is connected to, over links of at most ``k`` bits in its bucket.
-
-    With ``nearer`` (rising bounds below ``k``) links within these are made first. ``links`` receives (row, row, bits apart)
-    of a spanning forest of direct links.
+def gray_pairs(buckets: np.ndarray, fps: np.ndarray, bounds: tuple[int, ...], label: np.ndarray, budget: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, row, bits apart) of the pairs of a bucket within each of the rising ``bounds`` whose labels differ, slice by slice.
 
     ``fps`` (uint64, one word for each row, or a row of words) are sorted by bucket, then by Gray rank. ``budget`` bounds
-    the words of (row, node) pairs in work at once. Rows ask in slices; groups that earlier slices have connected with the asking
-    row altogether aren't entered again, so a large cluster costs no comparison of all its pairs.
+    the words of (row, node) pairs in work at once. Rows ask in slices; groups in which all have the label of the asking
+    row aren't entered. ``label`` may change between slices; if it doesn't, every pair within the bound is given.
     """
     n = len(fps)
-    label = np.arange(n)
     if n < 2:
-        return label
+        return
     fps = fps.reshape(n, -1)
     starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
     sizes = np.diff(np.r_[starts, n])
     if sizes.max() < 2:
-        return label
+        return
     bucket_of = np.repeat(np.arange(len(starts)), sizes)
     place = np.arange(n) - starts[bucket_of]
     bits = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int32)
@@ -177,7 +173,7 @@ def gray_links(buckets: np.ndarray, fps: np.ndarray, k: int, budget: int = 2_000
     top = len(levels) - 1
     root = np.searchsorted(levels[top][0], np.arange(n), "right") - 1
     step = int(np.clip(budget // sizes.max() // fps.shape[1], 16, 1 << 16))
-    for bound in (*nearer, k):
+    for bound in bounds:
         # The first rows of large buckets connect what is close; the slices double from there.
         begin, now = 0, 32 if sizes.max() > 256 else 1 << 16
         while begin < n:
@@ -199,21 +195,32 @@ def gray_links(buckets: np.ndarray, fps: np.ndarray, k: int, budget: int = 2_000
                 diff = apart[at] + bits((fps[q] ^ value[child]) & own[i - 1][child])
                 keep = diff <= bound
                 query, node, apart = q[keep], child[keep], diff[keep]
-            a, b = query, node
-            if links is not None and len(a):
-                tree = _forest(label, a, b, apart)
-                links.append((a[tree], b[tree], apart[tree]))
-            while len(a):
-                low = np.minimum(label[a], label[b])
-                new = label.copy()
-                for x in (a, b, label[a], label[b]):
-                    np.minimum.at(new, x, low)
-                new = new[new]
-                if np.array_equal(new, label):
-                    break
-                label = new
-            while not np.array_equal(label, label[label]):
-                label = label[label]
+            yield query, node, apart
+
+
+def gray_links(buckets: np.ndarray, fps: np.ndarray, k: int, budget: int = 2_000_000, nearer: tuple[int, ...] = (), links: list | None = None) -> np.ndarray:
+    """For each row the smallest row that it is connected to, over links of at most ``k`` bits in its bucket.
+
+    With ``nearer`` (rising bounds below ``k``) links within these are made first. ``links`` receives (row, row, bits apart)
+    of a spanning forest of direct links. Rows are as ``gray_pairs`` takes them; groups that earlier slices have connected
+    aren't entered again, so a large cluster costs no comparison of all its pairs.
+    """
+    label = np.arange(len(fps))
+    for a, b, apart in gray_pairs(buckets, fps, (*nearer, k), label, budget):
+        if links is not None and len(a):
+            tree = _forest(label, a, b, apart)
+            links.append((a[tree], b[tree], apart[tree]))
+        while len(a):
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            for x in (a, b, label[a], label[b]):
+                np.minimum.at(new, x, low)
+            new = new[new]
+            if np.array_equal(new, label):
+                break
+            label[:] = new
+        while not np.array_equal(label, label[label]):
+            label[:] = label[label]
     return label
 
 
@@ -346,21 +353,123 @@ def _wide_links(k: int, band_bits: int):
     return run
 
 
+def _band_values(bits: np.ndarray, band_bits: int) -> np.ndarray:
+    """The values of all bands of each row of bits."""
+    bands = 64 * WORDS // band_bits
+    return bits[:, : bands * band_bits].reshape(len(bits), bands, band_bits).astype(np.int64) @ (1 << np.arange(band_bits))
+
+
 def _bands(band_bits: int):
-    """(bucket, id, fp) of each row for each of its bands."""
+    """(bucket, id, fp), and what else a row has, of each row for each of its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = 64 * WORDS // band_bits
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
             fp = batch.column(1).to_pylist()
-            bits = np.unpackbits(np.frombuffer(b"".join(fp), np.uint8).reshape(n, -1), axis=1, bitorder="little")
-            value = bits[:, : bands * band_bits].reshape(n, bands, band_bits).astype(np.int64) @ (1 << np.arange(band_bits))
-            bucket = (value | (np.arange(bands) << band_bits)).T
-            for band in range(bands):
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[band].copy()), batch.column(0), batch.column(1)], names=["bucket", "id", "fp"])
+            value = _band_values(np.unpackbits(np.frombuffer(b"".join(fp), np.uint8).reshape(n, -1), axis=1, bitorder="little"), band_bits)
+            bucket = (value | (np.arange(value.shape[1]) << band_bits)).T
+            for band in range(len(bucket)):
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[band].copy()), *batch.columns], names=["bucket", *batch.schema.names])
+
+    return run
+
+
+#: Shingles of a block of texts, and the least that a text counts for: a task compares texts of two blocks at a time.
+BLOCK_SHINGLES, LEAST_SHINGLES = 1 << 21, 1 << 11
+
+
+def _wide_pairs(k: int, band_bits: int):
+    """Rows (bucket, id, fp, class) come sorted by bucket: (a, b) of all pairs of different classes at most ``k`` bits
+    apart, each in the first of the bands in which it agrees."""
+
+    def done(b: np.ndarray, ids: np.ndarray, fps: np.ndarray, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rank = fps[:, 0].copy()
+        for s in (1, 2, 4, 8, 16, 32):
+            rank ^= rank >> np.uint64(s)
+        order = np.lexsort((rank, b))
+        b, ids, fps = b[order], ids[order], fps[order]
+        _, first, at = np.unique(classes[order], return_index=True, return_inverse=True)
+        raw = fps.view(np.uint8).reshape(len(fps), -1)
+        values = np.concatenate([_band_values(np.unpackbits(raw[i : i + 4096], axis=1, bitorder="little"), band_bits).astype(np.int32) for i in range(0, len(raw), 4096)])
+        for x, y, _ in gray_pairs(b, fps, (k,), first[at]):
+            for i in range(0, len(x), CHUNK):
+                p, q = x[i : i + CHUNK], y[i : i + CHUNK]
+                here = (values[p] == values[q]).argmax(axis=1) == b[p] >> band_bits
+                p, q = ids[p[here]], ids[q[here]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(batch.num_rows, WORDS)
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), raw, batch.column(3).to_numpy()))
+            rows += batch.num_rows
+            if rows >= CHUNK and held[0][0][0] != held[-1][0][-1]:
+                all_ = [np.concatenate(x) for x in zip(*held, strict=True)]
+                cut = int(np.searchsorted(all_[0], all_[0][-1]))
+                yield from done(*(x[:cut] for x in all_))
+                held, rows = [tuple(x[cut:] for x in all_)], len(all_[0]) - cut
+        if held:
+            yield from done(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return run
+
+
+def alike_pairs(a: np.ndarray, b: np.ndarray, ids: np.ndarray, sizes: np.ndarray, values: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of texts (a, b) have ``similarity`` or more of their shingles in common, exactly.
+
+    ``ids`` and ``sizes`` are those of the texts' sets, which follow each other in ``values``.
+    """
+    starts, order = np.cumsum(sizes) - sizes, np.argsort(ids, kind="stable")
+    i, j = (order[np.searchsorted(ids, x, sorter=order)] for x in (a, b))
+    distinct, values = np.unique(values, return_inverse=True)
+    mark, out = np.zeros(len(distinct), bool), np.zeros(len(a), bool)
+    todo = np.flatnonzero((np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j])) & (sizes[j] > 0))
+    todo = todo[np.argsort(i[todo], kind="stable")]
+    for part in np.split(todo, np.flatnonzero(np.diff(i[todo])) + 1) if len(todo) else ():
+        at, with_ = i[part[0]], j[part]
+        own = values[starts[at] : starts[at] + sizes[at]]
+        mark[own] = True
+        n = sizes[with_]
+        begin = np.cumsum(n) - n
+        common = np.add.reduceat(mark[values[np.repeat(starts[with_] - begin, n) + np.arange(n.sum())]], begin, dtype=np.int64)
+        mark[own] = False
+        out[part] = common >= similarity * (sizes[at] + n - common)
+    return out
+
+
+def _alike(similarity: float):
+    """Rows (cell, a, b, s) come sorted by cell: sets ``s`` of texts ``a``, where b is null, and pairs of them."""
+
+    def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        of_set = table.filter(table["b"].is_null())
+        pairs = table.filter(table["b"].is_valid())
+        a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+        sets = of_set["s"].combine_chunks()
+        yes = alike_pairs(a, b, of_set["a"].to_numpy(), np.asarray(sets.value_lengths(), np.int64), sets.flatten().to_numpy(), similarity)
+        return pa.RecordBatch.from_arrays([pa.array(a[yes]), pa.array(b[yes])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size >= 16 << 20 and held[0]["cell"][0] != batch["cell"][-1]:
+                table = pa.Table.from_batches(held).combine_chunks()
+                cut = int(np.searchsorted(table["cell"].to_numpy(), table["cell"][-1].as_py()))
+                yield done(table.slice(0, cut).to_batches())
+                held = table.slice(cut).to_batches()
+                size = sum(x.nbytes for x in held)
+        if held:
+            yield done(held)
 
     return run
 
@@ -371,18 +480,22 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
     64 bits tell only nearly equal texts from others; here fingerprints have ``64 * WORDS`` bits, and those that agree in
     a band of ``band_bits`` meet in a bucket, are indexed in Gray order there and are candidates at ``k`` differing bits.
     Each bucket gives a spanning forest, the nearest links first. Links within ``NEARER[0]`` bits stand; of others both
-    texts' shingle sets are compared, and those with less than ``similarity`` in common go. A link that lies only on a
-    path of others that go can be lost. Buckets hold rows / 2**band_bits on average, so ``band_bits`` should grow with the
-    logarithm of the corpus. Null or blank texts are alike; null keys belong to components but never name one, and link
-    beyond ``NEARER[0]`` bits only if an equal fingerprint has a key; repeated rows stay; an empty table gives no rows.
+    texts' shingle sets are compared, and those with less than ``similarity`` in common go. Where the links that stay leave
+    candidates in different classes, all pairs of candidates between these are compared, so none is lost to the forest.
+    Buckets hold rows / 2**band_bits on average, so ``band_bits`` should grow with the logarithm of the corpus. Null or
+    blank texts are alike; null keys belong to components but never name one; repeated rows stay; an empty table gives no
+    rows.
     """
 
     @F.pandas_udf("binary")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([wide_fingerprint(x, width) for x in texts], dtype=object)
 
-    marked = materialize(docs.select(F.col(key).alias("_key"), of(F.col(text)).alias("fp")), "wide")
-    firsts = materialize(marked.groupBy("fp").agg(F.min("_key").alias("first")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    hashed = F.xxhash64(F.coalesce(text, F.lit("")))
+    marked = materialize(docs.select(F.col(key).alias("_key"), hashed.alias("_of"), of(F.col(text)).alias("fp")), "wide")
+    # The row whose text stands for a fingerprint has its first key and the hash ``_of``.
+    firsts = marked.groupBy("fp").agg(F.min("_key").alias("first"), F.coalesce(F.min_by("_of", "_key"), F.min("_of")).alias("_of"))
+    firsts = materialize(firsts.withColumn("id", F.monotonically_increasing_id()), "classes")
     rows = firsts.select("id", "fp").mapInArrow(_bands(band_bits), "bucket long, id long, fp binary").repartition("bucket").sortWithinPartitions("bucket")
     links = materialize(rows.mapInArrow(_wide_links(k, band_bits), "a long, b long, apart long").withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}).distinct(), "links")
     doubtful = links.filter(F.col("apart") > NEARER[0])
@@ -391,12 +504,41 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_hashes(x, width).view(np.int64) for x in texts], dtype=object)
 
-    ends = materialize(doubtful.select("a").union(doubtful.select("b")).distinct().withColumnRenamed("a", "id").join(firsts, "id").select("id", F.col("first").alias("_key")), "ends")
-    sets = materialize(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(small(ends), "_key").select("id", shingles("_text").alias("s")), "sets")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """(id, s): the shingle set of each fingerprint; where rows are repeated, several times."""
+        ends = materialize(ids.join(firsts, "id").select("id", F.col("first").alias("_first"), F.col("_of").alias("_hash")), "ends")
+        texts = docs.select(F.col(key).alias("_key"), hashed.alias("_of"), F.col(text).alias("_text"))
+        met = texts.join(small(ends), (F.col("_of") == F.col("_hash")) & F.col("_key").eqNullSafe(F.col("_first")))
+        return materialize(met.select("id", shingles("_text").alias("s")), "sets")
+
+    sets = sets_of(doubtful.select("a").union(doubtful.select("b")).distinct().toDF("id"))
     both = doubtful.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    alike = both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    root = components(links.filter(F.col("apart") <= NEARER[0]).select("a", "b").union(alike))
+    stay = links.filter(F.col("apart") <= NEARER[0]).select("a", "b").union(both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+    stay = materialize(stay, "stay")
+    root = components(stay)
+    # Candidates that meet somewhere but are in different classes; of two alone, their one link has been compared.
+    met = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    met = met.join(components(links.select("a", "b")).toDF("id", "met"), "id", "left").join(root.toDF("id", "root"), "id", "left")
+    met = materialize(met.select("id", F.coalesce("met", "id").alias("met"), F.coalesce("root", "id").alias("class")), "met")
+    split = met.groupBy("met").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter("n > 2 and low < high")
+    still = materialize(met.join(split.select("met"), "met", "left_semi"), "split")
+    if not still.isEmpty():
+        rows = still.join(firsts, "id").select("id", "fp", "class").mapInArrow(_bands(band_bits), "bucket long, id long, fp binary, class long").repartition("bucket").sortWithinPartitions("bucket")
+        pairs = materialize(rows.mapInArrow(_wide_pairs(k, band_bits), "a long, b long"), "pairs")
+        sets = sets_of(pairs.select("a").union(pairs.select("b")).distinct().toDF("id")).dropDuplicates(["id"])
+        sets = materialize(sets.join(still, "id").select("id", "met", "s"), "sets_split")
+        # Texts that may meet lie in blocks that a task can hold; a cell is two blocks with the pairs between them.
+        weight = F.greatest(F.size("s"), F.lit(LEAST_SHINGLES)).cast("long")
+        before = F.sum("w").over(Window.partitionBy("met").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")
+        blocks = small(materialize(sets.select("id", "met", weight.alias("w")).select("id", "met", F.floor(before / BLOCK_SHINGLES).alias("block")), "blocks"))
+        celled = pairs.join(blocks.select(F.col("id").alias("a"), "met", F.col("block").alias("x")), "a").join(blocks.select(F.col("id").alias("b"), F.col("block").alias("y")), "b")
+        celled = materialize(celled.select(F.xxhash64("met", "x", "y").alias("cell"), "a", "b"), "cells")
+        needed = celled.select("cell", "a").union(celled.select("cell", "b")).distinct().toDF("cell", "id").join(sets, "id")
+        none = F.lit(None)
+        mixed = needed.select("cell", F.col("id").alias("a"), none.cast("long").alias("b"), "s").union(celled.select("cell", "a", "b", none.cast("array<bigint>")))
+        more = mixed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_alike(similarity), "a long, b long")
+        root = components(stay.union(more))
     rooted = materialize(firsts.join(root.withColumnRenamed("node", "id"), "id", "left").select("fp", "first", F.coalesce("root", "id").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(named, "root").select("fp", "component_id")

@@ -243,6 +243,58 @@ def test_similar_documents(spark):
     assert simhash.similar_documents(df.limit(0)).count() == 0
 
 
+def crowded_copies(n, seed=5):
+    """Copies of one text of 104 words with two or three words changed: most pairs lie on both sides of four fifths."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for at in rng.sample(range(104), rng.choice([2, 3])):
+            words[at] = f"new{rng.randrange(10**6)}"
+        out.append(words)
+    return out
+
+
+def test_crowded_copies(spark, monkeypatch):
+    """All candidates of a crowded group are held against each other: components are those of all pairs that can be
+    candidates, also over several blocks."""
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 1 << 16, raising=False)
+    texts = crowded_copies(400)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    fps = np.array([np.frombuffer(simhash.wide_fingerprint(" ".join(t), 5), np.uint8) for t in texts])
+    bits = np.unpackbits(fps, axis=1, bitorder="little")
+    bands = bits[:, : 36 * 14].reshape(len(texts), 36, 14)
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j in range(len(texts)):
+        apart, meet = (bits[:j] != bits[j]).sum(axis=1), (bands[:j] == bands[j]).all(axis=2).any(axis=1)
+        for i in np.flatnonzero(meet & (apart <= simhash.WIDE_BITS)):
+            if apart[i] <= simhash.NEARER[0] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[find(j)] = find(int(i))
+    smallest = {}
+    for i in range(len(texts)):
+        smallest.setdefault(find(i), i)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    assert got == {i: smallest[find(i)] for i in range(len(texts))}
+
+
+def test_alike_pairs():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(0, 60))) for _ in range(60)]
+    ids = rng.permutation(1000)[:60]
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
+    got = simhash.alike_pairs(ids[a], ids[b], ids, np.array([len(s) for s in sets]), np.concatenate(sets), 0.5)
+    want = [bool(len(sets[i])) and len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)]
+    assert got.tolist() == want
+
+
 # Media ----------------------------------------------------------------------------------------------------------------
 
 
