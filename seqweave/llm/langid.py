@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from .common import materialize, small
 
 UND = "und"
-#: Labelled rows that the trigram models are fitted on at most, and hash buckets of trigrams.
-SAMPLE, BUCKETS = 2000, 1 << 16
+#: Labelled rows of a language that its trigram model is fitted on at most, of all languages together (but 20 of each in
+#: any case), languages that have models at most, and hash buckets of trigrams.
+SAMPLE, SAMPLE_ALL, LANGUAGES, BUCKETS = 500, 20_000, 400, 1 << 16
+#: What each bucket counts beforehand. A model of fewer trigrams than all buckets count so is hardly one: it is like UND.
+BEFORE = 0.05
 #: Trigrams of a text that count at most as independent evidence, trigrams for one such, prior weight of UND.
 EFFECTIVE, OVERLAP, UND_PRIOR = 300, 3, 0.02
 #: Strength of the smoothing, as a number of documents; share of wrong declarations that is taken for granted.
@@ -43,10 +46,11 @@ class Model:
     """Trigram log-probabilities of each language, and of UND, whose buckets are equally likely."""
 
     def __init__(self, texts: list[tuple[str, str]]):
-        self.languages = sorted({lang for lang, _ in texts})
-        counts = np.full((BUCKETS, len(self.languages)), 0.05)
+        found: dict[str, np.ndarray] = {}
         for lang, text in texts:
-            counts[:, self.languages.index(lang)] += np.bincount(trigrams(text), minlength=BUCKETS)
+            np.add.at(found.setdefault(lang, np.zeros(BUCKETS)), trigrams(text), 1)
+        self.languages = sorted(lang for lang, n in found.items() if n.sum() >= BEFORE * BUCKETS)
+        counts = np.column_stack([found[lang] for lang in self.languages] or [np.zeros((BUCKETS, 0))]) + BEFORE
         self.table = np.hstack([np.log(counts / counts.sum(axis=0)), np.full((BUCKETS, 1), -math.log(BUCKETS))]).astype(np.float32)
         self.languages.append(UND)
 
@@ -59,32 +63,45 @@ class Model:
         return total / len(code) * min(len(code), EFFECTIVE) / OVERLAP
 
 
+def primary(tag: Column) -> Column:
+    """The primary subtag of a language tag, in lower case."""
+    return F.lower(F.regexp_extract(tag, r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", 1))
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` labelled rows, those with the lowest hashes of their keys.
+    """A model of every language that labels name, each from at most ``sample`` rows, those with the lowest hashes of
+    their keys.
 
-    Rows without label, text or key aren't used; with no rows left there are no languages but UND.
+    The languages are counted over all rows, so a rare one is fitted on what rows it has. Those with too little text for
+    a model, and beyond the ``LANGUAGES`` most frequent, have none; ``identify`` doesn't reject what is declared as such.
+    Labels that are language tags count by their primary subtag. Rows without label, text or key aren't used; with no
+    rows left there are no languages but UND.
     """
-    usable = docs.filter(F.col(label).isNotNull() & (F.col(label) != UND) & F.col(key).isNotNull())
-    order = F.xxhash64(F.col(key), F.lit(17))
-    lowest = usable.select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if lowest is None:
+    name = F.coalesce(F.nullif(primary(F.col(label)), F.lit("")), F.trim(label))
+    usable = docs.select(name.alias("label"), F.xxhash64(F.col(key), F.lit(17)).alias("h"), F.col(key).alias("_key"), F.col(text).alias("text"))
+    usable = usable.filter((F.col("label") != "") & (F.col("label") != UND) & F.col("_key").isNotNull() & F.col("text").isNotNull())
+    listed = [r["label"] for r in usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()]
+    if not listed:
         return Model([])
-    rows = usable.filter((order <= lowest) & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text")).limit(sample).collect()
+    most = min(sample, max(20, SAMPLE_ALL // len(listed)))
+    usable = usable.filter(F.col("label").isin(listed))
+    # The bounds come from thin rows; the texts are read for those within them alone.
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    bounds = usable.select("label", "h").withColumn("nth", nth).filter(F.col("nth") <= most).groupBy("label").agg(F.max("h").alias("h")).collect()
+    bound = F.create_map(*(F.lit(x) for r in bounds for x in (r["label"], r["h"])))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("h", F.xxhash64("text")))
+    rows = usable.filter(F.col("h") <= bound[F.col("label")]).withColumn("nth", nth).filter(F.col("nth") <= most).select("label", "text").collect()
     return Model([(r["label"], r["text"]) for r in rows])
 
 
-def primary(tag: Column) -> Column:
-    """The primary subtag of a language tag, in lower case."""
-    return F.lower(F.regexp_extract(tag, r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", 1))
-
-
 def identify(docs: DataFrame, model: Model, key: str, text: str, declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, parent: Column | None = None, kappa: float = KAPPA, wrong: float = WRONG) -> DataFrame:
     """(key, language, probability, kept), a row for each document.
 
     ``declared`` is a language tag, ``suffix`` the end of an address, ``host`` and ``parent`` name where the document is
     from; each may be null or missing and is then no evidence. ``kept`` is false for documents without letters and for
-    those that are most probably no language (UND). With a model without languages all are UND and kept if they have
-    letters. Null texts count as empty; repeated rows stay and count; an empty table gives no rows.
+    those that are most probably no language (UND). Where a language is declared that has no model, the text can't tell it
+    from UND: it is that language then, and kept if it has letters. With a model without languages all are UND otherwise and
+    kept if they have letters. Null texts count as empty; repeated rows stay and count; an empty table gives no rows.
     """
     n = len(model.languages)
     null = F.lit(None).cast("string")
@@ -95,7 +112,7 @@ def identify(docs: DataFrame, model: Model, key: str, text: str, declared: Colum
 
     known = [x for x in model.languages if x != UND]
     tag = primary(declared) if declared is not None else null
-    thin = docs.select(F.col(key).alias("_key"), F.when(tag.isin(known), tag).alias("declared") if known else null.alias("declared"), *((null if c is None else c).alias(name) for name, c in (("suffix", suffix), ("host", host), ("parent", parent))), evidence(F.col(text)).alias("e"))
+    thin = docs.select(F.col(key).alias("_key"), F.when(tag.isin(known), tag).alias("declared") if known else null.alias("declared"), F.when((tag != "") & ~tag.isin([*known, UND]), tag).alias("unknown"), *((null if c is None else c).alias(name) for name, c in (("suffix", suffix), ("host", host), ("parent", parent))), evidence(F.col(text)).alias("e"))
     thin = materialize(thin, "evidence")
     prior = [math.log(UND_PRIOR if x == UND else (1 - UND_PRIOR) / max(1, n - 1)) for x in model.languages]
     e = [F.col("e")[i] for i in range(n)]
@@ -137,9 +154,10 @@ def identify(docs: DataFrame, model: Model, key: str, text: str, declared: Colum
         at_host = small(materialize(at_host, "hosts"))
         out = out.join(at_host, (F.col("host") == F.col("_host")) & F.col("parent").eqNullSafe(F.col("_parent")), "left")
     logs = [e[i] + said[i] + (F.coalesce(F.col("suffix_log")[i], F.lit(0.0)) if suffix is not None else 0.0) + (F.coalesce(F.col("host_log")[i], F.lit(math.log(base[i]))) if host is not None else F.lit(prior[i])) for i in range(n)]
-    found = out.select("_key", "e", F.array(*logs).alias("_l"))
+    found = out.select("_key", "e", "unknown", F.array(*logs).alias("_l"))
     best = F.array_max("_l")
     language = F.when(F.col("e").isNull(), F.lit(UND)).otherwise(F.element_at(F.array(*(F.lit(x) for x in model.languages)), F.array_position("_l", best).cast("int")))
     probability = 1 / F.aggregate(F.transform("_l", lambda x: F.exp(x - best)), F.lit(0.0), lambda a, x: a + x)
+    language = F.when(F.col("e").isNotNull() & (language == UND), F.coalesce("unknown", language)).otherwise(language)
     kept = F.col("e").isNotNull() & (language != UND) if known else F.col("e").isNotNull()
     return found.select(F.col("_key").alias(key), language.alias("language"), F.when(F.col("e").isNotNull(), probability).alias("probability"), kept.alias("kept"))

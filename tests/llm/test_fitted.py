@@ -50,6 +50,22 @@ def test_noise_is_no_language(spark, labelled):
     assert got["language"] == langid.UND and not got["kept"]
 
 
+def test_rare_languages_are_kept(spark, labelled):
+    """A language of few rows among many has a model, declared or not; one without any model isn't rejected if declared."""
+    greek = lambda rng: " ".join("".join(rng.choice("αβγδεζηθικλμνξοπρστυφχψω") for _ in range(6)) for _ in range(60))
+    russian = lambda rng: " ".join("".join(rng.choice("абвгдежзиклмнопрст") for _ in range(6)) for _ in range(60))
+    rng = random.Random(8)
+    many = labelled.crossJoin(spark.range(10)).select((F.col("doc_id") + 1000 * F.col("id")).alias("doc_id"), "text", "lang", "source")
+    rows = [(20_000 + i, greek(rng), "el", "h") for i in range(6)] + [(20_100, greek(rng), None, "h"), (20_200, russian(rng), "ru-RU", "h"), (20_300, " 12 ", "ru", "h")]
+    df = many.unionByName(spark.createDataFrame(rows, labelled.schema))
+    model = langid.fit(df, sample=100)
+    assert model.languages == ["de", "el", "en", "fr", langid.UND]
+    got = {r["doc_id"]: r for r in langid.identify(df, model, "doc_id", "text", declared=F.col("lang"), host=F.col("source")).filter("doc_id >= 20000").collect()}
+    assert all(got[i]["kept"] and got[i]["language"] == "el" for i in (*range(20_000, 20_006), 20_100))
+    assert got[20_200]["kept"] and got[20_200]["language"] == "ru"
+    assert not got[20_300]["kept"] and got[20_300]["language"] == langid.UND
+
+
 def test_without_labels_or_rows(spark, docs, none, folder):
     model = langid.fit(docs.withColumn("lang", F.lit(None).cast("string")))
     assert model.languages == [langid.UND]
