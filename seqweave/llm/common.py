@@ -18,16 +18,17 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or f"file://{tempfile.gettempdir()}/seqweave-shared").rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, folders: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: later jobs, and tasks that run again after an executor is lost, start from the written
-    files. Every call gets a folder of its own below ``<shared>/seqweave/<application>/``.
+    files. Every call gets a folder of its own below ``<shared>/seqweave/<application>/``, and in it one for each value of
+    the columns ``folders``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seqweave/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

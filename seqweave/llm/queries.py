@@ -59,11 +59,12 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents dealt into shards by their keys and shuffled there."""
+    """All documents dealt into shards by their keys and shuffled there with their texts; sizes and checksums are those of
+    the records read back from their shards."""
     text = F.coalesce("text", F.lit(""))
-    docs = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    out = sharding.shuffle_into_shards(materialize(docs, "records"), "doc_id", "size")
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.col("grown_shard").cast("int"))
+    size = (F.octet_length(text) + 16).cast("long").alias("size")
+    out = sharding.shuffle_into_shards(read(spark, sf_dir, "documents").select("doc_id", "text", size), "doc_id", "size")
+    return out.select("doc_id", size, F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.col("grown_shard").cast("int"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 First pass: a seeded hash scatters the records over shards, and within a shard over buckets that fit in memory. A record's
 shard is the one with the highest hash of (key, shard), so its key and the number of shards decide, and one more shard
 takes records only into itself. Second pass: each bucket is shuffled as one array by Fisher-Yates (Spark's ``shuffle``)
-and written; a shard's buckets follow each other.
+and written to its shard's folder; a shard's buckets follow each other. What is given is read back from there.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def shuffle_into_shards(records: DataFrame, key: str, size: str, shards: int = S
     # Each bucket is a partition of its own, so the generator, which a partition's number seeds, starts anew for it.
     gathered = dealt.repartitionById(buckets, F.col("_bucket")).groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct(*(c for c in dealt.columns if c != "_bucket")))).alias("rows"))
     shuffled = gathered.select("_bucket", F.posexplode(F.shuffle("rows", seed)).alias("at", "row"))
-    shuffled = materialize(shuffled.select("_bucket", F.col("at").cast("long").alias("at"), "row.*"), "shuffled")
+    shuffled = materialize(shuffled.select("_bucket", F.col("at").cast("long").alias("at"), "row.*"), "shuffled", ("shard",))
     counts = shuffled.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = materialize(counts.select(F.col("_bucket").alias("_b"), before.alias("before")), "offsets")

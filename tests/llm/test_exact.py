@@ -440,6 +440,21 @@ def test_sharding(spark, rows, folder):
     assert queries.op7_sharding(spark, str(folder / "none")).count() == 0
 
 
+def test_texts_go_through_the_shards(spark, folder, rows, monkeypatch):
+    """The query's checksums are those of what comes out of the shards, to which the texts are written."""
+    real, given = sharding.shuffle_into_shards, []
+
+    def spied(*args, **kwargs):
+        given.append(real(*args, **kwargs))
+        return given[-1].withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("!")))
+
+    monkeypatch.setattr(sharding, "shuffle_into_shards", spied)
+    got = queries.op7_sharding(spark, str(folder / "all")).collect()
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in got) == Counter((d, zlib.crc32(((t or "") + "!").encode())) for d, t, *_ in rows)
+    assert Counter((r["doc_id"], r["text"]) for r in given[0].collect()) == Counter((d, t) for d, t, *_ in rows)
+    assert all("/shuffled-" in f and "/shard=" in f for f in given[0].inputFiles() if "/offsets-" not in f)
+
+
 def test_growing_and_several_buckets(spark, tmp_path):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(100).cast("long").alias("size"), F.lit("x").alias("slot"))
     a = sharding.shuffle_into_shards(df, "doc_id", "size", 7, bucket_rows=300).cache()
