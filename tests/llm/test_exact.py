@@ -505,6 +505,15 @@ def test_templates(spark):
     assert got[301]["verdict"] == "allow"
 
 
+def test_deep_sections(spark):
+    """Sections below the fourth segment have templates and verdicts of their own."""
+    rows = [(i, f"http://h.example.org/a/b/c/d/{'casino' if i % 10 == 0 else 'news'}/x{i % 3}/{i}", int(i % 10 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, label int")
+    got = urltree.judge(df, label=F.col("label"), rules=()).collect()
+    assert all(r["verdict"] == ("block" if r["page_id"] % 10 == 0 else "allow") for r in got)
+    assert len({r["template"] for r in got if r["page_id"] % 10 == 0} & {r["template"] for r in got if r["page_id"] % 10}) == 0 and len(got) == 300
+
+
 # Packing --------------------------------------------------------------------------------------------------------------
 
 
