@@ -1,4 +1,4 @@
-"""Column functions on nucleotide sequences, read names and super-read paths. All stay in the JVM."""
+"""Column functions on nucleotide sequences, read names and covering path paths. All stay in the JVM."""
 
 from __future__ import annotations
 

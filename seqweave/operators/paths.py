@@ -1,4 +1,4 @@
-"""Super-reads: paths of unitigs that reads or mate pairs cover, their sequences, containment and merging."""
+"""Covering paths: paths of unitigs that reads or mate pairs cover, their sequences, containment and merging."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ PATH = "array<struct<ku: bigint, ori: string>>"
 
 
 def read_paths(matches: DataFrame, unitigs: DataFrame, k: int, *keys: str, loose_ends: int = 2) -> DataFrame:
-    """(keys, read_len, path, sr, off, ori): the super-read of each read whose matches cover it.
+    """(keys, read_len, path, sr, off, ori): the covering path of each read whose matches cover it.
 
     Matches are taken in order; those within what is covered, or overlapping it by over k - 1 bases, are passed over; a
     gap, or over ``loose_ends`` uncovered bases at the ends together, gives none. Neighbours overlap by k - 1 bases.
@@ -101,7 +101,7 @@ def contained(paths: DataFrame, lengths: DataFrame | None = None, k: int = 0, un
 
 
 def replace_placements(placements: DataFrame, good: DataFrame, reduction: DataFrame) -> DataFrame:
-    """Placements in super-reads that are good, moved into their containers."""
+    """Placements in covering paths that are good, moved into their containers."""
     kept = placements.join(good.select("sr"), "sr", "left_semi").join(reduction, "sr", "left")
     turned = F.col("rel_ori") == "R"
     off = F.when(F.col("container").isNull(), F.col("off")).when(turned, F.col("adj") - F.col("off")).otherwise(F.col("off") + F.col("adj"))
@@ -147,16 +147,16 @@ def join_mates(pairs: DataFrame, adjacent: DataFrame, k: int, sigmas: float = 5.
 
 
 def merge_chains(paths: DataFrame) -> DataFrame:
-    """(sr, chain, pos, turned): super-reads chained at unitigs that are an end of exactly two and inside none.
+    """(sr, chain, pos, turned): covering paths chained at unitigs that are an end of exactly two and inside none.
 
-    Each chain is named by its first super-read; ``turned`` ones are read from their other end. Rings stay unmerged.
+    Each chain is named by its first covering path; ``turned`` ones are read from their other end. Rings stay unmerged.
     """
     p = paths.select("sr", "path").distinct()
     ends = p.select("sr", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("path")[0]["ku"].alias("ku")), F.struct(F.lit(1).alias("side"), F.element_at("path", -1)["ku"].alias("ku")))).alias("e")).select("sr", "e.*")
     inside = p.select(F.explode(F.transform(F.slice("path", 2, F.greatest(F.size("path") - 2, F.lit(0))), lambda x: x["ku"])).alias("ku")).distinct()
     joints = ends.groupBy("ku").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("sr", "side"))).alias("two")).filter("n = 2").join(inside, "ku", "left_anti")
     joints = joints.filter("two[0].sr <> two[1].sr")
-    # A node is a super-read in a reading direction; leaving at side s continues into the other super-read at its side t.
+    # A node is a covering path in a reading direction; leaving at side s continues into the other covering path at its side t.
     lead = F.array(F.struct(F.col("two")[0].alias("a"), F.col("two")[1].alias("b")), F.struct(F.col("two")[1].alias("a"), F.col("two")[0].alias("b")))
     hops = joints.select(F.explode(lead).alias("h")).select(F.concat_ws("|", F.col("h.a.sr"), F.when(F.col("h.a.side") == 1, "F").otherwise("R")).alias("prev"), F.concat_ws("|", F.col("h.b.sr"), F.when(F.col("h.b.side") == 0, "F").otherwise("R")).alias("node"))
     nodes = p.select(F.explode(F.array(F.concat_ws("|", "sr", F.lit("F")), F.concat_ws("|", "sr", F.lit("R")))).alias("node"))

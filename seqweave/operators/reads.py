@@ -34,18 +34,18 @@ def both_mates(reads: DataFrame, insert: list[str], good) -> DataFrame:
 
 
 def joined_inserts(placements: DataFrame, insert: list[str], sr: str = "sr") -> DataFrame:
-    """(insert, sr) of the inserts both of whose reads are in one super-read."""
+    """(insert, sr) of the inserts both of whose reads are in one covering path."""
     return placements.groupBy(*insert, sr).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 2").drop("_n")
 
 
 def linking_inserts(placements: DataFrame, insert: list[str], sr: str = "sr") -> DataFrame:
-    """(insert, sr1, sr2) of the inserts whose two reads are in different super-reads, the smaller first."""
+    """(insert, sr1, sr2) of the inserts whose two reads are in different covering paths, the smaller first."""
     both = placements.groupBy(*insert).agg(F.min(sr).alias("sr1"), F.max(sr).alias("sr2"), F.count(F.lit(1)).alias("_n"))
     return both.filter("_n = 2 and sr1 <> sr2").drop("_n")
 
 
 def chimeric_inserts(placements: DataFrame, insert: list[str], end: str, sr: str, off: str, ori: str, inward: bool = False, most: int = 700) -> DataFrame:
-    """Inserts whose reads stand in one super-read within ``most`` bases, facing away from each other (or inward)."""
+    """Inserts whose reads stand in one covering path within ``most`` bases, facing away from each other (or inward)."""
     side = lambda e: placements.filter(F.col(end) == e).select(*insert, F.col(sr).alias(f"sr{e}"), F.col(off).alias(f"off{e}"), F.col(ori).alias(f"ori{e}"))
     both = side(0).join(side(1), insert).filter("sr0 = sr1")
     one, two = ("F", "R") if inward else ("R", "F")
@@ -79,7 +79,7 @@ def greedy_redundancy(pairs: DataFrame, group: list[str], order: list[str], off1
 
 
 def support_counts(placements: DataFrame, sr: str, insert: list[str], least: int = 2) -> DataFrame:
-    """(sr, cnt): distinct inserts with a read in the super-read, of those with at least ``least``."""
+    """(sr, cnt): distinct inserts with a read in the covering path, of those with at least ``least``."""
     return placements.select(sr, *insert).distinct().groupBy(sr).agg(F.count(F.lit(1)).alias("cnt")).filter(F.col("cnt") >= least)
 
 
@@ -105,7 +105,7 @@ def trimmed_stats(values: DataFrame, value: str, sigmas: float = 6.0, rounds: in
 
 
 def insert_sizes(placements: DataFrame, insert: list[str], end: str, sr: str, off: str, ori: str) -> DataFrame:
-    """(insert, insert_size) of pairs with opposite orientations in one super-read; F first counts positive."""
+    """(insert, insert_size) of pairs with opposite orientations in one covering path; F first counts positive."""
     fwd, rev = placements.filter(F.col(ori) == "F"), placements.filter(F.col(ori) == "R")
     return fwd.select(*insert, sr, F.col(off).alias("_f"), F.col(end).alias("_fe")).join(rev.select(*insert, sr, F.col(off).alias("_r"), F.col(end).alias("_re")), [*insert, sr]).filter("_fe <> _re").select(*insert, sr, (F.col("_r") - F.col("_f")).alias("insert_size"))
 
@@ -141,7 +141,7 @@ def from_number(numbers: DataFrame, blocks: DataFrame, lib: str, number: str = "
 
 
 def unjoined_pairs(placements: DataFrame, insert: list[str], sr: str = "sr") -> DataFrame:
-    """(sr1, sr2, inserts, cnt): the inserts between each unordered pair of super-reads."""
+    """(sr1, sr2, inserts, cnt): the inserts between each unordered pair of covering paths."""
     return linking_inserts(placements, insert, sr).groupBy("sr1", "sr2").agg(F.sort_array(F.collect_list(F.struct(*insert))).alias("inserts"), F.count(F.lit(1)).alias("cnt"))
 
 
@@ -151,7 +151,7 @@ def sampled_inserts(reads: DataFrame, insert: list[str], share: float, seed: int
 
 
 def jump_reads(placements: DataFrame, seqs: DataFrame, least: int = 64, most: int = 2047) -> DataFrame:
-    """(lib, read_no, seq): each read's stretch of its super-read from (off, ori) on, extended to ``least`` bases."""
+    """(lib, read_no, seq): each read's stretch of its covering path from (off, ori) on, extended to ``least`` bases."""
     met = placements.join(seqs.select("sr", F.col("seq").alias("_s")), "sr")
     n = F.length("_s")
     forward = F.substr("_s", F.greatest(F.least(F.col("off"), n - least), F.lit(0)).cast("int") + 1, F.lit(most))

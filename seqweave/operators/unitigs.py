@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..plans.storage import dense_ids, materialize
+from ..plans.storage import dense_ids, forget, materialize
 
 
 def _oriented(counts: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def chain_heads(links: DataFrame, nodes: DataFrame) -> DataFrame:
     left = now.filter("not done").count()
     while left:
         far = now.select(F.col("node").alias("ptr"), F.col("ptr").alias("_p"), F.col("pos").alias("_d"), F.col("done").alias("_done"))
-        now = materialize(now.filter("done").unionByName(now.filter("not done").join(far, "ptr").select("node", F.col("_p").alias("ptr"), (F.col("pos") + F.col("_d")).alias("pos"), F.col("_done").alias("done"))), "chains")
+        last, now = now, materialize(now.filter("done").unionByName(now.filter("not done").join(far, "ptr").select("node", F.col("_p").alias("ptr"), (F.col("pos") + F.col("_d")).alias("pos"), F.col("_done").alias("done"))), "chains")
+        forget(last)
         still = now.filter("not done").count()
         # On a cycle nobody gets done; a chain's unfinished nodes at least halve.
         if still == left and now.filter("not done and pos > 0").agg(F.min("pos")).first()[0] > now.count():
@@ -88,7 +89,8 @@ def spur_lengths(adjacent: DataFrame, unitigs: DataFrame, k: int, most: int) ->
         ahead = edges.join(known.select(F.col("ku").alias("nku"), F.col("ori").alias("nori"), "bases"), ["nku", "nori"])
         closed = ahead.groupBy("ku", "ori").agg(F.count(F.lit(1)).alias("closed"), F.max("bases").alias("further"))
         new = sides.filter("n > 0").join(closed, ["ku", "ori"]).filter("closed = n").select("ku", "ori", (F.col("own") + F.col("further")).alias("bases")).filter(F.col("bases") <= most)
-        known = materialize(sides.filter("n = 0").select("ku", "ori", F.col("own").alias("bases")).unionByName(new), "spurs")
+        last, known = known, materialize(sides.filter("n = 0").select("ku", "ori", F.col("own").alias("bases")).unionByName(new), "spurs")
+        forget(last)
         if (now := known.count()) == size:
             break
         size = now
@@ -110,7 +112,8 @@ def kill_spurs(adjacent: DataFrame, unitigs: DataFrame, k: int, most: int) -> Da
     while True:
         gone = edges.join(dead.select(F.col("ku").alias("nku"), F.lit(1).alias("gone")), "nku", "left").groupBy("ku", "ori").agg(F.count("gone").alias("g"), F.count(F.lit(1)).alias("n"))
         more = gone.filter("g = n").select("ku").join(candidates, "ku", "left_semi")
-        dead = materialize(dead.union(more).distinct(), "dead")
+        last, dead = dead, materialize(dead.union(more).distinct(), "dead")
+        forget(last)
         if (now := dead.count()) == size:
             return dead
         size = now

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import sequences as S
-from .operators import gaps, kmers, overlaps, reads, superreads, unitigs
+from .operators import gaps, kmers, overlaps, paths, reads, unitigs
 from .plans.storage import dense_ids, materialize
 from .sources import sequences as sources
 
@@ -280,7 +280,7 @@ def range_block_lookup(spark, sf_dir):
 @query("SELECT (row_number() OVER (ORDER BY length(text) DESC, doc_id) - 1)::BIGINT AS sr_id, doc_id AS sr, length(text) AS len FROM documents")
 def rank_by_length(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sr"), F.length("text").cast("long").alias("len"))
-    return superreads.rank_by_length(docs).select("sr_id", "sr", "len")
+    return paths.rank_by_length(docs).select("sr_id", "sr", "len")
 
 
 @query("SELECT c_custkey AS key, c_acctbal AS amount FROM customer UNION ALL SELECT s_suppkey, s_acctbal FROM supplier")
@@ -373,7 +373,7 @@ ix AS (SELECT sr, f, n, unnest(list_distinct(list_transform(t, lambda x: x[:-2])
 top AS (SELECT * FROM met WHERE container NOT IN (SELECT sr FROM met)), best AS (SELECT *, row_number() OVER (PARTITION BY sr ORDER BY in_n DESC, container) AS k FROM top)
 SELECT sr, container, rel_ori, (len(string_split(left(in_f, instr(in_f, s)), '_')) - 2 + CASE WHEN rel_ori = 'R' THEN n ELSE 0 END)::BIGINT AS adj FROM best WHERE k = 1""")
 def path_containment_reduce(spark, sf_dir):
-    return superreads.contained(order_paths(spark, sf_dir))
+    return paths.contained(order_paths(spark, sf_dir))
 
 
 # Scaffolds and gaps ---------------------------------------------------------------------------------------------------
@@ -438,7 +438,7 @@ def gap_fishing(spark, sf_dir):
 
 @query(f"""{_R}, w AS (SELECT doc_id, seq, length(seq) AS n, unnest(range(0, greatest(ceil((length(seq) - 2047) / 1550.0), 0)::BIGINT + 1)) * 1550 AS off FROM r) SELECT CASE WHEN n <= 2047 THEN doc_id::VARCHAR ELSE doc_id || '.' || off END AS name, substr(seq, off + 1, 2047) AS seq FROM w WHERE length(substr(seq, off + 1, 2047)) >= 64""")
 def fragment_sink_rows(spark, sf_dir):
-    return sources.super_read_fragments(doc_reads(spark, sf_dir).select(F.col("doc_id").cast("string").alias("name"), "seq"))
+    return sources.path_fragments(doc_reads(spark, sf_dir).select(F.col("doc_id").cast("string").alias("name"), "seq"))
 
 
 # Graphs (checked against brute force in the tests) ----------------------------------------------------------------------
@@ -466,35 +466,35 @@ def unique_merge_report(spark, sf_dir):
     return unitigs.unique_joins(adjacent, unitigs.kill_spurs(adjacent, u, K, 30))
 
 
-def _super_reads(spark, sf_dir):
+def _covering_paths(spark, sf_dir):
     u = _benchmark_unitigs(spark, sf_dir)
     source = benchmark_reads(spark, sf_dir).select("item_id", F.posexplode(S.runs(F.col("seq"))).alias("nth_run", "seq"))
     m = overlaps.read_matches(source, u, K, "item_id", "nth_run")
-    return u, materialize(superreads.read_paths(m, u, K, "item_id", "nth_run"), "placed")
+    return u, materialize(paths.read_paths(m, u, K, "item_id", "nth_run"), "placed")
 
 
 @query()
-def super_read_placements(spark, sf_dir):
-    u, placed = _super_reads(spark, sf_dir)
-    seqs = superreads.path_sequences(placed, u, K)
-    return superreads.replace_placements(placed.select("item_id", "nth_run", "sr", "off", "ori"), seqs, superreads.contained(placed, superreads.path_lengths(placed.select("sr", "path").distinct(), u, K), K, u))
+def path_placements(spark, sf_dir):
+    u, placed = _covering_paths(spark, sf_dir)
+    seqs = paths.path_sequences(placed, u, K)
+    return paths.replace_placements(placed.select("item_id", "nth_run", "sr", "off", "ori"), seqs, paths.contained(placed, paths.path_lengths(placed.select("sr", "path").distinct(), u, K), K, u))
 
 
 @query()
 def chain_merge(spark, sf_dir):
-    return superreads.merge_chains(_super_reads(spark, sf_dir)[1])
+    return paths.merge_chains(_covering_paths(spark, sf_dir)[1])
 
 
 @query()
 def mate_path_join(spark, sf_dir):
-    u, placed = _super_reads(spark, sf_dir)
+    u, placed = _covering_paths(spark, sf_dir)
     adjacent = materialize(overlaps.adjacency(overlaps.end_overlaps(u, K), u), "adjacent")
     lengths = u.select(F.col("ku").alias("_ku"), F.length("seq").cast("long").alias("len"))
     w = Window.partitionBy("item_id").orderBy("nth_run")
     pairs = placed.withColumn("other", F.lead("path").over(w)).filter("other is not null")
     pairs = pairs.select(F.concat_ws("/", "item_id", "nth_run").alias("insert"), F.col("path").alias("even"), S.reverse_path(F.col("other")).alias("odd"), F.lit(0).alias("before"), F.lit(0).alias("after"), F.lit(300.0).alias("mean"), F.lit(30.0).alias("stdev"))
     pairs = pairs.join(lengths, F.col("even")[0]["ku"] == F.col("_ku")).drop("_ku")
-    return superreads.join_mates(pairs, adjacent, K).select("insert", "outcome", S.name_of_path(F.col("path")).alias("sr"))
+    return paths.join_mates(pairs, adjacent, K).select("insert", "outcome", S.name_of_path(F.col("path")).alias("sr"))
 
 
 @query()

@@ -109,8 +109,8 @@ def frg_messages(reads: DataFrame, lib: str, mean: float, stdev: float, least: i
     return reads.sparkSession.createDataFrame([(0, head)], "nth long, value string").unionByName(body)
 
 
-def super_read_fragments(seqs: DataFrame, least: int = 64, size: int = 2047, step: int = 1550) -> DataFrame:
-    """(name, seq): super-reads as fragments: shorter ones dropped, long ones in overlapping windows named .offset."""
+def path_fragments(seqs: DataFrame, least: int = 64, size: int = 2047, step: int = 1550) -> DataFrame:
+    """(name, seq): covering paths as fragments: shorter ones dropped, long ones in overlapping windows named .offset."""
     named = seqs.withColumn("name", F.when(F.length("name") > 100, F.concat(F.lit("SR"), F.xxhash64("name").cast("string"))).otherwise(F.col("name")))
     w = named.select("name", F.length("seq").alias("n"), F.explode(S.windows(F.col("seq"), size, step)).alias("w"))
     return w.filter(F.length("w.piece") >= least).select(F.when(F.col("n") <= size, F.col("name")).otherwise(F.concat_ws(".", "name", F.col("w.off").cast("string"))).alias("name"), F.col("w.piece").alias("seq"))

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqweave.functions import sequences as S
-from seqweave.operators import kmers, overlaps, superreads, unitigs
-from seqweave.plans.superreads import super_reads
+from seqweave.operators import kmers, overlaps, paths, unitigs
+from seqweave.plans.assembly import covering_paths
 
 K = 11
 
@@ -81,16 +81,16 @@ def test_matches_paths_and_sequences(spark, bubble):
     rs = [(i, 0, s) for i, s in enumerate(reads_of(seqs[0], 20, 80, 41) + reads_of(seqs[1], 20, 80, 42))]
     df = spark.createDataFrame(rs, "insert long, end int, seq string")
     m = overlaps.read_matches(df, u, K, "insert", "end")
-    placed = superreads.read_paths(m, u, K, "insert", "end")
+    placed = paths.read_paths(m, u, K, "insert", "end")
     rows = {r["insert"]: r for r in placed.collect()}
     assert len(rows) == len(rs)
-    found = {r["sr"]: r["seq"] for r in superreads.path_sequences(placed, u, K).collect()}
+    found = {r["sr"]: r["seq"] for r in paths.path_sequences(placed, u, K).collect()}
     for i, _, s in rs:
         r = rows[i]
         whole = found[r["sr"]]
         got = whole[r["off"] : r["off"] + len(s)] if r["ori"] == "F" else brute.rc(whole[r["off"] - len(s) : r["off"]])
         assert got == s
-    lens = {r["sr"]: r["len"] for r in superreads.path_lengths(placed.select("sr", "path").distinct(), u, K).collect()}
+    lens = {r["sr"]: r["len"] for r in paths.path_lengths(placed.select("sr", "path").distinct(), u, K).collect()}
     assert all(lens[n] == len(s) for n, s in found.items())
 
 
@@ -106,23 +106,23 @@ def test_mate_join(spark, bubble):
     long = seqs[0]
     pairs = [(0, long[:50], brute.rc(long[-50:])), (1, long[:50], brute.rc(long[80:130])), (2, long[:90], brute.rc(long[-50:]))]
     df = spark.createDataFrame([(i, e, s) for i, a, b in pairs for e, s in ((0, a), (1, b))], "insert long, end int, seq string")
-    placed = superreads.read_paths(overlaps.read_matches(df, u, K, "insert", "end"), u, K, "insert", "end")
+    placed = paths.read_paths(overlaps.read_matches(df, u, K, "insert", "end"), u, K, "insert", "end")
     way = F.when(F.col("ori") == "F", F.col("path")).otherwise(S.reverse_path(F.col("path")))
     sides = placed.withColumn("way", way)
     p = sides.filter("end = 0").select("insert", F.col("way").alias("even")).join(sides.filter("end = 1").select("insert", F.col("way").alias("odd")), "insert")
     p = p.join(u.select("ku", F.length("seq").alias("len")), F.col("even")[0]["ku"] == F.col("ku")).drop("ku")
     p = p.select("*", F.lit(0).alias("before"), F.lit(0).alias("after"), F.lit(180.0).alias("mean"), F.lit(20.0).alias("stdev"))
-    got = {r["insert"]: r for r in superreads.join_mates(p, adj, K).collect()}
+    got = {r["insert"]: r for r in paths.join_mates(p, adj, K).collect()}
     assert got[0]["outcome"] == "ambiguous"  # both arms of the bubble fit
     assert got[2]["outcome"] in ("joined", "joined after reads")
     assert len(got[2]["path"]) == 3
-    assert superreads.join_mates(p, adj, K, most_nodes=0).filter("outcome = 'too many nodes'").count() >= 1
+    assert paths.join_mates(p, adj, K, most_nodes=0).filter("outcome = 'too many nodes'").count() >= 1
 
 
 def test_containment(spark):
     names = ["1F_2F", "11F_2F", "0F_1F_2F_3R", "3F_2R", "9F", "4F_9R_5F", "9R_5F"]
     df = spark.createDataFrame([(n,) for n in names], "sr string").withColumn("path", S.path_of_name(F.col("sr")))
-    got = {r["sr"]: (r["container"], r["rel_ori"], r["adj"]) for r in superreads.contained(df).collect()}
+    got = {r["sr"]: (r["container"], r["rel_ori"], r["adj"]) for r in paths.contained(df).collect()}
     assert got == {"1F_2F": ("0F_1F_2F_3R", "F", 1), "3F_2R": ("0F_1F_2F_3R", "R", 4), "9F": ("4F_9R_5F", "R", 2), "9R_5F": ("4F_9R_5F", "F", 1)}
 
 
@@ -142,7 +142,7 @@ def test_spurs_and_joins(spark):
 def test_chains(spark):
     names = ["1F_2F", "2F_3F", "3F_4F", "7F_8F", "8F_9F", "5F_8R"]
     df = spark.createDataFrame([(n,) for n in names], "sr string").withColumn("path", S.path_of_name(F.col("sr")))
-    got = {r["sr"]: (r["chain"], r["pos"]) for r in superreads.merge_chains(df).collect()}
+    got = {r["sr"]: (r["chain"], r["pos"]) for r in paths.merge_chains(df).collect()}
     assert len({got[n][0] for n in names[:3]}) == 1 and sorted(got[n][1] for n in names[:3]) == [0, 1, 2]
     assert len({got[n][0] for n in names[3:]}) == 3  # 8 is an end three times
 
@@ -151,7 +151,7 @@ def test_whole_plan(spark, tmp_path):
     g = brute.genome(1500, 61)
     rs = reads_of(g, 200, 70, 62)
     df = spark.createDataFrame([(i // 2, i % 2, s) for i, s in enumerate(rs)], "insert long, end int, seq string")
-    t = super_reads(spark, df, str(tmp_path), 21)
+    t = covering_paths(spark, df, str(tmp_path), 21)
     seqs = {r["sr"]: r["seq"] for r in t["sequences"].collect()}
     final = t["final"].collect()
     assert final and set(t) == {"counts", "unitigs", "matches", "placed", "good", "sequences", "reduction", "final"}
@@ -161,5 +161,5 @@ def test_whole_plan(spark, tmp_path):
         got = whole[r["off"] : r["off"] + len(s)] if r["ori"] == "F" else brute.rc(whole[r["off"] - len(s) : r["off"]])
         assert got == s
     before = (tmp_path / "unitigs" / "_SUCCESS").stat().st_mtime_ns
-    again = super_reads(spark, df, str(tmp_path), 21, stop_after="matches")
+    again = covering_paths(spark, df, str(tmp_path), 21, stop_after="matches")
     assert set(again) == {"counts", "unitigs", "matches"} and (tmp_path / "unitigs" / "_SUCCESS").stat().st_mtime_ns == before
