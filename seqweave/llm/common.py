@@ -2,41 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Largest table, in rows, that is sent to every executor. Every use counts the rows first and has a shuffled join for more.
-BROADCAST_ROWS = 100_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (named or f"file://{tempfile.gettempdir()}/seqweave-shared").rstrip("/")
-
-
-def materialize(df: DataFrame, label: str, folders: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    This cuts the lineage: later jobs, and tasks that run again after an executor is lost, start from the written
-    files. Every call gets a folder of its own below ``<shared>/seqweave/<application>/``, and in it one for each value of
-    the columns ``folders``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/seqweave/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*folders).parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(df.columns)
-
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; as it is, for a shuffled join, if it has more.
+from ..plans.storage import BROADCAST_ROWS, forget, materialize, shared_dir, small
 
-    ``df`` should be materialised, as its rows are counted here.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+__all__ = ["BROADCAST_ROWS", "forget", "materialize", "read", "shared_dir", "small"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
