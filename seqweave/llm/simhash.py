@@ -14,6 +14,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import forget, materialize, small
 
 SEED = 42
 #: Shingles whose bits are counted at a time.
@@ -65,8 +66,11 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 
 def wide_fingerprint(text: str | None, width: int) -> bytes:
     """``WORDS`` SimHashes of a text by as many hashes of each distinct shingle; zero without words."""
-    hashes, ones = shingle_hashes(text, width), np.zeros(64 * WORDS, np.int64)
-    n = len(hashes)
+    return wide_fingerprint_of(shingle_hashes(text, width))
+
+
+def wide_fingerprint_of(hashes: np.ndarray) -> bytes:
+    n, ones = len(hashes), np.zeros(64 * WORDS, np.int64)
     for at in range(0, n, CHUNK // WORDS):
         h = hashes[at : at + CHUNK // WORDS]
         more = (h[:, None] ^ _SALT) * np.uint64(0x9E3779B97F4A7C15)
@@ -271,16 +275,18 @@ def fingerprint_links(fps: DataFrame, k: int, hot: int = 1 << 14) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): for each node of ``edges`` (a, b) the smallest node it is connected to.
 
-    Alternating large-star and small-star contraction; each round is written to the shared folder. The number of rounds
-    grows with the logarithm of the largest component's diameter, not with its size.
+    Alternating large-star and small-star contraction; each round is written to the shared folder, and the last one
+    deleted. The number of rounds grows with the logarithm of the largest component's diameter, not with its size. The
+    smallest neighbours are written before they are joined, so that they are broadcast if few, and else both sides of the
+    join are shuffles, of which Spark splits the partition of a node with many edges.
     """
 
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
         both = pairs.union(pairs.select("b", "a")).toDF("u", "v") if large else pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        met = both.join(low, "u")
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lows")
+        met = both.join(small(low), "u")
         out = met.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else met.select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select("u", "m"))
-        return out.filter("a != b").distinct()
+        return out.filter("a != b").distinct(), low
 
     now, seen = materialize(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"), None
     while True:
@@ -288,7 +294,10 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
         seen = state
-        now = materialize(star(star(now, True), False), "star")
+        large, low = star(now, True)
+        new, lower = star(large, False)
+        last, now = now, materialize(new, "star")
+        forget(last, low, lower)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, k: int = 4, hot: int = 1 << 14) -> DataFrame:
@@ -309,240 +318,274 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     return marked.join(classes, "fp").select(F.col("_key").alias(key), F.col("fp").alias("fingerprint"), "component_id")
 
 
-#: Bits of a band, and differing bits of all 64 * WORDS up to which wide fingerprints are compared. At a share s of common
-#: shingles a bit differs with probability arccos(2 s / (1 + s)) / pi: at 0.8 in 77 of 512 bits, give or take 8, and then
-#: some band of 36 agrees in 98 of 100 pairs (at 0.85 in 99.6, at 0.9 in 99.99).
+#: Bits of a band at least, and differing bits of all 64 * WORDS up to which wide fingerprints are compared. At a share s
+#: of common shingles a bit differs with probability arccos(2 s / (1 + s)) / pi: at 0.8 in 77 of 512 bits, give or take 8.
 BAND_BITS, WIDE_BITS = 14, 96
+#: Fingerprints that a bucket holds on average at most (bands get wider with the corpus), share of pairs at 0.8 that agree in
+#: some band, and fingerprints of a bucket that a task holds.
+BAND_ROWS, AGREE, HOT = 1 << 12, 0.98, 1 << 16
 #: Nearer bounds, whose links come first: within the first, texts are alike beyond doubt (0.8 lies over three deviations off).
 NEARER = (48, 72)
 #: Share of common shingles from which texts count as near duplicates.
 SIMILARITY = 0.8
+#: Shingle sets of so many elements are linked exactly, to those with one element more.
+SHORT = range(4, 8)
+#: Shingles of a block of texts, and the least that a text counts for: a task compares texts of two blocks at a time.
+BLOCK_SHINGLES, LEAST_SHINGLES = 1 << 21, 1 << 11
 
 
-def _wide_links(k: int, band_bits: int):
-    """Rows (bucket, id, fp) come sorted by bucket; whole buckets are worked on as they are complete."""
+def band_plan(rows: int, similarity: float = SIMILARITY) -> np.ndarray:
+    """The bits of each band, a row for each: as wide as ``rows`` fingerprints ask for, as many as find ``AGREE`` of the pairs.
+
+    The first bands are cut from the bits in order; beyond that, from seeded orders of all bits.
+    """
+    width = BAND_BITS + max(0, math.ceil(math.log2(max(1, rows) / (BAND_ROWS << BAND_BITS))))
+    same = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = max(64 * WORDS // width, math.ceil(math.log(1 - AGREE) / math.log(1 - same**width)))
+    orders, rng = [np.arange(64 * WORDS)], np.random.RandomState(SEED)
+    while len(orders) * (64 * WORDS // width) < n:
+        orders.append(rng.permutation(64 * WORDS))
+    return np.concatenate([o[: 64 * WORDS // width * width].reshape(-1, width) for o in orders])[:n]
 
-    def done(b: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-        rank = fps[:, 0].copy()
-        for s in (1, 2, 4, 8, 16, 32):
-            rank ^= rank >> np.uint64(s)
-        order = np.lexsort((rank, b))
-        found: list[tuple] = []
-        gray_links(b[order], fps[order], k, nearer=NEARER, links=found)
-        ids, none = ids[order], np.zeros(0, np.int64)
-        x, y, apart = (np.concatenate(c) for c in zip((none, none, none), *found, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(apart.astype(np.int64))], names=["a", "b", "apart"])
+
+def _by_groups(work, least: int):
+    """An iterator of batches sorted by their first column, which hands whole groups, at least ``least`` bytes, to ``work``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        rows = 0
+        held, size = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(batch.num_rows, WORDS)
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), raw))
-            rows += batch.num_rows
-            if rows >= CHUNK and held[0][0][0] != held[-1][0][-1]:
-                b, ids, fps = (np.concatenate(x) for x in zip(*held, strict=True))
-                cut = int(np.searchsorted(b, b[-1]))
-                yield done(b[:cut], ids[:cut], fps[:cut])
-                held, rows = [(b[cut:], ids[cut:], fps[cut:])], len(b) - cut
+            held.append(batch)
+            size += batch.nbytes
+            if size >= least and held[0].column(0)[0] != batch.column(0)[-1]:
+                table = pa.Table.from_batches(held).combine_chunks()
+                group = table.column(0).to_numpy()
+                cut = int(np.searchsorted(group, group[-1]))
+                yield from work(table.slice(0, cut).combine_chunks())
+                held = table.slice(cut).combine_chunks().to_batches()
+                size = sum(x.nbytes for x in held)
         if held:
-            yield done(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from work(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
-def _band_values(bits: np.ndarray, band_bits: int) -> np.ndarray:
-    """The values of all bands of each row of bits."""
-    bands = 64 * WORDS // band_bits
-    return bits[:, : bands * band_bits].reshape(len(bits), bands, band_bits).astype(np.int64) @ (1 << np.arange(band_bits))
+def _words_of(fp: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(fp.to_pylist()), "<u8").reshape(-1, WORDS)
 
 
-def _bands(band_bits: int):
-    """(bucket, id, fp), and what else a row has, of each row for each of its bands."""
+def _gray_sorted(groups: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """The order by group, then by Gray rank of the first word."""
+    rank = fps[:, 0].copy()
+    for s in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(s)
+    return np.lexsort((rank, groups))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            fp = batch.column(1).to_pylist()
-            value = _band_values(np.unpackbits(np.frombuffer(b"".join(fp), np.uint8).reshape(n, -1), axis=1, bitorder="little"), band_bits)
-            bucket = (value | (np.arange(value.shape[1]) << band_bits)).T
-            for band in range(len(bucket)):
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[band].copy()), *batch.columns], names=["bucket", *batch.schema.names])
 
-    return run
+def _wide_links(k: int):
+    """Rows (bucket, id, fp) come sorted by bucket; (a, b, apart) of a spanning forest of each bucket's candidates."""
 
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        b, ids, fps = table["bucket"].to_numpy(), table["id"].to_numpy(), _words_of(table["fp"])
+        order = _gray_sorted(b, fps)
+        found: list[tuple] = []
+        gray_links(b[order], fps[order], k, nearer=NEARER, links=found)
+        ids, none = ids[order], np.zeros(0, np.int64)
+        x, y, apart = (np.concatenate(c) for c in zip((none, none, none), *found, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(apart.astype(np.int64))], names=["a", "b", "apart"])
 
-#: Shingles of a block of texts, and the least that a text counts for: a task compares texts of two blocks at a time.
-BLOCK_SHINGLES, LEAST_SHINGLES = 1 << 21, 1 << 11
+    return _by_groups(work, 8 * WORDS * CHUNK)
 
 
-def _wide_pairs(k: int, band_bits: int):
-    """Rows (bucket, id, fp, class) come sorted by bucket: (a, b) of all pairs of different classes at most ``k`` bits
-    apart, each in the first of the bands in which it agrees."""
-
-    def done(b: np.ndarray, ids: np.ndarray, fps: np.ndarray, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rank = fps[:, 0].copy()
-        for s in (1, 2, 4, 8, 16, 32):
-            rank ^= rank >> np.uint64(s)
-        order = np.lexsort((rank, b))
-        b, ids, fps = b[order], ids[order], fps[order]
-        _, first, at = np.unique(classes[order], return_index=True, return_inverse=True)
-        raw = fps.view(np.uint8).reshape(len(fps), -1)
-        values = np.concatenate([_band_values(np.unpackbits(raw[i : i + 4096], axis=1, bitorder="little"), band_bits).astype(np.int32) for i in range(0, len(raw), 4096)])
-        for x, y, _ in gray_pairs(b, fps, (k,), first[at]):
-            for i in range(0, len(x), CHUNK):
-                p, q = x[i : i + CHUNK], y[i : i + CHUNK]
-                here = (values[p] == values[q]).argmax(axis=1) == b[p] >> band_bits
-                p, q = ids[p[here]], ids[q[here]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+def _bands(plan: np.ndarray):
+    """(bucket, id, fp) of each row for each of its bands."""
+    power = 1 << np.arange(plan.shape[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        rows = 0
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
-            raw = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(batch.num_rows, WORDS)
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), raw, batch.column(3).to_numpy()))
-            rows += batch.num_rows
-            if rows >= CHUNK and held[0][0][0] != held[-1][0][-1]:
-                all_ = [np.concatenate(x) for x in zip(*held, strict=True)]
-                cut = int(np.searchsorted(all_[0], all_[0][-1]))
-                yield from done(*(x[:cut] for x in all_))
-                held, rows = [tuple(x[cut:] for x in all_)], len(all_[0]) - cut
-        if held:
-            yield from done(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(n, -1), axis=1, bitorder="little")
+            for band, at in enumerate(plan):
+                bucket = bits[:, at].astype(np.int64) @ power | band << plan.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], names=["bucket", *batch.schema.names])
 
     return run
 
 
-def alike_pairs(a: np.ndarray, b: np.ndarray, ids: np.ndarray, sizes: np.ndarray, values: np.ndarray, similarity: float) -> np.ndarray:
-    """Which pairs of texts (a, b) have ``similarity`` or more of their shingles in common, exactly.
+def _banded(firsts: DataFrame, plan: np.ndarray, hot: int) -> DataFrame:
+    """(bucket, id, fp), dealt and sorted by bucket. Buckets of more than about ``hot`` rows are cut into blocks, and each
+    pair of blocks is a bucket, so no task holds more and no pair is lost."""
+    rows = firsts.select("id", "fp").mapInArrow(_bands(plan), "bucket long, id long, fp binary")
+    # Which buckets are cut decides nothing but who does the work, so a share of the rows is counted.
+    share = 16 if hot >= 1024 else 1
+    some = firsts.select("id", "fp").filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).mapInArrow(_bands(plan), "bucket long, id long, fp binary")
+    crowded = materialize(some.groupBy("bucket").count().filter(F.col("count") > hot / share).select("bucket", F.ceil(F.col("count") * (2 * share) / hot).alias("blocks")), "crowded")
+    if not crowded.isEmpty():
+        cut = rows.join(small(crowded), "bucket", "left")
+        block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+        other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        cut = cut.select("bucket", "id", "fp", block.alias("_block"), other.alias("_other"))
+        rows = cut.select(F.when(F.col("_block").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("_block", "_other"), F.greatest("_block", "_other"))).alias("bucket"), "id", "fp")
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def alike_links(cells: np.ndarray, ids: np.ndarray, fps: np.ndarray, classes: np.ndarray, sizes: np.ndarray, values: np.ndarray, k: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (id, id) that join, cell by cell, all classes between which some texts at most ``k`` bits apart are alike.
 
-    ``ids`` and ``sizes`` are those of the texts' sets, which follow each other in ``values``.
+    Texts are alike within ``NEARER[0]`` bits, or if ``similarity`` or more of their shingles are in common, exactly.
+    Shingle sets, of the given sizes, follow each other in ``values``. Pairs of classes that a link has joined already
+    aren't compared any more.
     """
-    starts, order = np.cumsum(sizes) - sizes, np.argsort(ids, kind="stable")
-    i, j = (order[np.searchsorted(ids, x, sorter=order)] for x in (a, b))
+    order = _gray_sorted(cells, fps)
+    starts = (np.cumsum(sizes) - sizes)[order]
+    cells, ids, fps, sizes = cells[order], ids[order], fps[order], sizes[order]
+    _, first, at = np.unique(np.stack([cells, classes[order]]), axis=1, return_index=True, return_inverse=True)
+    label = first[at.ravel()]
+    cuts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True])
+    cell_of = np.searchsorted(cuts, np.arange(len(cells)), "right") - 1
     distinct, values = np.unique(values, return_inverse=True)
-    mark, out = np.zeros(len(distinct), bool), np.zeros(len(a), bool)
-    todo = np.flatnonzero((np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j])) & (sizes[j] > 0))
-    todo = todo[np.argsort(i[todo], kind="stable")]
-    for part in np.split(todo, np.flatnonzero(np.diff(i[todo])) + 1) if len(todo) else ():
-        at, with_ = i[part[0]], j[part]
-        own = values[starts[at] : starts[at] + sizes[at]]
-        mark[own] = True
-        n = sizes[with_]
-        begin = np.cumsum(n) - n
-        common = np.add.reduceat(mark[values[np.repeat(starts[with_] - begin, n) + np.arange(n.sum())]], begin, dtype=np.int64)
-        mark[own] = False
-        out[part] = common >= similarity * (sizes[at] + n - common)
-    return out
-
-
-def _alike(similarity: float):
-    """Rows (cell, a, b, s) come sorted by cell: sets ``s`` of texts ``a``, where b is null, and pairs of them."""
-
-    def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held).combine_chunks()
-        of_set = table.filter(table["b"].is_null())
-        pairs = table.filter(table["b"].is_valid())
-        a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
-        sets = of_set["s"].combine_chunks()
-        yes = alike_pairs(a, b, of_set["a"].to_numpy(), np.asarray(sets.value_lengths(), np.int64), sets.flatten().to_numpy(), similarity)
-        return pa.RecordBatch.from_arrays([pa.array(a[yes]), pa.array(b[yes])], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
+    mark, links = np.zeros(len(distinct), bool), []
+    for x, y, apart in gray_pairs(cells, fps, (k,), label):
+        near = apart <= NEARER[0]
+        todo = np.flatnonzero(near | (np.minimum(sizes[x], sizes[y]) >= similarity * np.maximum(sizes[x], sizes[y])) & (sizes[y] > 0))
+        todo = todo[np.argsort(x[todo], kind="stable")]
+        for part in np.split(todo, np.flatnonzero(np.diff(x[todo])) + 1) if len(todo) else ():
+            i = x[part[0]]
+            part = part[label[y[part]] != label[i]]
+            if not len(part):
                 continue
-            held.append(batch)
-            size += batch.nbytes
-            if size >= 16 << 20 and held[0]["cell"][0] != batch["cell"][-1]:
-                table = pa.Table.from_batches(held).combine_chunks()
-                cut = int(np.searchsorted(table["cell"].to_numpy(), table["cell"][-1].as_py()))
-                yield done(table.slice(0, cut).to_batches())
-                held = table.slice(cut).to_batches()
-                size = sum(x.nbytes for x in held)
-        if held:
-            yield done(held)
+            with_ = y[part]
+            own = values[starts[i] : starts[i] + sizes[i]]
+            mark[own] = True
+            n = sizes[with_]
+            begin = np.cumsum(n) - n
+            there = mark[values[np.repeat(starts[with_] - begin, n) + np.arange(n.sum())]]
+            total = np.r_[0, np.cumsum(there)]
+            common = total[begin + n] - total[begin]
+            mark[own] = False
+            hit = with_[near[part] | ((n > 0) & (common >= similarity * (sizes[i] + n - common)))]
+            if len(hit):
+                met, one = np.unique(label[hit], return_index=True)
+                links += [(int(ids[i]), int(ids[j])) for j in hit[one]]
+                here = label[cuts[cell_of[i]] : cuts[cell_of[i] + 1]]
+                here[np.isin(here, np.r_[met, label[i]])] = min(int(met[0]), int(label[i]))
+    return links
+
+
+def _settle(k: int, similarity: float):
+    """Rows (cell, id, fp, class, s) come sorted by cell; (a, b) of the links that ``alike_links`` finds."""
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        sets = table["s"].combine_chunks()
+        sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+        found = alike_links(table["cell"].to_numpy(), table["id"].to_numpy(), _words_of(table["fp"]), table["class"].to_numpy(), np.asarray(sets.value_lengths(), np.int64), sets.flatten().to_numpy(), k, similarity)
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _by_groups(work, 16 << 20)
+
+
+def _classes(docs: DataFrame, text: str, key: str, width: int, k: int, similarity: float, hot: int) -> DataFrame:
+    """(key, hash, root), a row for each row: its key, its text's hash and the number of its component."""
+
+    @F.pandas_udf("fp binary, whole bigint, less array<bigint>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in texts:
+            h = shingle_hashes(x, width)
+            whole = h.sum(dtype=np.uint64).view(np.int64) if len(h) in SHORT else None
+            less = (h.sum(dtype=np.uint64) - h).view(np.int64).tolist() if len(h) - 1 in SHORT else None
+            out.append((wide_fingerprint_of(h), whole, less))
+        return pd.DataFrame(out, columns=["fp", "whole", "less"], dtype=object)
 
-    return run
-
-
-def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, k: int = WIDE_BITS, band_bits: int = BAND_BITS, similarity: float = SIMILARITY) -> DataFrame:
+    hashed = F.xxhash64(F.coalesce(text, F.lit("")))
+    marked = materialize(docs.select(F.col(key).alias("key"), hashed.alias("hash"), of(F.col(text)).alias("x")).select("key", "hash", "x.*"), "wide")
+    # The row whose text stands for a fingerprint has its first key and the hash ``_of``.
+    firsts = marked.groupBy("fp").agg(F.min(F.struct(F.col("key").isNull(), "key", "hash")).alias("_first"), F.first("whole").alias("whole"), F.first("less").alias("less"))
+    firsts = materialize(firsts.withColumn("id", F.monotonically_increasing_id()), "classes")
+    links = materialize(_banded(firsts, band_plan(firsts.count(), similarity), hot).mapInArrow(_wide_links(k), "a long, b long, apart long").withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}).distinct(), "links")
+    # Of few shingles, one more or less turns many bits; those sets are alike if the larger one has one element more.
+    brief = firsts.filter("whole is not null").select("id", "whole")
+    longer = firsts.filter("less is not null").select(F.col("id").alias("_id"), F.explode("less").alias("whole"))
+    brief = longer.join(small(materialize(brief, "brief")), "whole").select(F.col("_id").alias("a"), F.col("id").alias("b"))
+    sure = links.filter(F.col("apart") <= NEARER[0]).select("a", "b").union(brief)
+    root = materialize(components(sure), "roots")
+    # Candidates that meet somewhere but are in different classes.
+    classed = firsts.select("id").join(root.toDF("id", "class"), "id", "left").select("id", F.coalesce("class", "id").alias("class"))
+    classed = materialize(classed, "classed")
+    open_ = links.filter(F.col("apart") > NEARER[0]).join(classed.toDF("a", "x"), "a").join(classed.toDF("b", "y"), "b").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    met = components(open_).toDF("class", "met")
+    met = materialize(met.union(met.select("met", "met")).distinct(), "met")
+    if not met.isEmpty():
+        members = classed.join(met, "class").join(firsts.select("id", "fp", "_first"), "id").select("id", "class", "met", "fp", F.col("_first.key").alias("_key"), F.col("_first.hash").alias("_hash"))
+        members = small(materialize(members, "members"))
+
+        @F.pandas_udf("array<bigint>")
+        def shingles(texts: pd.Series) -> pd.Series:
+            return pd.Series([shingle_hashes(x, width).view(np.int64) for x in texts], dtype=object)
+
+        texts = docs.select(F.col(key).alias("key"), hashed.alias("hash"), F.col(text).alias("_text"))
+        sets = texts.join(members, (F.col("hash") == F.col("_hash")) & F.col("key").eqNullSafe(F.col("_key"))).select("id", "class", "met", "fp", shingles("_text").alias("s"))
+        sets = materialize(sets.dropDuplicates(["id"]), "sets")
+        # Texts that may meet lie in blocks that a task can hold; a cell is two blocks, in which all that differ in class are compared.
+        weight = F.greatest(F.size("s"), F.lit(LEAST_SHINGLES)).cast("long")
+        blocks = materialize(sets.groupBy("met").agg(F.ceil(F.sum(weight) / BLOCK_SHINGLES).alias("blocks")).filter("blocks > 1"), "blocks")
+        celled = sets.join(small(blocks), "met", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+        block, other = F.pmod(F.xxhash64("id"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        celled = celled.select("met", "id", "fp", "class", "s", block.alias("_x"), other.alias("_y"))
+        celled = celled.select(F.xxhash64("met", F.least("_x", "_y"), F.greatest("_x", "_y")).alias("cell"), "id", "fp", "class", "s")
+        more = celled.repartition("cell").sortWithinPartitions("cell").mapInArrow(_settle(k, similarity), "a long, b long")
+        root = materialize(components(root.toDF("a", "b").union(more)), "roots")
+        forget(sets)
+    rooted = firsts.select("id", "fp").join(root.toDF("id", "root"), "id", "left").select("fp", F.coalesce("root", "id").alias("root"))
+    forget(links)
+    return marked.join(rooted, "fp").select("key", "hash", "root")
+
+
+def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, k: int = WIDE_BITS, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
     """One row for each row of ``docs``: (key, component_id), for documents that share most of their shingles.
 
     64 bits tell only nearly equal texts from others; here fingerprints have ``64 * WORDS`` bits, and those that agree in
-    a band of ``band_bits`` meet in a bucket, are indexed in Gray order there and are candidates at ``k`` differing bits.
-    Each bucket gives a spanning forest, the nearest links first. Links within ``NEARER[0]`` bits stand; of others both
-    texts' shingle sets are compared, and those with less than ``similarity`` in common go. Where the links that stay leave
-    candidates in different classes, all pairs of candidates between these are compared, so none is lost to the forest.
-    Buckets hold rows / 2**band_bits on average, so ``band_bits`` should grow with the logarithm of the corpus. Null or
-    blank texts are alike; null keys belong to components but never name one; repeated rows stay; an empty table gives no
-    rows.
+    a band meet in a bucket, are indexed in Gray order there and are candidates at ``k`` differing bits. Bands get wider
+    with the corpus, crowded buckets are cut. Each bucket gives a spanning forest of its candidates; links within
+    ``NEARER[0]`` bits stand. Where the others connect different classes, all texts of these are compared, in blocks that a
+    task can hold, through the same index and by their exact shingle sets, so no link is lost to the forest. Sets of a few
+    shingles are linked exactly beside that. Null or blank texts are alike; null keys belong to components but never name
+    one; repeated rows stay; an empty table gives no rows.
     """
+    rows = materialize(_classes(docs, text, key, width, k, similarity, hot), "rooted")
+    named = rows.groupBy("root").agg(F.min("key").alias("component_id"))
+    return rows.join(named, "root").select(F.col("key").alias(key), "component_id")
 
-    @F.pandas_udf("binary")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([wide_fingerprint(x, width) for x in texts], dtype=object)
 
-    hashed = F.xxhash64(F.coalesce(text, F.lit("")))
-    marked = materialize(docs.select(F.col(key).alias("_key"), hashed.alias("_of"), of(F.col(text)).alias("fp")), "wide")
-    # The row whose text stands for a fingerprint has its first key and the hash ``_of``.
-    firsts = marked.groupBy("fp").agg(F.min("_key").alias("first"), F.coalesce(F.min_by("_of", "_key"), F.min("_of")).alias("_of"))
-    firsts = materialize(firsts.withColumn("id", F.monotonically_increasing_id()), "classes")
-    rows = firsts.select("id", "fp").mapInArrow(_bands(band_bits), "bucket long, id long, fp binary").repartition("bucket").sortWithinPartitions("bucket")
-    links = materialize(rows.mapInArrow(_wide_links(k, band_bits), "a long, b long, apart long").withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}).distinct(), "links")
-    doubtful = links.filter(F.col("apart") > NEARER[0])
-
-    @F.pandas_udf("array<bigint>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_hashes(x, width).view(np.int64) for x in texts], dtype=object)
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        """(id, s): the shingle set of each fingerprint; where rows are repeated, several times."""
-        ends = materialize(ids.join(firsts, "id").select("id", F.col("first").alias("_first"), F.col("_of").alias("_hash")), "ends")
-        texts = docs.select(F.col(key).alias("_key"), hashed.alias("_of"), F.col(text).alias("_text"))
-        met = texts.join(small(ends), (F.col("_of") == F.col("_hash")) & F.col("_key").eqNullSafe(F.col("_first")))
-        return materialize(met.select("id", shingles("_text").alias("s")), "sets")
-
-    sets = sets_of(doubtful.select("a").union(doubtful.select("b")).distinct().toDF("id"))
-    both = doubtful.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    stay = links.filter(F.col("apart") <= NEARER[0]).select("a", "b").union(both.filter(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
-    stay = materialize(stay, "stay")
-    root = components(stay)
-    # Candidates that meet somewhere but are in different classes; of two alone, their one link has been compared.
-    met = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
-    met = met.join(components(links.select("a", "b")).toDF("id", "met"), "id", "left").join(root.toDF("id", "root"), "id", "left")
-    met = materialize(met.select("id", F.coalesce("met", "id").alias("met"), F.coalesce("root", "id").alias("class")), "met")
-    split = met.groupBy("met").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter("n > 2 and low < high")
-    still = materialize(met.join(split.select("met"), "met", "left_semi"), "split")
-    if not still.isEmpty():
-        rows = still.join(firsts, "id").select("id", "fp", "class").mapInArrow(_bands(band_bits), "bucket long, id long, fp binary, class long").repartition("bucket").sortWithinPartitions("bucket")
-        pairs = materialize(rows.mapInArrow(_wide_pairs(k, band_bits), "a long, b long"), "pairs")
-        sets = sets_of(pairs.select("a").union(pairs.select("b")).distinct().toDF("id")).dropDuplicates(["id"])
-        sets = materialize(sets.join(still, "id").select("id", "met", "s"), "sets_split")
-        # Texts that may meet lie in blocks that a task can hold; a cell is two blocks with the pairs between them.
-        weight = F.greatest(F.size("s"), F.lit(LEAST_SHINGLES)).cast("long")
-        before = F.sum("w").over(Window.partitionBy("met").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")
-        blocks = small(materialize(sets.select("id", "met", weight.alias("w")).select("id", "met", F.floor(before / BLOCK_SHINGLES).alias("block")), "blocks"))
-        celled = pairs.join(blocks.select(F.col("id").alias("a"), "met", F.col("block").alias("x")), "a").join(blocks.select(F.col("id").alias("b"), F.col("block").alias("y")), "b")
-        celled = materialize(celled.select(F.xxhash64("met", "x", "y").alias("cell"), "a", "b"), "cells")
-        needed = celled.select("cell", "a").union(celled.select("cell", "b")).distinct().toDF("cell", "id").join(sets, "id")
-        none = F.lit(None)
-        mixed = needed.select("cell", F.col("id").alias("a"), none.cast("long").alias("b"), "s").union(celled.select("cell", "a", "b", none.cast("array<bigint>")))
-        more = mixed.repartition("cell").sortWithinPartitions("cell").mapInArrow(_alike(similarity), "a long, b long")
-        root = components(stay.union(more))
-    rooted = materialize(firsts.join(root.withColumnRenamed("node", "id"), "id", "left").select("fp", "first", F.coalesce("root", "id").alias("root")), "rooted")
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select(F.col("_key").alias(key), "component_id")
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, k: int = WIDE_BITS, similarity: float = SIMILARITY, hot: int = HOT) -> DataFrame:
+    """The rows of ``docs``, one of each component of ``similar_documents``: that with the smallest key (nulls last), and of
+    rows that share it the one with the smallest hash of its text.
+
+    Rows are told apart by key and text, so of rows that share a key only those go that are copies, and null keys are
+    treated like others. Of rows alike in both, the first by their other columns stays. ``docs`` has no maps.
+    """
+    rows = materialize(_classes(docs, text, key, width, k, similarity, hot), "rooted")
+    row = F.struct(F.col("key").isNull(), F.col("key").alias("key"), F.col("hash").alias("hash"))
+    first = rows.groupBy("root").agg(F.min(row).alias("x"), F.count(F.lit(1)).alias("n")).select(F.col("x.key").alias("key"), F.col("x.hash").alias("hash"), "root", "n")
+    first = materialize(first, "firsts")
+    stay = (F.col("key").eqNullSafe(F.col("_key"))) & (F.col("hash") == F.col("_hash"))
+    gone = rows.select(F.col("key").alias("_key"), F.col("hash").alias("_hash"), "root").join(first.filter("n > 1"), "root").filter(~stay).select("_key", "_hash").distinct()
+    hashed = docs.withColumn("_of", F.xxhash64(F.coalesce(text, F.lit(""))))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_of") == F.col("_hash"))
+    kept = hashed.join(gone, same, "left_anti")
+    # Rows alike in key and text would all stay: one of them does.
+    twice = materialize(rows.groupBy("key", "hash").count().filter("count > 1").select(F.col("key").alias("_key"), F.col("hash").alias("_hash")), "repeated")
+    if not twice.isEmpty():
+        others = [c for c in docs.columns if c not in {text, key}]
+        w = Window.partitionBy(key, "_of").orderBy(*others, text)
+        firsts = kept.join(twice, same, "left_semi").withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
+        kept = kept.join(twice, same, "left_anti").unionByName(firsts)
+    return kept.select(docs.columns)
 
 
 def hex_of(fp: Column) -> Column:

@@ -256,43 +256,116 @@ def crowded_copies(n, seed=5):
     return out
 
 
-def test_crowded_copies(spark, monkeypatch):
-    """All candidates of a crowded group are held against each other: components are those of all pairs that can be
-    candidates, also over several blocks."""
-    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 1 << 16, raising=False)
-    texts = crowded_copies(400)
-    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
-    fps = np.array([np.frombuffer(simhash.wide_fingerprint(" ".join(t), 5), np.uint8) for t in texts])
-    bits = np.unpackbits(fps, axis=1, bitorder="little")
-    bands = bits[:, : 36 * 14].reshape(len(texts), 36, 14)
-    root = list(range(len(texts)))
+def united(n, pairs):
+    """The smallest number reachable from each of 0 to n - 1."""
+    root = list(range(n))
 
     def find(x):
         while root[x] != x:
+            root[x] = root[root[x]]
             x = root[x]
         return x
 
-    for j in range(len(texts)):
-        apart, meet = (bits[:j] != bits[j]).sum(axis=1), (bands[:j] == bands[j]).all(axis=2).any(axis=1)
-        for i in np.flatnonzero(meet & (apart <= simhash.WIDE_BITS)):
-            if apart[i] <= simhash.NEARER[0] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                root[find(j)] = find(int(i))
-    smallest = {}
-    for i in range(len(texts)):
-        smallest.setdefault(find(i), i)
-    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
-    assert got == {i: smallest[find(i)] for i in range(len(texts))}
+    for i, j in pairs:
+        i, j = find(i), find(j)
+        root[max(i, j)] = min(i, j)
+    return [find(i) for i in range(n)]
 
 
-def test_alike_pairs():
+def shingled(t):
+    return {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set()
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("hot", [simhash.HOT, 50])
+def test_crowded_copies(spark, monkeypatch, hot):
+    """All candidates of a crowded group are held against each other: components are those of all pairs of candidates,
+    also over several blocks and in buckets that are cut."""
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 1 << 16, raising=False)
+    texts = crowded_copies(400)
+    sets = [shingled(t) for t in texts]
+    bits = np.unpackbits(np.array([np.frombuffer(simhash.wide_fingerprint(" ".join(t), 5), np.uint8) for t in texts]), axis=1, bitorder="little")
+    apart = (bits[:, None, :] != bits[None, :, :]).sum(axis=2)
+    meet = np.zeros(apart.shape, bool)
+    for at in simhash.band_plan(len(texts)):
+        meet |= (bits[:, None, at] == bits[None, :, at]).all(axis=2)
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j)]
+    met = united(len(texts), [(i, j) for i, j in pairs if meet[i, j] and apart[i, j] <= simhash.WIDE_BITS])
+    want = united(len(texts), [(i, j) for i, j in pairs if met[i] == met[j] and apart[i, j] <= simhash.WIDE_BITS and (apart[i, j] <= simhash.NEARER[0] and meet[i, j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame(spark, texts), hot=hot).collect()}
+    assert got == dict(enumerate(want)) and 100 < len(set(want)) < 400
+
+
+def test_recall_by_similarity_and_in_chains(spark):
+    """Pairs at each similarity, and links of chains of copies of copies, end in one component; none below 0.8 does."""
+    rng = random.Random(29)
+    texts, pairs = [], []
+    fresh = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    for share in (0.8, 0.82, 0.85, 0.9, 0.95):
+        for _ in range(80):
+            words = fresh(rng.randint(40, 300))
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [words, changed(rng, words, share)]
+    for _ in range(40):
+        words = fresh(120)
+        at = len(texts)
+        for _ in range(8):
+            texts.append(words)
+            words = changed(rng, words, 0.85)
+        pairs += [(at + i, at + j) for j in range(8) for i in range(j)]
+    for n in range(1, 14):  # short texts: one word more, one word changed, the same
+        for _ in range(12):
+            words = fresh(n)
+            at = len(texts)
+            texts += [words, words + fresh(1), [*words[:-1], *fresh(1)], words]
+            pairs += [(at + i, at + j) for j in range(4) for i in range(j)]
+    sets = [shingled(t) for t in texts]
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in pairs}
+    want = united(len(texts), [p for p, s in alike.items() if s >= 0.8])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(frame(spark, texts)).collect()}
+    assert all(want[i] == want[c] for i, c in got.items())
+    bins = defaultdict(list)
+    for (i, j), s in alike.items():
+        if s >= 0.8:
+            bins["short" if len(sets[i]) < 10 else min(int(s * 20), 19)].append(got[i] == got[j])
+    found = {b: sum(x) / len(x) for b, x in bins.items()}
+    assert found["short"] >= 0.98 and found[16] >= 0.95 and all(s >= 0.98 for b, s in found.items() if b != 16), found
+
+
+def test_wider_bands_find_as_many():
+    rng = np.random.RandomState(4)
+    plans = [simhash.band_plan(n) for n in (0, 10**7, 10**9, 10**11)]
+    assert [p.shape[1] for p in plans] == [14, 14, 18, 25]
+    flips = rng.rand(3000, 64 * simhash.WORDS) < 0.1476
+    for plan in plans[:3]:
+        assert (~flips[:, plan].any(axis=2)).any(axis=1).mean() > 0.96
+
+
+def test_one_of_each(spark):
+    """Decisions are by row: keys that repeat or are null lose nothing but copies."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [(1, one, "x"), (1, two, "x"), (2, one, "y"), (None, two, "x"), (None, three, "x"), (None, three, "y"), (5, three + " more", None), (7, "a b", "x"), (7, "a b", "x"), (8, None, "x"), (9, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = simhash.one_of_each(df.withColumn("hash", F.lit("clash")).withColumn("_of", F.lit(1)).drop("_of"))
+    assert sorted(map(repr, (tuple(r)[:3] for r in got.collect()))) == sorted(map(repr, [(1, one, "x"), (1, two, "x"), (5, three + " more", None), (7, "a b", "x"), (8, None, "x")]))
+    assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
+def test_alike_links():
     rng = np.random.default_rng(3)
-    sets = [np.unique(rng.integers(0, 40, rng.integers(0, 60))) for _ in range(60)]
-    ids = rng.permutation(1000)[:60]
-    a, b = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
-    got = simhash.alike_pairs(ids[a], ids[b], ids, np.array([len(s) for s in sets]), np.concatenate(sets), 0.5)
-    want = [bool(len(sets[i])) and len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)]
-    assert got.tolist() == want
+    sets = [np.unique(rng.integers(0, 40, rng.integers(0, 60))) for _ in range(80)]
+    cells, ids, classes = np.sort(rng.integers(0, 3, 80)), rng.permutation(1000)[:80], rng.integers(0, 60, 80)
+    fps = rng.integers(0, 2**63, (80, simhash.WORDS)).astype(np.uint64)
+    got = simhash.alike_links(cells, ids, fps, classes, np.array([len(s) for s in sets]), np.concatenate(sets), 512, 0.5)
+    near = lambda i, j: bool(len(sets[i]) and len(sets[j])) and len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))
+    same = [(i, j) for j in range(80) for i in range(j) if classes[i] == classes[j]]
+    want = [(i, j) for j in range(80) for i in range(j) if cells[i] == cells[j] and near(i, j)]
+    place = {x: i for i, x in enumerate(ids.tolist())}
+    assert all(near(place[a], place[b]) for a, b in got)
+    assert united(80, same + [(place[a], place[b]) for a, b in got]) == united(80, same + want)
 
 
 # Media ----------------------------------------------------------------------------------------------------------------
