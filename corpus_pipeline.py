@@ -6,37 +6,32 @@ Each stage works on all rows that the one before it kept; all but the last give
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqweave.llm import langid, mix, packing, pii, simhash
-from seqweave.llm.common import materialize
+from seqweave.llm.common import materialize, small
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are in some language. Those without letters, or unlike any language, go."""
-    found = langid.identify(docs, langid.fit(docs), "doc_id", "text", declared=F.col("lang"), host=F.col("source"))
-    gone = materialize(found.filter("not kept").select("doc_id").distinct(), "rejected")
-    # What goes is few rows; keys that are null are judged by their letters alone.
-    kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti")
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull() & F.col("text").rlike(r"\p{L}"))).select(COLUMNS)
+    """Documents that are in some language. Those without letters, or unlike any language, go.
+
+    Rows are told apart by all that decides (key, text, language, source), so what shares a key with a rejected row stays,
+    and null keys are judged like others. Repeated rows share their fate; an empty table gives no rows.
+    """
+    told = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text", "lang", "source")]
+    rows = docs.withColumn("_row", F.struct(F.xxhash64(*told), F.hash(*told)))
+    found = langid.identify(rows, langid.fit(docs), "_row", "text", declared=F.col("lang"), host=F.col("source"))
+    gone = materialize(found.filter("not kept").select("_row").distinct(), "rejected")
+    return rows.join(small(gone), "_row", "left_anti").select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts that share four fifths of their five-word shingles: that with its smallest
-    doc_id. Documents with null doc_id stay."""
-    found = simhash.similar_documents(docs)
-    gone = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    kept = docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
-    # Rows that repeat a doc_id would all stay: one of them does.
-    twice = materialize(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    if twice.isEmpty():
-        return kept
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))
-    firsts = kept.join(twice, "doc_id", "left_semi").withColumn("_nth", nth).filter("_nth = 1").drop("_nth")
-    return kept.join(twice, "doc_id", "left_anti").unionByName(firsts).select(COLUMNS)
+    doc_id (nulls last). Rows that share a doc_id but not the text are told apart; an empty table gives no rows."""
+    return simhash.one_of_each(docs.select(COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,13 +40,15 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: a row for each time that a document, or a part of it, is taken."""
+    """What the mix takes: a row for each time that a document, or a part of it, is taken. Documents without words aren't;
+    null keys and sources and repeated rows are taken like others; an empty table gives no rows."""
     sized = docs.select(*COLUMNS, mix.words_of(F.col("text")).alias("size"))
     return mix.mixed_texts(mix.mix(sized)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences."""
+    """The pieces of all documents in sequences. Null texts count as empty, rows with null or repeated keys are packed each
+    for itself, an empty table gives no rows."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
