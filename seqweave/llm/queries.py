@@ -74,7 +74,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
-    return urltree.judge(read(spark, sf_dir, "pages"))
+    return urltree.judge(read(spark, sf_dir, "pages"), html="html")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +86,7 @@ QUERIES = {f.__name__: f for f in (op1_mix, op2_simhash, op3_media, op4_lzprint,
 
 #: The mix: levels of targets, highest quotients over all seats, and the stretch that each shard takes of its words.
 SQL: dict[str, str] = {
+    "op9_url_filter": urltree.judge_sql(),
     "op1_mix": rf"""WITH sizes AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{mix.WORD}')) AS size, md5('{mix.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS draw FROM documents),
 listed AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS nth FROM sizes GROUP BY source),
 weighed AS (SELECT *, [5, 2, 1][(nth - 1) % 3 + 1] AS weight, 2.0::DOUBLE * source_size AS cap FROM listed), ratios AS (SELECT *, cap / weight AS ratio FROM weighed),

@@ -587,6 +587,40 @@ def test_deep_sections(spark):
     assert len({r["template"] for r in got if r["page_id"] % 10 == 0} & {r["template"] for r in got if r["page_id"] % 10}) == 0 and len(got) == 300
 
 
+def test_bad_leaf_below_merged_parents(spark):
+    """Parents that are alike are merged before what stands below them is tested, so small bad leaves add up."""
+    leaves = [("about", 0), ("bio", 0), ("junk", 1)]
+    rows = [(3 * i + j, f"http://h.example.org/{chr(97 + i % 26)}{chr(97 + i // 26)}/{leaf}", bad) for i in range(36) for j, (leaf, bad) in enumerate(leaves)]
+    df = spark.createDataFrame(rows, "page_id long, url string, label int")
+    got = {r["page_id"]: r for r in urltree.judge(df, label=F.col("label"), rules=()).collect()}
+    assert {r["template"] for r in got.values()} == {"/*/about", "/*/bio", "/*/junk"} or {r["template"] for r in got.values()} == {"/*/*", "/*/junk"}
+    assert all(got[k]["verdict"] == ("block" if bad else "allow") for k, _, bad in rows)
+
+
+def test_judge_equals_sql(spark, folder, tmp_path):
+    """Rules, labels, tree, purity and verdicts, held against SQL, on urls and html of all kinds."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(13)
+    words = lambda n: " ".join(rng.choice(["tion", "ther", "ble", "casino", "|", "<b>x</b>"]) for _ in range(n))
+    hosts = ["a.example.com", "B.example.net", "c.example.org", "m.casino-win.example.com", "net", "ads.net", ""]
+    rows = []
+    for i in range(1500):
+        h = hosts[min(int(rng.expovariate(0.9)), 6)]
+        parts = [rng.choice(["en", "de", "x", f"{rng.randrange(99)}", f"p{rng.randrange(40)}", f"{rng.randrange(9)}.html", "cafe0123beef", "spam", ""]) for _ in range(rng.choice([0, 1, 2, 2, 3, 4, 20]))]
+        rows.append((i, f"http{'s' * rng.randrange(2)}://{h}/{'/'.join(parts)}{rng.choice(['', '', '?q=/en/', '#t'])}", rng.choice([None, "", words(5), words(60), "<p>" + words(200)])))
+    rows += [(2000, None, "x"), (2001, "no scheme", None), (2002, "http://", ""), (2002, "http://", ""), (None, None, None), (2003, "http://a.example.com/" + "a/" * 5000, words(30_000))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    rel = con.execute(queries.SQL["op9_url_filter"])
+    names = [d[0] for d in rel.description]
+    got = queries.op9_url_filter(spark, str(tmp_path)).collect()
+    assert sorted(repr(tuple(r[n] for n in names)) for r in got) == sorted(map(repr, rel.fetchall()))
+    assert len({r["template"] for r in got}) > 20 and {r["verdict"] for r in got if r["rule"] is None} == {"allow", "block"}
+    assert queries.op9_url_filter(spark, str(folder / "none")).count() == 0
+
+
 # Packing --------------------------------------------------------------------------------------------------------------
 
 
