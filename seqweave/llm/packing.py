@@ -2,9 +2,12 @@
 
 Tokenising and packing happen in one pass over the documents, without a shuffle: each task keeps a window of waiting
 documents and fills one sequence after the other. A sequence has limits on tokens, segments and loss-bearing tokens. The
-next piece is the waiting document whose demand vector has the largest dot product with the room that is left (both as
-shares of the limits); the last piece is cut to fill the sequence exactly. What is left when a task ends goes into
-sequences whose lengths are powers of two, which need no padding.
+next piece is the one whose demand vector (what of a waiting document the room holds) has the largest dot product with the
+room that is left, both as shares of the limits; pieces are cut where a limit is reached. A sequence that can't be filled,
+and what is left when a task ends, is cut back to a length that is a power of two, which needs no padding.
+
+Loss is borne by what follows a document's prompt: a column of prompts, for instruction data, or else the first quarter of
+the document's own ids, which is then context. ``END`` bears none.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEQUENCE, SEGMENTS, END = 2048, 64, 1
+SEQUENCE, SEGMENTS, LOSSES, END = 2048, 64, 1792, 1
+#: Share of a document's ids that is context where it has no prompt.
+CONTEXT = 0.25
 #: Documents that wait at a time, their ids at most, and words whose ids a task keeps.
 WINDOW, WINDOW_IDS, WORDS = 256, 1 << 21, 650_000
 
@@ -107,53 +112,66 @@ class Packer:
 
     def __init__(self, first_id: int, tokens: int, segments: int, losses: int, window: int):
         self.limits, self.window, self.next_id = np.array([tokens, segments, losses], float), window, first_id
-        self.rows: list[tuple] = []  # (key, ids, loss mask or None, begin)
-        self.need = np.zeros((0, 2))  # ids and loss-bearing ids left
+        self.rows: list[tuple] = []  # key, ids
+        # Of each: ids in all, ids left, those of them ahead of the first that bears loss.
+        self.whole, self.left, self.free = (np.zeros(0, np.int64) for _ in range(3))
         self.held = 0
 
-    def add(self, key, ids: bytes, mask: np.ndarray | None) -> None:
+    def add(self, key, ids: bytes, prompt: int) -> None:
+        """``prompt``: how many of the ids, of which the last is END, bear no loss."""
         n = len(ids) // 4
-        self.rows.append([key, ids, mask, 0])
-        self.need = np.vstack([self.need, [n, n if mask is None else int(mask.sum())]])
+        self.rows.append((key, ids))
+        self.whole, self.left, self.free = (np.append(x, v) for x, v in ((self.whole, n), (self.left, n), (self.free, min(prompt, n - 1))))
         self.held += n
 
     def full(self) -> bool:
         return len(self.rows) >= self.window or self.held >= WINDOW_IDS
 
-    def _cut(self, i: int, room: np.ndarray) -> int:
-        """Most ids of the i-th waiting document, from where it stands, that keep all limits."""
-        _, ids, mask, at = self.rows[i]
-        n = min(int(self.need[i, 0]), int(room[0]))
-        if mask is None:
-            return min(n, int(room[2]))
-        over = np.flatnonzero(np.cumsum(mask[at : at + n]) > room[2])
-        return int(over[0]) if len(over) else n
+    def pick(self, tokens: int) -> list[tuple[int, int, int]]:
+        """(document, ids, losses) of the pieces of one sequence of up to ``tokens`` ids; nothing is taken yet."""
+        limits = self.limits.copy()
+        limits[0] = tokens
+        room, out = [tokens, int(limits[1]), int(limits[2])], []
+        left, free = self.left.copy(), self.free.copy()
+        while room[0] > 0 and room[1] > 0:
+            bears = left - 1 - free  # END bears none
+            n = np.minimum(np.where(bears <= room[2], left, free + room[2]), room[0])
+            loss = np.maximum(np.minimum(n, left - 1) - free, 0)
+            share = room / limits
+            score = n * (share[0] / limits[0]) + loss * (share[2] / limits[2]) + share[1] / limits[1]
+            score[n <= 0] = -1
+            i = int(score.argmax()) if len(score) else -1
+            if i < 0 or score[i] < 0:
+                break
+            got, lost = int(n[i]), int(loss[i])
+            out.append((i, got, lost))
+            room = [room[0] - got, room[1] - 1, room[2] - lost]
+            left[i] -= got
+            free[i] = max(0, int(free[i]) - got)
+        return out
 
     def sequence(self, tokens: int) -> list[tuple]:
         """One sequence of up to ``tokens`` ids: (key, start, ids, whole count, sequence, offset, losses) of each piece."""
-        limits = self.limits.copy()
-        limits[0] = tokens
-        room, out, offset, live = limits.copy(), [], 0, np.ones(len(self.rows), bool)
-        while room[0] > 0 and room[1] > 0 and live.any():
-            share = np.column_stack([np.minimum(self.need[:, 0], room[0]) / limits[0], np.full(len(self.rows), 1 / limits[1]), np.minimum(self.need[:, 1], room[2]) / limits[2]])
-            score = np.where(live, share @ (room / limits), -1.0)
-            i = int(score.argmax())
-            n = self._cut(i, room)
+        picks = self.pick(tokens)
+        filled = sum(n for _, n, _ in picks)
+        room = filled if filled == self.limits[0] else 1 << (filled.bit_length() - 1)
+        out, offset = [], 0
+        for i, n, _ in picks:
+            n = min(n, room - offset)
             if n <= 0:
-                live[i] = False
-                continue
-            key, ids, mask, at = self.rows[i]
-            lost = n if mask is None else int(mask[at : at + n].sum())
-            out.append((key, at, ids[4 * at : 4 * (at + n)], len(ids) // 4, self.next_id, offset, lost))
-            self.rows[i][3] += n
-            self.need[i] -= (n, lost)
-            room -= (n, 1, lost)
+                break
+            key, ids = self.rows[i]
+            at = int(self.whole[i] - self.left[i])
+            lost = max(0, min(n, int(self.left[i]) - 1) - int(self.free[i]))
+            out.append((key, at, ids[4 * at : 4 * (at + n)], int(self.whole[i]), self.next_id, offset, lost))
+            self.left[i] -= n
+            self.free[i] = max(0, int(self.free[i]) - n)
             offset += n
-            self.held -= n
-            live[i] = self.need[i, 0] > 0
-        stay = np.flatnonzero(self.need[:, 0] > 0)
+        self.held -= offset
+        stay = np.flatnonzero(self.left > 0)
         if len(stay) < len(self.rows):
-            self.rows, self.need = [self.rows[i] for i in stay], self.need[stay]
+            self.rows = [self.rows[i] for i in stay]
+            self.whole, self.left, self.free = self.whole[stay], self.left[stay], self.free[stay]
         self.next_id += 1
         return out
 
@@ -162,26 +180,27 @@ class Packer:
         while self.held >= top and (all_of_it or self.full()):
             yield self.sequence(top)
         while all_of_it and self.held:
-            yield self.sequence(1 << (min(self.held, top).bit_length() - 1))
+            yield self.sequence(min(top, 1 << (self.held.bit_length() - 1)))
 
 
 SCHEMA = "key string, start long, length long, ids_crc32 long, ids binary, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
-def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", tokens: int = SEQUENCE, segments: int = SEGMENTS, losses: int | None = None, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", prompt: str | None = None, tokens: int = SEQUENCE, segments: int = SEGMENTS, losses: int = LOSSES, context: float = CONTEXT, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
     """One row for each piece: (key, start, length, ids_crc32, ids, doc_tokens, sequence_id, offset, loss_tokens).
 
-    A document's ids are those of its text (null: empty) and ``END``; here every id of the text bears loss and ``END``
-    none. ``tokens``, ``segments`` and ``losses`` limit each sequence (``losses``: as many as tokens if None). Every id is
-    in exactly one piece. ``sequence_id`` is the task's partition times 2**40 plus a count. A document longer than a
-    sequence is cut; rows with null or repeated keys are packed each for itself; an empty table gives no rows.
-    ``with_ids`` leaves the ids themselves out if false.
+    A document's ids are those of its text (null: empty) and ``END``. ``prompt`` names a column of texts whose ids go
+    before and bear no loss; without it (or where it is null) the first ``context`` of the text's ids bear none.
+    ``END`` never does. ``tokens``, ``segments`` and ``losses`` limit each sequence. Every id is in exactly one piece, and
+    a sequence has ``tokens`` ids or a power of two. ``sequence_id`` is the task's partition times 2**40 plus a count. A
+    document longer than a sequence is cut; rows with null or repeated keys are packed each for itself; an empty table
+    gives no rows. ``with_ids`` leaves the ids themselves out if false.
     """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
-        packer = Packer(TaskContext.get().partitionId() << 40, tokens, segments, losses or tokens, window)
+        packer = Packer(TaskContext.get().partitionId() << 40, tokens, segments, losses, window)
         end = array("I", [END]).tobytes()
         ready: list[tuple] = []
 
@@ -192,13 +211,10 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "d
             return pa.RecordBatch.from_arrays(cols, names=["key", "start", "length", "ids_crc32", "ids", "doc_tokens", "sequence_id", "offset", "loss_tokens"])
 
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = tok.encode(t.as_py()) + end
-                mask = None
-                if losses:
-                    mask = np.ones(len(ids) // 4, bool)
-                    mask[-1] = False
-                packer.add(k, ids, mask)
+            for k, t, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                ids = tok.encode(t.as_py())
+                before = tok.encode(asked.as_py()) if asked.is_valid else None
+                packer.add(k, ids + end if before is None else before + ids + end, int(len(ids) // 4 * context) if before is None else len(before) // 4)
                 if packer.full():
                     for pieces in packer.drain(False):
                         ready += pieces
@@ -211,5 +227,6 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "d
         if ready:
             yield rows()
 
-    out = docs.select(F.col(key).cast("string"), F.col(text)).mapInArrow(run, SCHEMA)
+    asked = F.lit(None).cast("string") if prompt is None else F.col(prompt)
+    out = docs.select(F.col(key).cast("string"), F.col(text), asked.alias("_prompt")).mapInArrow(run, SCHEMA)
     return out.select(F.col("key").cast(kind).alias(key), *(c for c in out.columns if c != "key" and (with_ids or c != "ids")))

@@ -662,13 +662,69 @@ def test_packing(spark, rows, folder):
 
 def test_limits_on_segments_and_losses(spark):
     df = spark.createDataFrame([(i, "word " * (i % 90), "x") for i in range(300)], "doc_id long, text string, start string")
-    got = packing.pack(df, VOCABULARY, tokens=256, segments=4, losses=200, window=32)
+    got = packing.pack(df, VOCABULARY, tokens=256, segments=4, losses=150, window=32)
     per = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("s"), F.sum("loss_tokens").alias("l"))
-    assert per.filter("n > 256 or s > 4 or l > 200").count() == 0
+    assert per.filter("n > 256 or s > 4 or l > 150 or bit_count(n) <> 1").count() == 0
     assert got.agg(F.sum("length")).first()[0] == sum(i % 90 + 1 for i in range(300))
+    assert got.agg(F.sum("loss_tokens")).first()[0] == sum(i % 90 - i % 90 // 4 for i in range(300))
     assert got.filter("octet_length(ids) <> 4 * length").count() == 0
 
 
+def test_prompts_bear_no_loss(spark):
+    """Instruction data: the ids of prompts and END bear none, at each place where a document is cut."""
+    rng = random.Random(3)
+    rows = [(i, "answer " * rng.randint(0, 200), None if i % 7 == 0 else "question " * rng.randint(0, 90)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, asked string")
+    plain = Tokenizer.from_file(VOCABULARY)
+    bears = {}
+    for i, text, asked in rows:
+        own, before = (plain.encode(t or "", add_special_tokens=False).ids for t in (text, asked))
+        free = len(before) if asked is not None else int(len(own) * packing.CONTEXT)
+        bears[i] = [False] * free + [True] * (len(before) + len(own) - free) + [False]
+    got = packing.pack(df, VOCABULARY, prompt="asked", tokens=256, losses=160).collect()
+    assert all(r["loss_tokens"] == sum(bears[r["doc_id"]][r["start"] : r["start"] + r["length"]]) and r["doc_tokens"] == len(bears[r["doc_id"]]) for r in got)
+    assert sum(r["length"] for r in got) == sum(map(len, bears.values()))
+
+
+def plain_picks(waiting, limits):
+    """Pieces by the largest dot product of demand and room, for (ids left, ids left without loss) of each document."""
+    waiting, room, out = [list(w) for w in waiting], list(limits), []
+    while room[0] > 0 and room[1] > 0:
+        best = None
+        for i, (left, free) in enumerate(waiting):
+            lost = lambda n, left=left, free=free: max(0, min(n, left - 1) - free)
+            n = next((n for n in range(min(left, room[0]), 0, -1) if lost(n) <= room[2]), 0)
+            if n:
+                score = sum(d / m * r / m for d, r, m in zip((n, 1, lost(n)), room, limits, strict=True))
+                if best is None or score > best[0] + 1e-12:
+                    best = (score, i, n, lost(n))
+        if best is None:
+            break
+        _, i, n, lost = best
+        out.append((i, n, lost))
+        room = [room[0] - n, room[1] - 1, room[2] - lost]
+        waiting[i] = [waiting[i][0] - n, max(0, waiting[i][1] - n)]
+    return out
+
+
+def test_pieces_by_dot_product():
+    rng = random.Random(8)
+    longest = 0
+    for _ in range(60):
+        limits = (64, rng.choice([3, 8]), rng.choice([20, 40, 56]))
+        packer = packing.Packer(0, *limits, 64)
+        waiting = []
+        for i in range(rng.randint(1, 12)):
+            n = rng.randint(1, 90)
+            packer.add(i, bytes(4 * n), free := rng.randint(0, n))
+            waiting.append((n, min(free, n - 1)))
+        picks = packer.pick(64)
+        assert picks == plain_picks(waiting, limits)
+        longest += picks[0][0] == max(range(len(waiting)), key=lambda i: waiting[i][0])
+        assert sum(n for _, n, _ in picks) <= 64 and len(picks) <= limits[1] and sum(x for *_, x in picks) <= limits[2]
+    assert longest < 45  # the longest document isn't simply the first
+
+
 def test_little_padding(spark, docs):
     big = docs.select("doc_id", "text").crossJoin(spark.range(20).select()).coalesce(1)
     got = packing.pack(big, VOCABULARY, with_ids=False)
