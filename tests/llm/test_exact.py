@@ -492,10 +492,62 @@ def test_licenses(spark, folder):
 
 
 def test_suppression():
-    assert licenses.suppress([(0, 10, 5, 0), (2, 8, 90, 1), (8, 14, 6, 2), (20, 25, 1, 3), (20, 25, 2, 4)]) == [(8, 14, 6, 2), (20, 25, 2, 4)]
+    assert licenses.suppress([(0, 10, 5, 0), (2, 8, 90, 1), (8, 14, 6, 2), (20, 25, 1, 3), (20, 25, 2, 4)]) == [(2, 8, 90, 1), (8, 14, 6, 2), (20, 25, 2, 4)]
+    assert licenses.suppress([(0, 10, 50, 1), (5, 20, 60, 2), (15, 30, 70, 3)]) == [(0, 10, 50, 1), (15, 30, 70, 3)]
     assert licenses.suppress([]) == []
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("SPDX-License-Identifier: GPL-3.0-only", ["gpl-3.0-only"]), ("# SPDX-License-Identifier: Apache-2.0", ["apache-2.0"]), ("SPDX-License-Identifier: MIT", ["mit"]), ("SPDX-License-Identifier: (MIT OR Apache-2.0)", ["mit", "apache-2.0"]), ("SPDX-License-Identifier: GPL-2.0+", ["gpl-2.0-or-later"]),
+        ("under GPL-3.0+", ["gpl-3.0-or-later"]), ("C++ 3+ code", []), ("Mozilla Public License 1.1+", ["mpl-1.1-or-later"]), ("SPDX-License-Identifier: unheard-of", ["spdx"]),
+        ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", ["bsd-2-clause"]), ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ["mpl-2.0"]),
+        ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version", ["lgpl-2.1-or-later"]),
+        ("https://creativecommons.org/licenses/by-sa/4.0/", ["cc-by-sa-4.0"]), ("Business Source License 1.1", ["busl-1.1"]), ("Все права защищены", []),
+    ],
+)
+def test_labels(text, labels):
+    assert [d[0] for d in licenses.scan(text)[1]] == labels
+
+
+def test_scan_equals_all_rules():
+    """Places are those of all rules run over the whole text, overlaps resolved by comparing each with each."""
+    rng = random.Random(9)
+    bits = ["gnu", "general public license", "version", "2", "3.0", "2.1", "or later", "+", "only", "GPL", "LGPL", "cc", "by", "sa", "nc", "4.0", "creative commons", "attribution", "share alike", "apache license", "mit license", "SPDX-License-Identifier:", "MIT", "OR", "all rights reserved", "copyright 2020 2021", "bsd", "3-clause", "public domain", "the", "word", "\n", "commercial use", "not for", "licensed under the", "mozilla public license", "v", "permission is hereby granted, free of charge, to any person obtaining a copy", "©", "für"]
+    found = 0
+    for _ in range(400):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randint(1, 40)))
+        got = licenses.scan(text)
+        assert got == licenses.scan(text, gated=False)
+        plain = licenses.normalise(text)[2].decode()
+        places = [(m.start(), m.end(), -r.priority, i, r) for i, r in enumerate(licenses.rules()) if not r.elsewhere or "spdx license identifier" in plain for m in re.finditer(rf"(?<!\S)(?:{r.pattern})(?!\S)", plain) if m.group()]
+        kept = []
+        for a, b, p, i, r in sorted(places, key=lambda x: (x[2], x[0] - x[1], x[0], x[3])):
+            if all(b <= c or d <= a for c, d, *_ in kept):
+                kept.append((a, b, r))
+        assert [(label, a, b) for label, a, b, _ in got[1]] == [(r.label, a, b) for a, b, r in sorted(kept, key=lambda x: x[:2])]
+        found += len(got[1])
+    assert found > 1000
+
+
+def test_keywords_gate_no_rule():
+    """Each rule's keywords are in what it matches, for texts made from its own pattern."""
+    for r in licenses.rules():
+        literal = re.sub(r"\[sc\]", "s", re.sub(r"\(\?<=[^)]*\)|\.\{\d+,\d+\}\??|\\S\+|\(\?:\\d \)\*|\(\?: \\w\+\)\?\?", "", r.pattern))
+        if not r.elsewhere and not re.search(r"[\\.*+{\[(|?]", literal):
+            assert any(k in literal for k in r.keywords), r
+
+
+def test_long_repetitive_texts():
+    import time
+
+    began = time.perf_counter()
+    n, places, base = licenses.scan("all rights reserved " * 100_000 + "x" * 1_000_000)
+    assert n == 300_001 and len(places) == 100_000 and base["all rights reserved"][-1] == 299_997
+    assert time.perf_counter() - began < 20
+
+
 # Sharding -------------------------------------------------------------------------------------------------------------
 
 
