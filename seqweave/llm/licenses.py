@@ -50,7 +50,7 @@ NOTICES = (
     ("gfdl-any", 82, "gnu org licenses", r"(?:https? )?(?:www )?gnu org licenses fdl(?: html| txt)?"),
     ("gfdl-any", 84, "document under the terms", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
     ("gpl-any", 57, "write to the free software foundation", r"write to the free software foundation inc"),
-    ("gpl-classpath-exception", 90, "classpath", r"(?:gnu )?classpath exception|linking this library statically or dynamically with other modules is making a combined work"),
+    ("gpl-classpath-exception", 90, "classpath|combined work", r"(?:gnu )?classpath exception|linking this library statically or dynamically with other modules is making a combined work"),
     ("gcc-exception", 90, "gcc runtime library exception", r"gcc runtime library exception(?: version 3 1)?"),
     ("autoconf-exception", 88, "configuration script generated by autoconf", r"contains a configuration script generated by autoconf"),
     ("bison-exception", 88, "bison", r"as a special exception you may create a larger work that contains part or all of the bison parser skeleton"),
@@ -76,7 +76,7 @@ NOTICES = (
     ("ntp", 84, "no representations about the suitability", r"makes no representations about the suitability (?:of )?this software for any purpose"),
     ("zlib", 86, "in no event will the authors", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
     ("zlib", 85, "altered source versions", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
-    ("bsl-1.0", 88, "executable object code", r"to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software"),
+    ("bsl-1.0", 88, "prepare derivative works", r"to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software"),
     ("bsl-1.0", 88, "boost org", r"(?:https? )?(?:www )?boost org license 1 0 txt"),
     ("curl", 84, "curl license", r"curl license"),
     ("x11", 84, "x consortium", r"except as contained in this notice the name of the x consortium shall not be used in advertising"),
@@ -89,7 +89,7 @@ NOTICES = (
     ("sleepycat", 85, "sleepycat", r"sleepycat (?:public )?licen[sc]e"),
     ("vim", 82, "vim license", r"vim license"),
     ("tcl", 82, "tcl", r"tcl tk license"),
-    ("libpng", 84, "libpng", r"(?:the )?(?:png reference library|libpng) license(?: version 2)?"),
+    ("libpng", 84, "libpng|png reference library", r"(?:the )?(?:png reference library|libpng) license(?: version 2)?"),
     ("ijg", 84, "independent jpeg group", r"based in part on the work of the independent jpeg group"),
     ("freetype", 84, "freetype", r"freetype (?:project )?license"),
     ("icu", 82, "icu license", r"icu license"),
@@ -106,7 +106,7 @@ NOTICES = (
     ("epl-2.0", 95, "eclipse public", r"made available under the terms of the eclipse public license v(?:ersion)? ?2 0(?: which (?:accompanies this distribution|is available at))?"),
     ("epl-any", 64, "eclipse org legal", r"(?:https? )?(?:www )?eclipse org legal epl v10 html|(?:https? )?(?:www )?eclipse org legal epl (?:v20|2 0)(?: html)?"),
     ("cddl-1.0", 92, "common development and distribution", r"subject to the terms of the common development and distribution license(?: the license)?(?: you may not use this file except in compliance with the license)?"),
-    ("cddl-any", 82, "cddl", r"cddl(?: license)?|usr src opensolaris license"),
+    ("cddl-any", 82, "cddl|opensolaris license", r"cddl(?: license)?|usr src opensolaris license"),
     ("edl-1.0", 86, "eclipse distribution", r"eclipse distribution license(?: v(?:ersion)? ?1 0)?"),
     ("cpal-1.0", 86, "common public attribution", r"common public attribution license(?: version)?(?: 1 0)?"),
     ("rpl-1.5", 86, "reciprocal public", r"reciprocal public license(?: version)?(?: 1 5)?"),
@@ -136,8 +136,8 @@ NOTICES = (
     ("cc-pdm-1.0", 90, "publicdomain mark|public domain mark", r"(?:https? )?creativecommons org publicdomain mark 1 0|public domain mark 1 0"),
     ("cc-by-any", 62, "creative commons attribution", r"(?:licensed|available|released) under (?:a |the )?creative commons attribution(?: license)?"),
     ("cc-any", 52, "creative commons", r"(?:licensed|available|released) under (?:a |the )?creative commons(?: license)?"),
-    ("cc-by-any", 63, "remix", r"you are free to share copy and redistribute the material in any medium or format"),
-    ("cc-by-nc-any", 64, "noncommercial|non commercial", r"you may not use the material for commercial purposes"),
+    ("cc-by-any", 63, "redistribute the material", r"you are free to share copy and redistribute the material in any medium or format"),
+    ("cc-by-nc-any", 64, "commercial purposes", r"you may not use the material for commercial purposes"),
     ("cc-by-nd-any", 64, "distribute the modified material", r"if you remix transform or build upon the material you may not distribute the modified material"),
     ("cc-by-sa-any", 64, "same license as the original", r"if you remix transform or build upon the material you must distribute your contributions under the same license as the original"),
     ("odbl-1.0", 88, "opendatacommons org|openstreetmap", r"(?:https? )?opendatacommons org licenses odbl(?: 1 0)?|openstreetmap contributors"),
@@ -150,7 +150,7 @@ NOTICES = (
     ("cdla-sharing", 86, "community data license", r"community data license agreement sharing(?: version)?(?: 1 0)?"),
     ("ofl-1.1", 90, "open font", r"this font software is licensed under the sil open font license version 1 1"),
     ("ofl-any", 80, "scripts sil org", r"(?:https? )?scripts sil org ofl"),
-    ("gutenberg", 84, "project gutenberg", r"project gutenberg (?:tm )?license|this ebook is for the use of anyone anywhere"),
+    ("gutenberg", 84, "project gutenberg|this ebook is for", r"project gutenberg (?:tm )?license|this ebook is for the use of anyone anywhere"),
     # Models and source-available terms
     ("openrail", 84, "openrail|open rail", r"(?:creativeml |bigcode |bigscience )?open ?rail(?: m| \+\+ m)?(?: license)?"),
     ("busl-1.1", 88, "business source", r"business source license(?: version)?(?: 1 1)?"),
@@ -162,11 +162,11 @@ NOTICES = (
     ("llama", 84, "community license agreement", r"llama (?:\d )*community license agreement"),
     ("gemma", 82, "gemma terms", r"gemma terms of use"),
     # Reservations and proprietary terms
-    ("proprietary", 66, "trade secret", r"contains? (?:confidential and proprietary|proprietary and confidential) information|trade secrets? of"),
+    ("proprietary", 66, "trade secret|and proprietary|and confidential", r"contains? (?:confidential and proprietary|proprietary and confidential) information|trade secrets? of"),
     ("proprietary", 66, "prior written", r"(?:may not be|no part of this .{1,40}? may be) (?:reproduced|copied|distributed).{0,80}? without (?:the )?(?:express )?prior written (?:permission|consent)"),
-    ("proprietary", 64, "end user license", r"end user licen[sc]e agreement"),
+    ("proprietary", 64, "end user licen", r"end user licen[sc]e agreement"),
     ("proprietary", 62, "personal use only|internal use only", r"for (?:personal|internal) use only"),
-    ("noncommercial", 60, "commercial use", r"for non ?commercial (?:use|purposes) only|not for commercial use|no commercial use"),
+    ("noncommercial", 60, "commercial use|commercial purposes", r"for non ?commercial (?:use|purposes) only|not for commercial use|no commercial use"),
     ("noncommercial", 60, "research purposes|research use", r"for (?:academic |scientific )?research (?:purposes|use) only"),
     ("reserved", 42, "some rights reserved", r"some rights reserved"),
     ("reserved", 40, "tutti i diritti", r"tutti i diritti (?:sono )?riservati"),
