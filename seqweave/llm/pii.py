@@ -3,24 +3,30 @@
 Entities are found by patterns: e-mail and network addresses, telephone, account, bank and social security numbers,
 secrets, and names after a title. Each is replaced by a surrogate that a secret key draws from (kind, normal form,
 attempt): the same entity gets the same surrogate everywhere (coreference), in the form in which it stands (separators,
-letter case, script; a name keeps its title's gender). Distinctness is checked over the whole corpus: of entities that
-draw the same surrogate, or one that is itself an entity of the corpus, all but one draw again. Only those that had to
-draw again are looked up when texts are rewritten; all others are drawn on the spot.
+letter case, script). A given name has the gender of its titles in the document, whichever of its mentions has them; if
+these tell none, that of the corpus's other documents, if they agree, and else the male form. Distinctness is checked over
+the whole corpus: of entities that draw the same surrogate, or one that is itself an entity of the corpus, all but one draw
+again. Only those that had to draw again, and names whose gender other documents tell, are looked up when texts are
+rewritten; all others are drawn on the spot.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize, small
 
-KEY = "not-a-secret: replace in production"
+#: Spark's setting that holds the secret key. Where it's unset each call draws a key, and surrogates agree within it only.
+KEY_SETTING = "spark.seqweave.pii.key"
 #: Most entities that drew again and travel with the task; more are joined to their documents.
 EXCEPTIONS = 20_000
 ROUNDS = 64
@@ -29,8 +35,8 @@ _MALE, _FEMALE = ("Mr", "Mister", "Herr", "Herrn", "Monsieur", "Señor"), ("Mrs"
 _OTHER = ("Dr", "Prof", "Professor")
 _TITLES = "|".join(sorted(_MALE + _FEMALE + _OTHER, key=len, reverse=True))
 _ENTITY = re.compile(
-    r"(?P<email>[\w.+%-]+@[\w-]+(?:\.[\w-]+)+)"
-    r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z]))"
+    r"(?P<email>(?<![\w.+%-])[\w.+%-]++@[\w-]++(?:\.[\w-]++)+)"
+    r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z]))"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z]))"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))"
     r"|(?P<phone>(?<![\w+])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)|(?<![\w+.-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-]))"
@@ -38,10 +44,16 @@ _ENTITY = re.compile(
     r"|(?P<account>(?<!\d)(?:\d{4}(?:[ -]\d{4}){3}|\d{13,19})(?!\d))"
     rf"|(?P<name>(?<!\w)(?P<title>{_TITLES})\.?[ ]+(?P<one>[^\W\d_][\w'’-]*)(?:[ ]+(?P<two>[^\W\d_][\w'’-]+))?)"
 )
-#: What a text has to hold before the patterns are tried.
-HINT = rf"[0-9@]|(?:^|[^\p{{L}}])(?:{_TITLES})[. ]"
+#: What a text has to hold, besides digits and @, before the patterns are tried: beginnings of titles and assigned names.
+_HINTS = ("Mr", "Mis", "Ms", "Herr", "Monsieur", "Señor", "Frau", "Fräulein", "Mad", "Dr", "Prof")
+assert all(any(t.startswith(h) for h in _HINTS) for t in _MALE + _FEMALE + _OTHER)
 _ASSIGNED = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|key)\s*[=:]\s*[\"']?(?P<value>[\w/+.-]{12,})")
 
+#: Words as names may be written, and their parts with the hyphens and apostrophes that follow.
+_JOINTS = "-'’"
+_WORD = re.compile(r"(?<!\w)[^\W\d_][\w'’-]*+")
+_JOINED = re.compile(r"[^'’-]*+['’-]++|[^'’-]++")
+
 _ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 _SYLLABLES = {"latin": ("ba be da do ka ke la lo ma mi na no pa ra ri sa se ta to va".split(), "n r l s t m".split()), "cyrillic": ("ба бо да де ка ко ла ли ма ми на но па ра ро са се та то ва".split(), "н в р л м т".split()), "greek": ("βα δα δο κα κο λα λι μα μι να νο πα ρα ρο σα σε τα το φα θε".split(), "ς ν ς ρ ς ν".split())}
 
@@ -91,7 +103,12 @@ def _like(text: str, draw: _Draw) -> str:
     return "".join(out)
 
 
-def draw_surrogate(kind: str, norm: str, attempt: int, key: str = KEY) -> str:
+def secret_key(spark: SparkSession) -> str:
+    """The configured key, or a fresh one."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
+
+
+def draw_surrogate(kind: str, norm: str, attempt: int, key: str) -> str:
     """The normal form of an entity's surrogate."""
     draw = _Draw(key, kind, norm, attempt)
     if kind == "email":
@@ -114,8 +131,9 @@ def draw_surrogate(kind: str, norm: str, attempt: int, key: str = KEY) -> str:
         return _like(norm, draw)
     if kind == "account":
         new = str(1 + draw.below(9)) + _like(norm[1:], draw)
-        return next(x for x in (new[:-1] + str(d) for d in range(10)) if _luhn(x)) if _luhn(norm) else new
-    # given:m, given:f, given:x, surname
+        wanted = _luhn(norm)
+        return next(x for x in (new[:-1] + str((int(new[-1]) + d) % 10) for d in range(10)) if _luhn(x) == wanted)
+    # given:m, given:f, surname
     syllables, ends = _SYLLABLES[script_of(norm)]
     word = "".join(syllables[draw.below(len(syllables))] for _ in range(2 + draw.below(2) + attempt // 4))
     last = {"latin": "a", "cyrillic": "а", "greek": "α"}[script_of(norm)]
@@ -138,20 +156,36 @@ def _cased(form: str, new: str) -> str:
     return new.upper() if len(form) > 1 and form.isupper() else new[:1].upper() + new[1:] if form[:1].isupper() else new
 
 
+class _Taken:
+    """Spans without overlaps, in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.spans = sorted(spans)
+        self.ends = [b for _, b in self.spans]
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_left(self.ends, a + 1)
+        return i < len(self.spans) and self.spans[i][0] < b
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
-    """(begin, end, kind, normal form) of all entities, in order, without overlaps."""
+    """(begin, end, kind, normal form) of all entities, in order, without overlaps. Kinds of given names are given:m,
+    given:f and, where no title of the text tells, given:x."""
     out: list[tuple[int, int, str, str]] = []
     names: dict[str, str] = {}
+    votes: Counter[str] = Counter()
     for m in _ENTITY.finditer(text):
         kind, whole = m.lastgroup, m.group()
         if m.group("name"):
-            gender = "m" if m.group("title") in _MALE else "f" if m.group("title") in _FEMALE else "x"
             parts = [g for g in ("one", "two") if m.group(g) and m.group(g)[0].isupper()]
             if not parts or parts[0] != "one":
                 continue
-            for g, what in zip(parts, (["surname"] if len(parts) == 1 else [f"given:{gender}", "surname"]), strict=True):
-                out.append((m.start(g), m.end(g), what, m.group(g).lower()))
-                names[m.group(g)] = what
+            for g, what in zip(parts, (["surname"] if len(parts) == 1 else ["given", "surname"]), strict=True):
+                norm = m.group(g).lower()
+                out.append((m.start(g), m.end(g), what, norm))
+                names.setdefault(m.group(g), what)
+                if what == "given":
+                    votes[norm] += (m.group("title") in _MALE) - (m.group("title") in _FEMALE)
             continue
         kind = next(k for k in ("email", "secret", "iban", "ip", "phone", "ssn", "account") if m.group(k))
         if kind == "email":
@@ -173,24 +207,40 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         else:
             norm = _digits(whole)
         out.append((m.start(), m.end(), kind, norm))
-    taken = {(a, b) for a, b, _, _ in out}
+    taken = _Taken([(a, b) for a, b, _, _ in out])
     for m in _ASSIGNED.finditer(text):
         a, b = m.span("value")
-        if any(c.isdigit() for c in m.group("value")) and not any(a < e and s < b for s, e in taken):
+        if any(c.isdigit() for c in m.group("value")) and not taken.meets(a, b):
             out.append((a, b, "secret", m.group("value")))
-    # A name goes on without its title.
+    # A name goes on without its title, also as part of a word with hyphens or apostrophes.
     if names:
-        spans = sorted((a, b) for a, b, _, _ in out)
-        for m in re.finditer(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, names), key=len, reverse=True)) + r")(?!\w)", text):
-            if not any(a < m.end() and m.start() < b for a, b in spans):
-                out.append((m.start(), m.end(), names[m.group()], m.group().lower()))
-    return sorted(out)
-
-
-def rewrite(text: str, again: dict[tuple[str, str], int], key: str = KEY) -> tuple[str, int]:
-    """The text with surrogates, and the number of places. ``again``: attempts of the entities that drew again."""
+        taken = _Taken([(a, b) for a, b, _, _ in out])
+        most = max(len(_JOINED.findall(n)) for n in names)
+        for m in _WORD.finditer(text):
+            cuts = [m.start(), *(x.end() for x in _JOINED.finditer(text, m.start(), m.end()))] if most > 1 or not m.group().isalnum() else [m.start(), m.end()]
+            i = 0
+            while i < len(cuts) - 1:
+                for j in range(min(len(cuts) - 1, i + most), i, -1):
+                    a, b = cuts[i], cuts[j]
+                    while b > a and text[b - 1] in _JOINTS and text[a:b] not in names:
+                        b -= 1
+                    if (name := text[a:b]) in names and not taken.meets(a, b):
+                        out.append((a, b, names[name], name.lower()))
+                        i = j
+                        break
+                else:
+                    i += 1
+    gender = lambda n: "given:m" if votes[n] > 0 else "given:f" if votes[n] < 0 else "given:x"
+    return sorted((a, b, gender(n) if k == "given" else k, n) for a, b, k, n in out)
+
+
+def rewrite(text: str, again: dict[tuple[str, str], int], women: set[str] | frozenset[str], key: str) -> tuple[str, int]:
+    """The text with surrogates, and the number of places. ``again``: attempts of the entities that drew again; ``women``:
+    given names that are female where no title of the text tells."""
     out, at, found = [], 0, find(text)
     for a, b, kind, norm in found:
+        if kind == "given:x":
+            kind = "given:f" if norm in women else "given:m"
         form, new = text[a:b], draw_surrogate(kind, norm, again.get((kind, norm), 0), key)
         if kind == "phone":
             country, digits = norm.partition("|")[0], new.partition("|")[2]
@@ -209,8 +259,12 @@ def rewrite(text: str, again: dict[tuple[str, str], int], key: str = KEY) -> tup
     return "".join([*out, text[at:]]), len(found)
 
 
-def _hinted(text: Column) -> Column:
-    return F.when(text.rlike(HINT), text)
+def _hints(text: Column) -> Column:
+    """Whether the patterns are worth trying: cheap searches in the JVM, true for all texts that hold an entity."""
+    hint = text.rlike("[0-9@]")
+    for h in _HINTS:
+        hint |= text.contains(h)
+    return hint
 
 
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -220,10 +274,16 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
         for frame in frames:
             yield pd.DataFrame(sorted({x[2:] for t in frame["text"] for x in find(t)}), columns=["kind", "norm"], dtype=object)
 
-    return docs.select(F.col(text).alias("text")).filter(F.col("text").rlike(HINT)).mapInPandas(run, "kind string, norm string").distinct()
+    return docs.select(F.col(text).alias("text")).filter(_hints(F.col("text"))).mapInPandas(run, "kind string, norm string").distinct()
+
+
+def female_names(found: DataFrame) -> DataFrame:
+    """(norm) of the given names that some documents give no gender, and all that give one the female."""
+    kinds = found.filter("kind like 'given:%'").groupBy("norm").agg(F.collect_set("kind").alias("kinds"))
+    return kinds.filter(F.array_contains("kinds", "given:x") & F.array_contains("kinds", "given:f") & ~F.array_contains("kinds", "given:m")).select("norm")
 
 
-def drawn_again(found: DataFrame, key: str = KEY) -> DataFrame:
+def drawn_again(found: DataFrame, key: str) -> DataFrame:
     """(kind, norm, attempt) of the entities whose first surrogates weren't distinct or were entities themselves."""
     spark = found.sparkSession
 
@@ -232,7 +292,7 @@ def drawn_again(found: DataFrame, key: str = KEY) -> DataFrame:
         return pd.Series([draw_surrogate(k, n, a, key) for k, n, a in zip(kinds, norms, attempts, strict=True)], dtype=object)
 
     own = found.select("kind", F.col("norm").alias("cand"))
-    pending = materialize(found.withColumn("attempt", F.lit(0)).withColumn("cand", candidate("kind", "norm", "attempt")), "drawn")
+    pending = materialize(found.select("kind", "norm", F.lit(0).alias("attempt")).withColumn("cand", candidate("kind", "norm", "attempt")), "drawn")
     settled, again = None, None
     for _ in range(ROUNDS):
         free = pending.join(own, ["kind", "cand"], "left_anti")
@@ -243,44 +303,57 @@ def drawn_again(found: DataFrame, key: str = KEY) -> DataFrame:
         new = first.filter("attempt > 0").select("kind", "norm", "attempt")
         again = new if again is None else again.unionByName(new)
         settled = first.select("kind", "cand") if settled is None else settled.unionByName(first.select("kind", "cand"))
-        pending = materialize(lost.select("kind", "norm", "attempt").withColumn("cand", candidate("kind", "norm", "attempt")), "drawn")
+        last, pending = pending, materialize(lost.select("kind", "norm", "attempt").withColumn("cand", candidate("kind", "norm", "attempt")), "drawn")
+        forget(last)
         if pending.isEmpty():
-            return materialize(again, "again") if again is not None else spark.createDataFrame([], "kind string, norm string, attempt int")
+            return materialize(again, "again")
     raise RuntimeError(f"surrogates of some entities are still not distinct after {ROUNDS} draws")
 
 
-def replace_pii(docs: DataFrame, text: str = "text", key: str = KEY, exceptions: int = EXCEPTIONS) -> DataFrame:
+def replace_pii(docs: DataFrame, text: str = "text", key: str | None = None, exceptions: int = EXCEPTIONS) -> DataFrame:
     """``docs`` with surrogates in ``text`` and ``n_entities``, the number of places replaced (0 for null texts).
 
-    Null texts stay null, empty ones empty; texts without entities stay as they are; repeated rows get the same
-    surrogates; an empty table gives no rows. A column named n_entities is replaced. ``docs`` is read twice (three times
-    if more than ``exceptions`` entities had to draw again).
+    ``key`` is the secret (by default that of the setting ``KEY_SETTING``). Null texts stay null, empty ones empty; texts
+    without entities stay as they are; repeated rows get the same surrogates; an empty table gives no rows. Texts of any
+    length are searched in one pass, also without blanks. A column named n_entities is replaced. ``docs`` is read twice
+    (three times if more than ``exceptions`` entities have to be looked up).
     """
+    key = key or secret_key(docs.sparkSession)
     docs = docs.select(*(c for c in docs.columns if c != "n_entities"))
-    again = drawn_again(materialize(entities(docs, text), "entities"), key)
-    listed = again.limit(exceptions + 1).collect()
-    if len(listed) <= exceptions:
-        known = {(r["kind"], r["norm"]): r["attempt"] for r in listed}
+    found = materialize(entities(docs, text), "entities")
+    women = materialize(female_names(found), "women")
+    gendered = found.join(small(women.withColumn("_f", F.lit(True))), "norm", "left").select(F.when(F.col("kind") != "given:x", F.col("kind")).when(F.col("_f"), "given:f").otherwise("given:m").alias("kind"), "norm")
+    again = drawn_again(materialize(gendered.distinct(), "gendered"), key)
+    # What is looked up: attempts by kind and name; a female name as kind given:x.
+    listed = again.unionByName(women.select(F.lit("given:x").alias("kind"), "norm", F.lit(0).alias("attempt")))
+    few = listed.limit(exceptions + 1).collect()
+    if len(few) <= exceptions:
+        known, ladies = {(r["kind"], r["norm"]): r["attempt"] for r in few if r["kind"] != "given:x"}, {r["norm"] for r in few if r["kind"] == "given:x"}
 
         @F.pandas_udf("text string, n long")
         def of(texts: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([rewrite(t, known, key) if t is not None else (None, 0) for t in texts], columns=["text", "n"])
+            return pd.DataFrame([rewrite(t, known, ladies, key) if t is not None else (None, 0) for t in texts], columns=["text", "n"])
 
-        done = docs.withColumn("_new", of(_hinted(F.col(text))))
+        done = docs.withColumn("_new", of(F.when(_hints(F.col(text)), F.col(text))))
     else:
         # Each text's own exceptions travel with it, keyed by the text.
         digest = F.sha2(F.col(text), 256)
 
         @F.pandas_udf("array<struct<kind: string, norm: string>>")
         def mentions(texts: pd.Series) -> pd.Series:
-            return pd.Series([[{"kind": k, "norm": n} for k, n in sorted({x[2:] for x in find(t)})] if t is not None else [] for t in texts], dtype=object)
+            of_text = lambda t: {x for _, _, k, n in find(t) for x in ([(k, n)] if k != "given:x" else [(k, n), ("given:m", n), ("given:f", n)])}
+            return pd.Series([[{"kind": k, "norm": n} for k, n in sorted(of_text(t))] if t is not None else [] for t in texts], dtype=object)
 
-        found = docs.select(digest.alias("_digest"), F.col(text).alias("_t")).filter(F.col("_t").rlike(HINT)).select("_digest", F.explode(mentions("_t")).alias("m")).select("_digest", "m.*").distinct()
-        own = found.join(again, ["kind", "norm"]).groupBy("_digest").agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias("_again"))
+        own = docs.select(digest.alias("_digest"), F.col(text).alias("_t")).filter(_hints(F.col("_t"))).select("_digest", F.explode(mentions("_t")).alias("m")).select("_digest", "m.*").distinct()
+        own = own.join(listed, ["kind", "norm"]).groupBy("_digest").agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias("_again"))
 
         @F.pandas_udf("text string, n long")
         def of(texts: pd.Series, drawn: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame([rewrite(t, {(r["kind"], r["norm"]): r["attempt"] for r in (d if d is not None else ())}, key) if t is not None else (None, 0) for t, d in zip(texts, drawn, strict=True)], columns=["text", "n"])
+            out = []
+            for t, d in zip(texts, drawn, strict=True):
+                mine = list(d) if d is not None else []
+                out.append((None, 0) if t is None else rewrite(t, {(r["kind"], r["norm"]): r["attempt"] for r in mine}, {r["norm"] for r in mine if r["kind"] == "given:x"}, key))
+            return pd.DataFrame(out, columns=["text", "n"])
 
-        done = docs.withColumn("_digest", digest).join(own, "_digest", "left").withColumn("_new", of(_hinted(F.col(text)), F.col("_again")))
+        done = docs.withColumn("_digest", digest).join(own, "_digest", "left").withColumn("_new", of(F.when(_hints(F.col(text)), F.col(text)), F.col("_again")))
     return done.withColumn(text, F.coalesce(F.col("_new.text"), F.col(text))).withColumn("n_entities", F.coalesce(F.col("_new.n"), F.lit(0)).cast("long")).select(*docs.columns, "n_entities")
