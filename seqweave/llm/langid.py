@@ -9,9 +9,11 @@ the texts alone say; a host's counts are smoothed towards its parent's, and thos
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,15 +45,16 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 class Model:
-    """Trigram log-probabilities of each language, and of UND, whose buckets are equally likely."""
+    """Trigram log-probabilities of each language, and of UND, whose buckets are equally likely.
 
-    def __init__(self, texts: list[tuple[str, str]]):
-        found: dict[str, np.ndarray] = {}
-        for lang, text in texts:
-            np.add.at(found.setdefault(lang, np.zeros(BUCKETS)), trigrams(text), 1)
+    ``found`` has the bucket counts of each language, ``bounds`` the highest hash of the rows they are from.
+    """
+
+    def __init__(self, found: dict[str, np.ndarray], bounds: dict[str, int] | None = None):
         self.languages = sorted(lang for lang, n in found.items() if n.sum() >= BEFORE * BUCKETS)
         counts = np.column_stack([found[lang] for lang in self.languages] or [np.zeros((BUCKETS, 0))]) + BEFORE
         self.table = np.hstack([np.log(counts / counts.sum(axis=0)), np.full((BUCKETS, 1), -math.log(BUCKETS))]).astype(np.float32)
+        self.bounds = {x: h for x, h in (bounds or {}).items() if x in self.languages}
         self.languages.append(UND)
 
     def evidence(self, text: str | None) -> np.ndarray | None:
@@ -68,6 +71,32 @@ def primary(tag: Column) -> Column:
     return F.lower(F.regexp_extract(tag, r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", 1))
 
 
+def _label(label: str) -> Column:
+    return F.coalesce(F.nullif(primary(F.col(label)), F.lit("")), F.trim(label))
+
+
+def _hash(key: str) -> Column:
+    return F.xxhash64(F.col(key), F.lit(17))
+
+
+def _counts(rows: DataFrame) -> dict[str, np.ndarray]:
+    """Trigram counts of each label's texts, made where the rows are; to the driver comes an array for each label."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                bucket, n = np.unique(trigrams(text.as_py()), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(bucket), pa.string()), pa.array(bucket, pa.int32()), pa.array(n, pa.int64())], names=["label", "bucket", "n"])
+
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(BUCKETS, np.float32)
+        counts[frame["bucket"].to_numpy()] = frame["n"]
+        return pd.DataFrame({"label": [frame["label"].iloc[0]], "counts": [counts.tobytes()]})
+
+    sums = rows.mapInArrow(parts, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    return {r["label"]: np.frombuffer(r["counts"], np.float32).astype(float) for r in sums.groupBy("label").applyInPandas(whole, "label string, counts binary").collect()}
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model:
     """A model of every language that labels name, each from at most ``sample`` rows, those with the lowest hashes of
     their keys.
@@ -75,23 +104,38 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     The languages are counted over all rows, so a rare one is fitted on what rows it has. Those with too little text for
     a model, and beyond the ``LANGUAGES`` most frequent, have none; ``identify`` doesn't reject what is declared as such.
     Labels that are language tags count by their primary subtag. Rows without label, text or key aren't used; with no
-    rows left there are no languages but UND.
+    rows left there are no languages but UND. Texts are counted whole, on the executors.
     """
-    name = F.coalesce(F.nullif(primary(F.col(label)), F.lit("")), F.trim(label))
-    usable = docs.select(name.alias("label"), F.xxhash64(F.col(key), F.lit(17)).alias("h"), F.col(key).alias("_key"), F.col(text).alias("text"))
+    usable = docs.select(_label(label).alias("label"), _hash(key).alias("h"), F.col(key).alias("_key"), F.col(text).alias("text"))
     usable = usable.filter((F.col("label") != "") & (F.col("label") != UND) & F.col("_key").isNotNull() & F.col("text").isNotNull())
-    listed = [r["label"] for r in usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()]
-    if not listed:
-        return Model([])
-    most = min(sample, max(20, SAMPLE_ALL // len(listed)))
-    usable = usable.filter(F.col("label").isin(listed))
-    # The bounds come from thin rows; the texts are read for those within them alone.
-    nth = F.row_number().over(Window.partitionBy("label").orderBy("h"))
-    bounds = usable.select("label", "h").withColumn("nth", nth).filter(F.col("nth") <= most).groupBy("label").agg(F.max("h").alias("h")).collect()
-    bound = F.create_map(*(F.lit(x) for r in bounds for x in (r["label"], r["h"])))
+    counted = {r["label"]: r["count"] for r in usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LANGUAGES).collect()}
+    if not counted:
+        return Model({})
+    most = min(sample, max(20, SAMPLE_ALL // len(counted)))
+    usable = usable.filter(F.col("label").isin(list(counted)))
+    # The bounds come from thin rows, of frequent languages those with low hashes; the texts are read for what is within.
+    likely = F.create_map(*(F.lit(x) for lang, n in counted.items() for x in (lang, -(1 << 63) + int((1 << 64) * min(1.0, 4 * most / n)) - 1)))
+
+    def lowest(rows: DataFrame) -> dict[str, tuple[int, int]]:
+        nth = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+        few = rows.select("label", "h").withColumn("nth", nth).filter(F.col("nth") <= most).groupBy("label").agg(F.max("h").alias("h"), F.count(F.lit(1)).alias("n"))
+        return {r["label"]: (r["h"], r["n"]) for r in few.collect()}
+
+    bounds = lowest(usable.filter(F.col("h") <= likely[F.col("label")]))
+    if short := [lang for lang, n in counted.items() if bounds.get(lang, (0, 0))[1] < min(most, n)]:  # where keys repeat
+        bounds |= lowest(usable.filter(F.col("label").isin(short)))
+    bound = F.create_map(*(F.lit(x) for lang, (h, _) in bounds.items() for x in (lang, h)))
     nth = F.row_number().over(Window.partitionBy("label").orderBy("h", F.xxhash64("text")))
-    rows = usable.filter(F.col("h") <= bound[F.col("label")]).withColumn("nth", nth).filter(F.col("nth") <= most).select("label", "text").collect()
-    return Model([(r["label"], r["text"]) for r in rows])
+    rows = usable.filter(F.col("h") <= bound[F.col("label")]).withColumn("nth", nth).filter(F.col("nth") <= most).select("label", "text")
+    return Model(_counts(rows), {lang: h for lang, (h, _) in bounds.items()})
+
+
+def unseen(model: Model, key: str, label: str) -> Column:
+    """The label where it is no row's that the model may be fitted on; so no label is evidence for what it was fitted to."""
+    if not model.bounds:
+        return F.col(label)
+    bound = F.create_map(*(F.lit(x) for lang, h in model.bounds.items() for x in (lang, h)))
+    return F.when(F.coalesce(_hash(key) > bound[_label(label)], F.lit(True)), F.col(label))
 
 
 def identify(docs: DataFrame, model: Model, key: str, text: str, declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, parent: Column | None = None, kappa: float = KAPPA, wrong: float = WRONG) -> DataFrame:
@@ -101,7 +145,8 @@ def identify(docs: DataFrame, model: Model, key: str, text: str, declared: Colum
     from; each may be null or missing and is then no evidence. ``kept`` is false for documents without letters and for
     those that are most probably no language (UND). Where a language is declared that has no model, the text can't tell it
     from UND: it is that language then, and kept if it has letters. With a model without languages all are UND otherwise and
-    kept if they have letters. Null texts count as empty; repeated rows stay and count; an empty table gives no rows.
+    kept if they have letters. Languages that are equally probable go by name, UND last. Null texts count as empty;
+    repeated rows stay and count; an empty table gives no rows.
     """
     n = len(model.languages)
     null = F.lit(None).cast("string")
@@ -142,9 +187,12 @@ def identify(docs: DataFrame, model: Model, key: str, text: str, declared: Colum
     at_suffix = alone.filter("suffix is not null").groupBy("suffix").agg(*sums).select("suffix", F.array(*(F.log(x / b) for x, b in zip(smooth(cols, base), base, strict=True))).alias("suffix_log"))
     # Host counts towards parent counts towards all counts; hosts of no parent go straight to all.
     hosts = alone.filter("host is not null").groupBy("host", "parent").agg(*sums)
-    every = Window.partitionBy("parent")
-    above = [F.when(F.col("parent").isNotNull(), F.sum(f"s{i}").over(every)) for i in range(n)]
-    hosts = hosts.select("host", "parent", *cols, *(a.alias(f"a{i}") for i, a in enumerate(above)))
+    if parent is not None:
+        hosts = materialize(hosts, "hosts")
+        above = materialize(hosts.filter("parent is not null").groupBy("parent").agg(*(F.sum(f"s{i}").alias(f"a{i}") for i in range(n))), "parents")
+        hosts = hosts.join(small(above), "parent", "left")
+    else:
+        hosts = hosts.select("*", *(F.lit(None).cast("double").alias(f"a{i}") for i in range(n)))
     higher = smooth([F.col(f"a{i}") for i in range(n)], [F.lit(b) for b in base])
     at_host = hosts.select(F.col("host").alias("_host"), F.col("parent").alias("_parent"), F.array(*(F.log(x) for x in smooth(cols, higher))).alias("host_log"))
     out = thin

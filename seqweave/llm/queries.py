@@ -42,10 +42,20 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents")).drop("detections")
 
 
+def identify_documents(docs: DataFrame, key: str) -> DataFrame:
+    """``langid.identify`` of rows like those of ``documents``, with all the evidence that they have. Sources of a family
+    differ in a number at their end, or have a domain in common."""
+    model, source = langid.fit(docs), F.col("source")
+    family = F.when(source.contains("."), F.regexp_extract(source, r"([^.]+\.[^.]+)$", 1)).otherwise(F.regexp_replace(source, r"[0-9]+$", ""))
+    suffix = F.when(source.contains("."), F.lower(F.element_at(F.split(source, r"\."), -1)))
+    return langid.identify(docs, model, key, "text", declared=langid.unseen(model, "doc_id", "lang"), suffix=suffix, host=source, parent=F.nullif(family, F.lit("")))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every document: text, declared language and source."""
+    """The language of every document: text, declared language (but of the rows fitted on), and source with its family;
+    sources that are addresses have suffixes."""
     docs = read(spark, sf_dir, "documents")
-    return langid.identify(docs, langid.fit(docs), "doc_id", "text", declared=F.col("lang"), host=F.col("source"))
+    return identify_documents(docs, "doc_id")
 
 
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

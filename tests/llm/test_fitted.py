@@ -1,8 +1,11 @@
 """Language identification, surrogates and the pipeline."""
 
+import math
 import random
 import re
+from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +45,107 @@ def test_evidence_is_fused(spark, labelled):
     assert got[None]["language"] == "fr"
 
 
+def plain_fusion(rows, model, kappa=langid.KAPPA, wrong=langid.WRONG):
+    """(language, probability) of (text, declared, suffix, host, parent) rows: all evidence added up in plain loops."""
+    langs = model.languages
+    n, known = len(langs), [x for x in langs if x != langid.UND]
+    prior = [math.log(langid.UND_PRIOR if x == langid.UND else (1 - langid.UND_PRIOR) / (n - 1)) for x in langs]
+
+    def softmax(logs):
+        top = max(logs)
+        e = [math.exp(x - top) for x in logs]
+        return [x / sum(e) for x in e]
+
+    evidence = [model.evidence(r[0]) for r in rows]
+    alone = [None if e is None else softmax([a + b for a, b in zip(e, prior, strict=True)]) for e in evidence]
+
+    def counts(of):
+        out = defaultdict(lambda: [0.0] * n)
+        for r, p in zip(rows, alone, strict=True):
+            if p is not None and of(r) is not None:
+                out[of(r)] = [a + b for a, b in zip(out[of(r)], p, strict=True)]
+        return out
+
+    everything = counts(lambda r: 0).get(0, [0.0] * n)
+    base = [(x + math.exp(p)) / (sum(everything) + 1) for x, p in zip(everything, prior, strict=True)]
+    smooth = lambda c, towards: [(x + kappa * t) / (sum(c) + kappa) for x, t in zip(c, towards, strict=True)]
+    says, suffixes, parents, hosts = counts(lambda r: r[1] if r[1] in known else None), counts(lambda r: r[2]), counts(lambda r: r[4] if r[3] is not None else None), counts(lambda r: (r[3], r[4]) if r[3] is not None else None)
+    out = []
+    for (_, declared, suffix, host, parent), e in zip(rows, evidence, strict=True):
+        if e is None:
+            out.append((langid.UND, None))
+            continue
+        logs = list(e)
+        for i, lang in enumerate(langs):
+            if declared in known:
+                logs[i] += math.log((says[declared][i] + kappa * ((1 - wrong) if declared == lang else wrong / len(known))) / (sum(c[i] for c in says.values()) + kappa))
+            if suffix is not None:
+                logs[i] += math.log(smooth(suffixes[suffix], base)[i] / base[i])
+            above = base if parent is None else smooth(parents[parent], base)
+            logs[i] += math.log(base[i] if host is None else smooth(hosts[host, parent], above)[i])
+        p = softmax(logs)
+        out.append((langs[max(range(n), key=lambda i: p[i])], max(p)))
+    return out
+
+
+def test_fusion_equals_plain_loops(spark, labelled):
+    """Text, declaration, suffix, host and parent, alone and together, null and missing."""
+    rng = random.Random(6)
+    model = langid.fit(labelled.filter("doc_id < 300"))
+    rows = []
+    for _ in range(250):
+        lang = rng.choice(list(SYLLABLES))
+        text = rng.choice([text_in(lang, rng, rng.randint(1, 12)), " ".join(rng.choice("abcdefghijklm") for _ in range(6)), "", None, "12"])
+        host = rng.choice([None, f"{lang}.host", "a.com", "b.com", "rare"])
+        rows.append((text, rng.choice([None, lang, lang, rng.choice(list(SYLLABLES)), "xx"]), rng.choice([None, lang, "com"]), host, rng.choice([None, "com"]) if host in ("a.com", "b.com") else None))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, declared string, suffix string, host string, parent string")
+    got = langid.identify(df, model, "doc_id", "text", declared=F.col("declared"), suffix=F.col("suffix"), host=F.col("host"), parent=F.col("parent")).collect()
+    want = plain_fusion(rows, model)
+    for r in got:
+        language, probability = want[r["doc_id"]]
+        if language == langid.UND and rows[r["doc_id"]][1] == "xx" and probability is not None:
+            language = "xx"
+        assert r["language"] == language and (r["probability"] is None) == (probability is None)
+        assert probability is None or abs(r["probability"] - probability) < 1e-6
+    assert len(got) == 250 and len({r["language"] for r in got}) >= 4
+
+
+def test_no_label_is_evidence_for_what_it_was_fitted_to(labelled):
+    model = langid.fit(labelled, sample=50)
+    told = labelled.select("lang", langid.unseen(model, "doc_id", "lang").alias("seen"))
+    assert told.filter("seen is null").groupBy("lang").count().filter("count <> 50").count() == 0
+    assert told.filter("seen <> lang").count() == 0 and told.filter("seen is not null").count() == 600 - 150
+
+
+def test_counts_are_those_of_the_texts(spark, labelled):
+    model = langid.fit(labelled, sample=10**6)
+    found = {}
+    for r in labelled.collect():
+        np.add.at(found.setdefault(r["lang"], np.zeros(langid.BUCKETS)), langid.trigrams(r["text"]), 1)
+    assert np.array_equal(model.table, langid.Model(found).table)
+
+
+def test_keys_that_repeat(spark, labelled):
+    """Where a key has most rows, its hash says little about the others' order."""
+    df = labelled.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, 7).otherwise(F.col("doc_id")))
+    assert langid.fit(df, sample=20).languages == ["de", "en", "fr", langid.UND]
+
+
+def test_pages(spark, folder, tmp_path):
+    """All four kinds of evidence on pages, and edge cases: no html, no text, tags only, very long, no host."""
+    rng = random.Random(2)
+    body = lambda lang, n=80: " ".join(f"<p>{text_in(lang, rng, 10)}</p>" for _ in range(n // 10))
+    rows = [(i, f"http://{lang}.example.{lang}/x/{i}", f'<!DOCTYPE html><html lang="{lang}-XX"><script>the the the</script>{body(lang)}') for i in range(60) for lang in [rng.choice(list(SYLLABLES))]]
+    rows += [(100, None, None), (101, "http://de.example.de/", ""), (102, "http://fr.example.fr/", "<html><p></p>"), (103, "no host", body("fr")), (104, "http://en.example.en/", body("en", 30_000)), (None, "http://x/", "<p>12</p>"), (105, "http://de.example.de/q", "<p>a b</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    labelled_rows = [(i, text_in(lang, rng, 60), lang, "s", 1) for i in range(200) for lang in [rng.choice(list(SYLLABLES))]]
+    spark.createDataFrame(labelled_rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["page_id"]: r for r in queries.language_id_pages(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i]["language"] == url[7:9] and got[i]["kept"] for i, url, _ in rows[:60])
+    assert not any(got[i]["kept"] for i in (100, 101, 102, None)) and got[103]["language"] == "fr" and got[104]["language"] == "en" and got[105]["language"] == "de"
+
+
 def test_noise_is_no_language(spark, labelled):
     model = langid.fit(labelled)
     rng = random.Random(4)
