@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqweave.llm import langid, mix, packing, pii, simhash
+from seqweave.llm import mix, packing, pii, queries, simhash
 from seqweave.llm.common import materialize, small
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     told = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "text", "lang", "source")]
     rows = docs.withColumn("_row", F.struct(F.xxhash64(*told), F.hash(*told)))
-    found = langid.identify(rows, langid.fit(docs), "_row", "text", declared=F.col("lang"), host=F.col("source"))
+    found = queries.identify_documents(rows, "_row")
     gone = materialize(found.filter("not kept").select("_row").distinct(), "rejected")
     return rows.join(small(gone), "_row", "left_anti").select(COLUMNS)
 
