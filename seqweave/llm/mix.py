@@ -2,7 +2,7 @@
 
 Each source's words are laid end to end, in a seeded order, in one or more cells (source, shard) of bounded size, and cut
 into blocks of equal numbers of words. Sainte-Laguë's rule (highest quotients of target / (2 j - 1)) gives each source an
-integer number of blocks, and each of its shards an integer quota of these. A shard takes its quota from a seeded first
+integer number of blocks, then each group of its shards, then each shard an integer quota of these. A shard takes its quota from a seeded first
 block on, around its end if need be; quotas beyond the whole shard take it once more. What is left between a source's
 blocks and its target is added to (or taken from) the quota of its largest shard.
 """
@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Weights that repeat over the sources, the share of all words that is taken, and the most of one source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 BLOCK, SHARD_WORDS, SEED = 256, 2_000_000, "mix-1"
+#: Shards among which blocks are shared at a time, and rows that one draw may have before they draw again.
+GROUP, HOT = 1024, 20_000
 
 
 def words_of(text: Column) -> Column:
@@ -78,14 +80,16 @@ def _number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", content: str | None = None, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: str = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """``docs`` (which has a column of sizes in words) with what the mix takes of each row.
 
     Adds source_size, target, taken (words, repeats counted), shard, epochs (times the whole row is taken), and
     cut_from, cut_words, head_words: besides, the words from ``cut_from`` on and the first ``head_words`` are taken.
-    Rows without words take nothing; null sources are a source, the last; null keys are drawn like a key of their own;
-    rows alike in key and size are interchangeable. An empty table gives no rows. Where the columns that are added clash
-    with columns of ``docs``, the added ones replace them. ``docs`` is read three times, so it should be thin or written.
+    ``content`` names a column that tells rows with the same key apart. Rows without words take nothing; null sources are a
+    source, the last; null keys are a key. Rows alike in key, content and size are interchangeable; where there are more
+    than ``HOT`` of a draw, each draws again by its place in ``docs``. An empty table gives no rows. Where the columns that
+    are added clash with columns of ``docs``, the added ones replace them. ``docs`` is read three times, so it should be
+    thin or written.
     """
     names = {"source_size", "target", "taken", "shard", "epochs", "cut_from", "cut_words", "head_words"}
     docs = docs.select(*(c for c in docs.columns if c not in names))
@@ -93,13 +97,24 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: str
     sources = sources.withColumn("blocks", F.sum(F.round(F.col("target") / block)).over(Window.partitionBy(F.lit(0))).cast("long"))
     sources = sainte_lague(sources, [], ["nth"], "target", "blocks").withColumnRenamed("won", "source_blocks")
     sources = materialize(sources.withColumn("shards", F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long")), "sources")
-    drawn = docs.withColumn("_draw", _draw(seed, F.col(key)))
+    drawn = docs.withColumn("_draw", _draw(seed, F.col(key), *([] if content is None else [F.col(content)])))
+    hot = materialize(drawn.groupBy("_draw").count().filter(F.col("count") > HOT).select("_draw", F.lit(True).alias("_hot")), "hot")
+    if not hot.isEmpty():
+        drawn = drawn.withColumn("_at", F.monotonically_increasing_id()).join(small(hot), "_draw", "left")
+        drawn = drawn.withColumn("_draw", F.when(F.col("_hot"), _draw(seed, F.col("_draw"), F.col("_at"))).otherwise(F.col("_draw"))).drop("_at", "_hot")
     own = small(sources.select(F.col("_source"), "source_size", "target", "shards"))
     drawn = drawn.join(own, drawn[source].eqNullSafe(own["_source"])).drop("_source").withColumn("shard", F.pmod(_number(F.col("_draw")), F.col("shards")))
     cells = drawn.groupBy(F.col(source).alias("_source"), F.col("shard").alias("_shard")).agg(F.sum(size).alias("words"))
     cells = cells.join(small(sources.select(F.col("_source").alias("_s"), "nth", "target", "source_blocks")), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-    cells = sainte_lague(cells, ["nth"], ["_shard"], "words", "source_blocks")
-    largest = F.row_number().over(Window.partitionBy("nth").orderBy(F.desc("words"), "_shard")) == 1
+    cells = materialize(cells.withColumn("_group", F.floor(F.col("_shard") / GROUP)), "cells")
+    groups = cells.groupBy("nth", "_group").agg(F.sum("words").alias("group_words"), F.first("source_blocks").alias("source_blocks"))
+    groups = materialize(sainte_lague(groups, ["nth"], ["_group"], "group_words", "source_blocks").select("nth", "_group", F.col("won").alias("group_blocks")), "groups")
+    cells = sainte_lague(cells.join(small(groups), ["nth", "_group"]), ["nth", "_group"], ["_shard"], "words", "group_blocks")
+    # The first shard of those with most words.
+    cells = materialize(cells, "quotas")
+    largest = cells.groupBy("nth").agg(F.max_by("_shard", F.struct("words", -F.col("_shard"))).alias("_largest"))
+    cells = cells.join(small(materialize(largest, "largest")), "nth")
+    largest = F.col("_shard") == F.col("_largest")
     rest = F.round("target").cast("long") - F.col("source_blocks") * block
     quota = F.col("won") * block + F.when(largest, rest).otherwise(F.lit(0))
     cells = cells.withColumn("quota", F.least(F.greatest(quota, F.lit(0)), F.col("words") * int(most)))

@@ -15,8 +15,8 @@ OP2_WIDTH, OP2_BITS = 4, 4
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
-    sizes = materialize(read(spark, sf_dir, "documents").select("doc_id", "source", mix.words_of(F.col("text")).alias("size")), "sizes")
-    mixed = mix.mix(sizes)
+    sizes = materialize(read(spark, sf_dir, "documents").select("doc_id", "source", mix.words_of(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("content")), "sizes")
+    mixed = mix.mix(sizes, content="content")
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "shard", "epochs", "cut_from", "cut_words", "head_words")
 
 
@@ -97,7 +97,7 @@ QUERIES = {f.__name__: f for f in (op1_mix, op2_simhash, op3_media, op4_lzprint,
 #: The mix: levels of targets, highest quotients over all seats, and the stretch that each shard takes of its words.
 SQL: dict[str, str] = {
     "op9_url_filter": urltree.judge_sql(),
-    "op1_mix": rf"""WITH sizes AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{mix.WORD}')) AS size, md5('{mix.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS draw FROM documents),
+    "op1_mix": rf"""WITH sizes AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{mix.WORD}')) AS size, md5('{mix.SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS draw FROM documents),
 listed AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS nth FROM sizes GROUP BY source),
 weighed AS (SELECT *, [5, 2, 1][(nth - 1) % 3 + 1] AS weight, 2.0::DOUBLE * source_size AS cap FROM listed), ratios AS (SELECT *, cap / weight AS ratio FROM weighed),
 levels AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ratio, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM ratios),
@@ -107,8 +107,11 @@ won AS (SELECT nth, count(*) AS blocks FROM seats WHERE place <= (SELECT sum(rou
 sources AS (SELECT t.*, coalesce(won.blocks, 0) AS blocks FROM targets t LEFT JOIN won USING (nth)),
 drawn AS (SELECT s.*, nth, source_size, target, ('0x' || substr(draw, 1, 8))::BIGINT % shards AS shard FROM sizes s JOIN sources t ON s.source IS NOT DISTINCT FROM t.source),
 cells AS (SELECT nth, any_value(source) AS source, shard, sum(size)::BIGINT AS words FROM drawn GROUP BY nth, shard),
-shares AS (SELECT nth, shard, row_number() OVER (PARTITION BY nth ORDER BY words::DOUBLE / (2 * j - 1) DESC, shard, j) AS place FROM (SELECT c.nth, shard, words, unnest(range(1, blocks + 1)) AS j FROM cells c JOIN sources USING (nth) WHERE words > 0)),
-quotas AS (SELECT nth, shard, count(*) AS blocks FROM shares JOIN (SELECT nth, blocks AS most FROM sources) USING (nth) WHERE place <= most GROUP BY nth, shard),
+groups AS (SELECT nth, shard // {mix.GROUP} AS grp, sum(words)::BIGINT AS words FROM cells GROUP BY ALL),
+group_shares AS (SELECT nth, grp, row_number() OVER (PARTITION BY nth ORDER BY words::DOUBLE / (2 * j - 1) DESC, grp, j) AS place, blocks FROM (SELECT nth, grp, g.words, blocks, unnest(range(1, blocks + 1)) AS j FROM groups g JOIN sources USING (nth) WHERE g.words > 0)),
+group_blocks AS (SELECT nth, grp, count(*) AS blocks FROM group_shares WHERE place <= blocks GROUP BY ALL),
+shares AS (SELECT nth, grp, shard, row_number() OVER (PARTITION BY nth, grp ORDER BY words::DOUBLE / (2 * j - 1) DESC, shard, j) AS place, blocks FROM (SELECT c.nth, grp, shard, words, g.blocks, unnest(range(1, g.blocks + 1)) AS j FROM cells c JOIN group_blocks g ON g.nth = c.nth AND g.grp = c.shard // {mix.GROUP} WHERE words > 0)),
+quotas AS (SELECT nth, shard, count(*) AS blocks FROM shares WHERE place <= blocks GROUP BY nth, shard),
 cut AS (SELECT c.nth, c.shard, c.words, least(greatest(coalesce(q.blocks, 0) * {mix.BLOCK} + CASE WHEN row_number() OVER (PARTITION BY c.nth ORDER BY c.words DESC, c.shard) = 1 THEN round(s.target)::BIGINT - s.blocks * {mix.BLOCK} ELSE 0 END, 0), 2 * c.words) AS quota,
 (('0x' || substr(md5('{mix.SEED}:' || coalesce(c.source, 'null') || ':' || c.shard), 1, 8))::BIGINT % greatest(ceil(c.words / {mix.BLOCK}.0), 1)::BIGINT) * {mix.BLOCK} AS first FROM cells c JOIN sources s USING (nth) LEFT JOIN quotas q ON q.nth = c.nth AND q.shard = c.shard),
 ends AS (SELECT *, sum(size) OVER (PARTITION BY nth, shard ORDER BY substr(draw, 9, 24), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM drawn),

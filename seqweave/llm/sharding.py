@@ -1,9 +1,10 @@
 """Sharding by a two-pass external shuffle, with DataFrame functions only.
 
-First pass: a seeded hash scatters the records over shards, and within a shard over buckets that fit in memory. A record's
-shard is the one with the highest hash of (key, shard), so its key and the number of shards decide, and one more shard
-takes records only into itself. Second pass: each bucket is shuffled as one array by Fisher-Yates (Spark's ``shuffle``)
-and written to its shard's folder; a shard's buckets follow each other. What is given is read back from there.
+First pass: a seeded hash scatters the records over shards, and within a shard over buckets that fit in memory; a bucket
+that turns out larger, as a key has many records, is scattered once more. A record's shard is the one with the highest hash
+of (key, shard), so its key and the number of shards decide, and one more shard takes records only into itself. Second
+pass: each bucket is shuffled as one array by Fisher-Yates (Spark's ``shuffle``) and written to its shard's folder; a
+shard's buckets follow each other. What is given is read back from there.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
 def shuffle_into_shards(records: DataFrame, key: str, size: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``records`` with shard, grown_shard (with one shard more) and slot, a record's place in its shard, gapless from 0.
 
-    ``size`` names the column of a record's bytes. The number of buckets comes from the totals over all records, so a
-    bucket stays near ``bucket_bytes`` and ``bucket_rows`` at any input. Within a bucket, records are put in an order of
-    their own before they are shuffled, so the result doesn't depend on which task came first. Null keys share a shard;
-    repeated rows keep a slot each and are interchangeable; an empty table gives no rows. Columns named shard, slot or
-    grown_shard are replaced. ``records`` is read twice.
+    ``size`` names the column of a record's bytes. The number of buckets comes from the totals over all records, and what
+    a bucket has beyond twice its share from its own, so each stays near ``bucket_bytes`` and ``bucket_rows`` at any input
+    and whatever key is frequent. Within a bucket, records are put in an order of their own before they are shuffled, so
+    the result doesn't depend on which task came first. Null keys share a shard; repeated rows keep a slot each and are
+    interchangeable; an empty table gives no rows. Columns named shard, slot or grown_shard are replaced. ``records`` is
+    read three times, for sizes alone in the first two.
     """
     records = records.select(*(c for c in records.columns if c not in {"shard", "slot", "grown_shard"}))
     total = records.agg(F.sum(size), F.count(F.lit(1))).first()
@@ -41,8 +43,18 @@ def shuffle_into_shards(records: DataFrame, key: str, size: str, shards: int = S
     rival = F.xxhash64(F.col(key), F.lit(seed), F.lit(shards))
     best = F.xxhash64(F.col(key), F.lit(seed), now)
     dealt = records.withColumn("shard", now).withColumn("grown_shard", F.when(rival > best, F.lit(shards)).otherwise(F.col("shard")))
-    part = F.pmod(F.xxhash64(F.lit(seed + 1), *(F.col(c) for c in records.columns)), F.lit(per_shard))
+    part = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(per_shard))
     dealt = dealt.withColumn("_bucket", (F.col("shard") * per_shard + part).cast("int"))
+    # What is more than a bucket holds is dealt over further ones, numbered on from the last, by all columns and at random.
+    pieces = F.greatest(F.ceil(F.col("bytes") / bucket_bytes), F.ceil(F.col("n") / bucket_rows)).cast("long")
+    crowded = dealt.groupBy("_bucket").agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("n")).filter((F.col("bytes") > 2 * bucket_bytes) | (F.col("n") > 2 * bucket_rows))
+    crowded = materialize(crowded.select("_bucket", pieces.alias("_pieces"), (F.sum(pieces - 1).over(Window.orderBy("_bucket")) - pieces + 1).alias("_before")), "crowded")
+    more = crowded.agg(F.sum(F.col("_pieces") - 1)).first()[0]
+    if more:
+        nth = F.pmod(F.xxhash64(F.rand(seed), *(F.col(c) for c in records.columns)), F.col("_pieces"))
+        dealt = dealt.withColumn("_nth", F.lit(0)).join(small(crowded), "_bucket", "left").withColumn("_nth", F.when(F.col("_pieces").isNotNull(), nth).otherwise(0))
+        dealt = dealt.withColumn("_bucket", F.when(F.col("_nth") > 0, buckets - 1 + F.col("_before") + F.col("_nth")).otherwise(F.col("_bucket")).cast("int")).drop("_pieces", "_before", "_nth")
+        buckets += int(more)
     # Each bucket is a partition of its own, so the generator, which a partition's number seeds, starts anew for it.
     gathered = dealt.repartitionById(buckets, F.col("_bucket")).groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct(*(c for c in dealt.columns if c != "_bucket")))).alias("rows"))
     shuffled = gathered.select("_bucket", F.posexplode(F.shuffle("rows", seed)).alias("at", "row"))

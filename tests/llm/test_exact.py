@@ -625,6 +625,48 @@ def test_growing_and_several_buckets(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 20_000
 
 
+def test_frequent_keys_are_dealt_over_further_buckets(spark):
+    """A key, or rows alike in every column, may have a third of all records: buckets stay small, slots gapless."""
+    rows = [(None if i % 3 == 0 else i % 500, 7 if i % 3 == 0 else i, 100) for i in range(9000)]
+    df = spark.createDataFrame(rows, "doc_id long, n long, size long")
+    got = sharding.shuffle_into_shards(df, "doc_id", "size", 5, bucket_rows=200).cache()
+    assert got.count() == 9000 and got.groupBy("doc_id").agg(F.count_distinct("shard").alias("n")).filter("n > 1").count() == 0
+    assert got.groupBy("shard").agg(F.count_distinct("slot").alias("n"), F.count("*").alias("m"), F.max("slot").alias("top")).filter("n <> m or n <> top + 1").count() == 0
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n"]) for r in got.collect()) == sorted((d is None, d or 0, n) for d, n, _ in rows)
+    hot = got.filter("doc_id is null").orderBy("slot").first()["shard"]
+    slots = sorted(r["slot"] for r in got.filter(F.col("doc_id").isNull()).collect())
+    in_shard = got.filter(F.col("shard") == hot).count()
+    # Rows of other keys stand among those of the frequent one, as buckets are mixed.
+    assert slots[-1] - slots[0] + 1 > 3000 or in_shard == 3000
+
+
+def test_mix_where_keys_repeat(spark, monkeypatch):
+    """Rows without keys, and rows alike, are dealt over all shards of their source."""
+    monkeypatch.setattr(mix, "HOT", 100, raising=False)
+    rows = [(None, "big", 10, "same") for _ in range(3000)] + [(i, "big", 10, str(i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, content string").repartition(4).cache()
+    got = mix.mix(df, content="content", block=16, shard_words=4000).collect()
+    per = Counter(r["shard"] for r in got if r["doc_id"] is None)
+    assert len(got) == 4000 and len(per) == 10 and max(per.values()) < 450
+    assert abs(sum(r["taken"] for r in got) - 60_000) <= 200 and all(r["taken"] <= 20 for r in got)
+
+
+def test_mix_in_groups_of_shards(spark, monkeypatch):
+    """Blocks go to groups of shards, then to shards, both by highest quotients."""
+    monkeypatch.setattr(mix, "GROUP", 4, raising=False)
+    rng = random.Random(15)
+    df = spark.createDataFrame([(i, f"s{i % 3}", rng.randint(1, 60)) for i in range(4000)], "doc_id long, source string, size long")
+    got = mix.mix(df, block=16, shard_words=2500).collect()
+    size, taken, target = Counter(), Counter(), {}
+    for r in got:
+        size[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    assert max(r["shard"] for r in got) > 8
+    assert all(abs(taken[s] / target[s] - 1) < 0.01 for s in size)
+
+
 # URLs -----------------------------------------------------------------------------------------------------------------
 
 
