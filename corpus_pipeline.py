@@ -42,8 +42,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes: a row for each time that a document, or a part of it, is taken. Documents without words aren't;
     null keys and sources and repeated rows are taken like others; an empty table gives no rows."""
-    sized = docs.select(*COLUMNS, mix.words_of(F.col("text")).alias("size"))
-    return mix.mixed_texts(mix.mix(sized)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    sized = docs.select(*COLUMNS, mix.words_of(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("content"))
+    return mix.mixed_texts(mix.mix(sized, content="content")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
