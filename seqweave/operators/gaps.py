@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from .kmers import explode_kmers
+from ..plans.storage import materialize
+from .overlaps import placed_kmers
 
 _FLIP = str.maketrans("ACGT", "TGCA")
 
@@ -73,17 +74,30 @@ def compose_placements(reads: DataFrame, unitigs: DataFrame, status: DataFrame,
 
 
 def fish_reads(ends: DataFrame, reads: DataFrame, k: int, most: int = 1000) -> DataFrame:
-    """(gap, insert, how): inserts with a read that shares a k-mer with a gap's end sequences.
+    """(gap, insert, end, how): the reads that gaps are closed with.
 
-    k-mers of ``most`` reads or more don't count. ``how``: B if both mates match, M if one does and brings the other.
-    ``ends`` (gap, seq); ``reads`` (insert, end, seq).
+    A read is caught if it shares a k-mer with a gap's end sequence. It brings its mate if it points into the gap: on the
+    strand of the end F, which reads towards the gap, or on the other strand of the end R, which reads away from it. ``how``
+    is B if both mates are caught, M for a read and the mate it brings, O for a read alone. k-mers of ``most`` reads or
+    more don't count. ``ends`` (gap, side: F or R, seq); ``reads`` (insert, end, seq).
     """
-    own = explode_kmers(ends, k, "gap").distinct()
-    bait = own.select("kmer").distinct()
-    caught = explode_kmers(reads, k, "insert", "end").join(bait, "kmer", "left_semi").distinct()
-    frequent = caught.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= most).select("kmer")
-    hits = caught.join(frequent, "kmer", "left_anti").join(own, "kmer").select("gap", "insert", "end").distinct()
-    return hits.groupBy("gap", "insert").agg(F.when(F.count(F.lit(1)) == 2, "B").otherwise("M").alias("how"))
+    own = placed_kmers(ends, k, "gap", "side").select("gap", "side", "mer", F.col("flipped").alias("_f")).distinct()
+    caught = placed_kmers(reads, k, "insert", "end").select("insert", "end", "mer", "flipped").join(own.select("mer").distinct(), "mer", "left_semi").distinct()
+    caught = materialize(caught, "caught")
+    frequent = caught.select("mer", "insert", "end").distinct().groupBy("mer").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= most).select("mer")
+    hits = caught.join(frequent, "mer", "left_anti").join(own, "mer")
+    inward = (F.col("side") == "F") == (F.col("flipped") == F.col("_f"))
+    seen = lambda e: F.bool_or(F.col("end") == e)
+    brings = lambda e: F.bool_or((F.col("end") == e) & inward)
+    per = hits.groupBy("gap", "insert").agg(seen(0).alias("s0"), seen(1).alias("s1"), brings(0).alias("b0"), brings(1).alias("b1"))
+    how = F.when(F.col("s0") & F.col("s1"), "B").when(F.col("b0") | F.col("b1"), "M").otherwise("O")
+    used = F.filter(F.array(F.when(F.col("s0") | (how != "O"), 0), F.when(F.col("s1") | (how != "O"), 1)), lambda x: x.isNotNull())
+    return per.select("gap", "insert", F.explode(used).alias("end"), how.alias("how"))
+
+
+def mates_of_matched(reads: DataFrame, matched: DataFrame, insert: list[str]) -> DataFrame:
+    """Both reads of each insert of which any read is matched."""
+    return reads.join(matched.select(*insert).distinct(), insert, "left_semi")
 
 
 def close_gap(left: str, right: str, reads: list[str], k: int, most: int, solid: int = 1, most_nodes: int = 4000) -> tuple[str, str | None]:
@@ -147,12 +161,14 @@ def search_k(left: str, right: str, reads: list[str], ks: list[int], most: int,
 def close_gaps(gaps: DataFrame, fished: DataFrame, reads: DataFrame, least_k: int = 17, most_k: int = 65, most_bases: int = 1500, most_nodes: int = 200_000, descending: bool = False) -> DataFrame:
     """(gap, k, outcome, seq): every gap for itself, from its own reads.
 
-    ``gaps`` (gap, left_seq, right_seq); ``fished`` (gap, insert); ``reads`` (insert, end, seq). k is searched by
-    bisection, or, with ``descending``, from the largest down to the first that joins. A gap's reads are those fished for
-    it, so a group is bounded by the depth of coverage; a failure is an outcome of its gap and stops no other.
+    ``gaps`` (gap, left_seq, right_seq); ``fished`` (gap, insert, end); ``reads`` (insert, end, seq). Every k of the range
+    may be tried: by bisection, or, with ``descending``, from the largest down to the first that joins. A gap's reads are
+    those fished for it, so a group is bounded by the depth of coverage; a failure is an outcome of its gap and stops no
+    other.
     """
-    with_reads = gaps.join(fished.select("gap", "insert"), "gap", "left").join(reads.select("insert", F.col("seq").alias("read")), "insert", "left").select("gap", "left_seq", "right_seq", "read")
-    ks = list(range(least_k | 1, most_k + 1, 2))
+    own_reads = fished.select("gap", "insert", "end").join(reads.select("insert", "end", F.col("seq").alias("read")), ["insert", "end"]).select("gap", "read")
+    with_reads = gaps.join(own_reads, "gap", "left").select("gap", "left_seq", "right_seq", "read")
+    ks = list(range(least_k, most_k + 1))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         gap, left, right = frame.iloc[0][["gap", "left_seq", "right_seq"]]
@@ -174,22 +190,68 @@ def close_gaps(gaps: DataFrame, fished: DataFrame, reads: DataFrame, least_k: in
     return with_reads.groupBy("gap").applyInPandas(run, f"gap {gaps.schema['gap'].dataType.simpleString()}, k int, outcome string, seq string")
 
 
-def merge_contigs(layout: DataFrame, contigs: DataFrame, closed: DataFrame, end_bases: int) -> DataFrame:
-    """(scf, name, begin, seq): contigs joined through closed gaps (left_ctg, seq: from end sequence to end sequence).
-
-    A gap's sequence replaces ``end_bases`` of both neighbours. Contigs without a closed gap stay as they are; a merged
-    one is named by its parts and strands.
-    """
+def _merged_rows(layout: DataFrame, contigs: DataFrame, closed: DataFrame, end_bases: int) -> DataFrame:
+    """A row for each contig of a scaffold: its part (contigs joined through closed gaps), its piece of the part's sequence
+    and the gap before it."""
     w = Window.partitionBy("scf").orderBy("begin", "end", "ctg")
     rows = layout.join(contigs.select("ctg", "seq"), "ctg").withColumn("seq", F.when(F.col("ori") == "f", F.col("seq")).otherwise(S.revcomp(F.col("seq"))))
     rows = rows.join(closed.select(F.col("left_ctg").alias("ctg"), F.col("seq").alias("bridge")), "ctg", "left")
-    rows = rows.withColumn("_before", F.lag(F.col("bridge")).over(w)).withColumn("_part", F.sum(F.col("_before").isNull().cast("int")).over(w))
+    rows = rows.withColumn("bridge", F.when(F.lead("ctg").over(w).isNotNull(), F.col("bridge")))  # nothing follows the last
+    rows = rows.withColumn("_before", F.lag(F.col("bridge")).over(w)).withColumn("_part", F.sum(F.col("_before").isNull().cast("int")).over(w)).withColumn("_gap", F.col("begin") - F.lag("end").over(w))
     inner = F.substr("seq", F.when(F.col("_before").isNotNull(), end_bases).otherwise(0) + F.lit(1))
     cut = F.when(F.col("bridge").isNotNull(), F.expr(f"left(_s, greatest(length(_s) - {end_bases}, 0))")).otherwise(F.col("_s"))
-    rows = rows.withColumn("_s", inner).withColumn("piece", F.concat(cut, F.coalesce("bridge", F.lit(""))))
-    out = rows.groupBy("scf", "_part").agg(F.array_sort(F.collect_list(F.struct("begin", "ctg", "ori", "piece"))).alias("x"))
-    name = F.when(F.size("x") > 1, F.array_join(F.transform("x", lambda v: F.concat(v["ctg"].cast("string"), v["ori"])), "_")).otherwise(F.col("x")[0]["ctg"].cast("string"))
-    return out.select("scf", name.alias("name"), F.col("x")[0]["begin"].alias("begin"), F.array_join(F.transform("x", lambda v: v["piece"]), "").alias("seq"))
+    return rows.withColumn("_s", inner).withColumn("piece", F.concat(cut, F.coalesce("bridge", F.lit(""))))
+
+
+def merge_contigs(layout: DataFrame, contigs: DataFrame, closed: DataFrame, end_bases: int) -> DataFrame:
+    """(scf, name, begin, ori, gap, seq): contigs joined through closed gaps (left_ctg, seq: from end sequence to end sequence).
+
+    A gap's sequence replaces ``end_bases`` of both neighbours. Contigs without a closed gap keep name, strand ``ori`` and
+    (as the scaffold has it) sequence; a merged one is named by its parts and strands and lies forward. ``gap`` is the
+    distance from the contig before, null for the first. A merged contig is one row, so it has to fit in a task.
+    """
+    rows = _merged_rows(layout, contigs, closed, end_bases)
+    out = rows.groupBy("scf", "_part").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "ctg", "ori", "piece", "_gap"))).alias("x"))
+    merged = F.size("x") > 1
+    name = F.when(merged, F.array_join(F.transform("x", lambda v: F.concat(v["ctg"].cast("string"), v["ori"])), "_")).otherwise(F.col("x")[0]["ctg"].cast("string"))
+    return out.select("scf", name.alias("name"), F.col("x")[0]["begin"].alias("begin"), F.when(merged, "f").otherwise(F.col("x")[0]["ori"]).alias("ori"), F.col("x")[0]["_gap"].alias("gap"), F.array_join(F.transform("x", lambda v: v["piece"]), "").alias("seq"))
+
+
+def scaffold_places(merged: DataFrame) -> DataFrame:
+    """(name, scf, begin, end, ori): where the contigs of ``merge_contigs`` lie in the scaffolds made of them and of the
+    gaps left."""
+    w = Window.partitionBy("scf").orderBy("begin", "name")
+    n, gap = F.length("seq").cast("long"), F.greatest(F.coalesce("gap", F.lit(0)), F.lit(0))
+    rows = merged.select("scf", "name", "begin", "ori", n.alias("_n"), F.when(F.lag("name").over(w).isNull(), 0).otherwise(gap).alias("_gap"))
+    end = F.sum(F.col("_n") + F.col("_gap")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select("name", "scf", (end - F.col("_n")).cast("long").alias("begin"), end.cast("long").alias("end"), "ori")
+
+
+def scaffold_sequences(merged: DataFrame) -> DataFrame:
+    """(scf, seq): each scaffold, N for the bases of the gaps left. A scaffold is one row, so it has to fit in a task."""
+    w = Window.partitionBy("scf").orderBy("begin", "name")
+    gap = F.when(F.lag("name").over(w).isNull(), 0).otherwise(F.greatest(F.coalesce("gap", F.lit(0)), F.lit(0))).cast("int")
+    rows = merged.select("scf", "begin", "name", F.concat(F.repeat(F.lit("N"), gap), F.col("seq")).alias("s"))
+    x = F.array_sort(F.collect_list(F.struct("begin", "name", "s")))
+    return rows.groupBy("scf").agg(F.array_join(F.transform(x, lambda v: v["s"]), "").alias("seq"))
+
+
+def split_joined(rows: DataFrame, stats: DataFrame | None = None, sigmas: float = 5.0) -> tuple[DataFrame, DataFrame]:
+    """((gap, seq), (gap, read, off, ori)) of result rows (gap, seq, read1, off1, ori1, read2, off2, ori2).
+
+    With ``stats`` (gap, mean, stdev) gaps go whose reads are further than ``sigmas`` deviations from the mean apart.
+    """
+    if stats is not None:
+        apart, reach = F.abs(F.col("off2") - F.col("off1")), sigmas * F.col("stdev")
+        bad = rows.join(stats, "gap").filter((apart < F.col("mean") - reach) | (apart > F.col("mean") + reach)).select("gap")
+        rows = rows.join(bad, "gap", "left_anti")
+    each = F.array(*(F.struct(F.col(f"read{i}").alias("read"), F.col(f"off{i}").alias("off"), F.col(f"ori{i}").alias("ori")) for i in (1, 2)))
+    return rows.select("gap", "seq"), rows.select("gap", F.explode(each).alias("e")).select("gap", "e.*")
+
+
+def sorted_placements(placements: DataFrame) -> DataFrame:
+    """Placements by contig, then begin, strand, end and read."""
+    return placements.orderBy("ctg", "begin", "ori", "end", "read")
 
 
 def first_wins(*results: DataFrame, key: str) -> DataFrame:

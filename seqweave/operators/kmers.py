@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
@@ -91,3 +91,34 @@ def packed_bits(kmer: Column, k: int) -> Column:
         raise ValueError("more than 31 bases don't fit in a long")
     digits = F.translate(kmer, "ACGT", "0123")
     return F.conv(digits, 4, 10).cast("long") if k <= 31 and math.log2(4) * k < 63 else F.lit(None).cast("long")
+
+
+def quality_filtered_counts(reads: DataFrame, k: int, least: int = 5, offset: int = 33, seq: str = "seq", qual: str = "qual") -> DataFrame:
+    """(kmer, cnt, good): counts over all bases, and over those of quality ``least`` or more alone."""
+    masked = reads.withColumn("_good", mask_low_quality(F.col(seq), F.col(qual), least, offset))
+    both = explode_kmers(masked, k, seq=seq).withColumn("g", F.lit(0)).unionByName(explode_kmers(masked, k, seq="_good").withColumn("g", F.lit(1)))
+    return both.groupBy("kmer").agg(F.count_if(F.col("g") == 0).alias("cnt"), F.count_if(F.col("g") == 1).alias("good"))
+
+
+def lookup(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(kmer, cnt) of the k-mers of ``wanted`` (kmer, either strand), 0 for those that aren't counted."""
+    asked = wanted.select(S.canonical(F.col("kmer")).alias("kmer")).distinct()
+    return asked.join(counts.select("kmer", "cnt"), "kmer", "left").select("kmer", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"))
+
+
+def save_counts(counts: DataFrame, path: str) -> None:
+    """A table of counts that ``load_counts`` and later runs read."""
+    counts.select("kmer", "cnt").write.mode("overwrite").parquet(path)
+
+
+def load_counts(spark: SparkSession, path: str, lower: int = 1, upper: int | None = None) -> DataFrame:
+    """(kmer, cnt) of a saved table, counts from ``lower`` to ``upper``; the bounds reach the scan."""
+    df = spark.read.schema("kmer string, cnt long").parquet(path).filter(F.col("cnt") >= lower)
+    return df if upper is None else df.filter(F.col("cnt") <= upper)
+
+
+def dump_kmers(counts: DataFrame, path: str, lower: int = 1, upper: int | None = None) -> None:
+    """Lines "kmer count" of the k-mers with counts from ``lower`` to ``upper``."""
+    df = counts.filter(F.col("cnt") >= lower)
+    df = df if upper is None else df.filter(F.col("cnt") <= upper)
+    df.select(F.concat_ws(" ", "kmer", F.col("cnt").cast("string")).alias("value")).write.mode("overwrite").text(path)

@@ -44,7 +44,7 @@ def adjacency(overlaps: DataFrame, unitigs: DataFrame) -> DataFrame:
     return out.join(unitigs.select(F.col("ku").alias("nku"), F.length("seq").alias("nlen")), "nku").select("ku", "ori", "nku", "nori", "nlen")
 
 
-def _placed_kmers(df: DataFrame, k: int, *keys: str) -> DataFrame:
+def placed_kmers(df: DataFrame, k: int, *keys: str) -> DataFrame:
     """(keys, mer, at, flipped): each k-mer without other characters, at its offset from 0, in canonical form."""
     # Long sequences are cut into blocks first: a substring of a string costs the way to its offset.
     block = 512
@@ -56,7 +56,7 @@ def _placed_kmers(df: DataFrame, k: int, *keys: str) -> DataFrame:
 
 def unitig_kmers(unitigs: DataFrame, k: int) -> DataFrame:
     """(mer, ku, off, ku_flipped), a row for each k-mer of each unitig."""
-    return _placed_kmers(unitigs, k, "ku").select("mer", "ku", F.col("at").alias("off"), F.col("flipped").alias("ku_flipped"))
+    return placed_kmers(unitigs, k, "ku").select("mer", "ku", F.col("at").alias("off"), F.col("flipped").alias("ku_flipped"))
 
 
 def read_matches(reads: DataFrame, unitigs: DataFrame, k: int, *keys: str) -> DataFrame:
@@ -65,7 +65,7 @@ def read_matches(reads: DataFrame, unitigs: DataFrame, k: int, *keys: str) -> Da
     A new island begins where unitig, strand or implied start changes, or a k-mer begins after the last hit's end.
     ``hit_begin`` and ``hit_end`` are the island's place in the read. Reads are exploded once and probe the unitigs' k-mers.
     """
-    hits = _placed_kmers(reads.withColumn("read_len", F.length("seq")), k, *keys, "read_len").join(unitig_kmers(unitigs, k), "mer")
+    hits = placed_kmers(reads.withColumn("read_len", F.length("seq")), k, *keys, "read_len").join(unitig_kmers(unitigs, k), "mer")
     same = F.col("flipped") == F.col("ku_flipped")
     hits = hits.select(*keys, "read_len", "at", "ku", F.when(same, "F").otherwise("R").alias("ori"), F.when(same, F.col("off") - F.col("at")).otherwise(F.col("off") + F.col("at") + k).alias("start"))
     w = Window.partitionBy(*keys).orderBy("at", "ku", "start")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..plans.storage import dense_ids, materialize
+from ..plans.storage import dense_ids, forget, materialize, small
 from .unitigs import chain_heads
 
 PATH = "array<struct<ku: bigint, ori: string>>"
@@ -114,25 +114,30 @@ def join_mates(pairs: DataFrame, adjacent: DataFrame, k: int, sigmas: float = 5.
 
     ``pairs`` (insert, even, odd: paths in reading direction of each read, len, before, after, mean, stdev): ``len`` of
     the even read's first unitig, ``before`` its bases ahead of that read, ``after`` those of the odd read's first unitig
-    behind that read. All frontiers step together, one join with ``adjacent`` a round; a pair with over ``most_nodes``
-    paths stops. Of several paths those stay that hold both reads' paths; still several are ambiguous, unless
+    behind that read. All frontiers step together, one join with ``adjacent`` a round; a pair that has made over
+    ``most_nodes`` steps in all rounds stops. Paths are told apart by their unitigs, not merged where offsets are alike. Of several paths those stay that hold both reads' paths; still several are ambiguous, unless
     ``aggressive`` takes the first.
     """
     n = k - 1
     goal = S.reverse_path(F.col("odd"))
     base = pairs.select("insert", "even", goal.alias("far"), (F.col("mean") + sigmas * F.col("stdev") + F.col("before") + F.col("after")).alias("most"), F.col("even")[0].alias("x"), F.col("len").cast("long").alias("bases"))
-    base = base.withColumn("goal", F.element_at("far", -1)).withColumn("path", F.array("x"))
-    front = materialize(base.select("insert", "most", "goal", "path", "bases", F.col("x.ku").alias("ku"), F.col("x.ori").alias("ori")), "front")
-    found = front.filter((F.col("ku") == F.col("goal.ku")) & (F.col("ori") == F.col("goal.ori"))).select("insert", "path")
-    stopped = None
-    while not front.isEmpty():
+    base = materialize(base.withColumn("goal", F.element_at("far", -1)).withColumn("path", F.array("x")), "pairs")
+    at_goal = lambda df: df.filter((F.col("ku") == F.col("goal.ku")) & (F.col("ori") == F.col("goal.ori"))).select("insert", "path")
+    front = base.select("insert", "most", "goal", "path", "bases", F.col("x.ku").alias("ku"), F.col("x.ori").alias("ori"), F.lit(0).cast("long").alias("made"))
+    found, stopped = at_goal(front), None
+    while True:
         step = front.join(adjacent, ["ku", "ori"]).withColumn("bases", F.col("bases") + F.col("nlen") - n).filter(F.col("bases") <= F.col("most"))
-        step = step.select("insert", "most", "goal", F.concat("path", F.array(F.struct(F.col("nku").alias("ku"), F.col("nori").alias("ori")))).alias("path"), "bases", F.col("nku").alias("ku"), F.col("nori").alias("ori"))
-        step = materialize(step.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("insert"))), "front")
-        many = step.filter(F.col("_n") > most_nodes).select("insert").distinct()
+        step = step.select("insert", "most", "goal", F.concat("path", F.array(F.struct(F.col("nku").alias("ku"), F.col("nori").alias("ori")))).alias("path"), "bases", F.col("nku").alias("ku"), F.col("nori").alias("ori"), "made")
+        step = materialize(step, "steps")
+        # All steps that an insert has made so far count, not this round's alone.
+        made = materialize(step.groupBy("insert").agg((F.first("made") + F.count(F.lit(1))).alias("made")), "made")
+        many = made.filter(F.col("made") > most_nodes).select("insert")
         stopped = many if stopped is None else stopped.union(many)
-        front = step.filter(F.col("_n") <= most_nodes).drop("_n")
-        found = found.unionByName(front.filter((F.col("ku") == F.col("goal.ku")) & (F.col("ori") == F.col("goal.ori"))).select("insert", "path"))
+        front = materialize(step.drop("made").join(small(made.filter(F.col("made") <= most_nodes)), "insert"), "front")
+        forget(step)
+        if front.isEmpty():
+            break
+        found = found.unionByName(at_goal(front))
     found = materialize(found, "paths")
     held = lambda path, part: F.concat(F.lit("_"), S.name_of_path(path), F.lit("_")).contains(F.concat(F.lit("_"), S.name_of_path(part), F.lit("_")))
     met = found.join(base.select("insert", "even", "far"), "insert").withColumn("fits", (held(F.col("path"), F.col("even"))).cast("int") + held(F.col("path"), F.col("far")).cast("int"))

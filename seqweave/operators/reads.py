@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..plans.storage import dense_ids
+from ..plans.storage import dense_ids, forget, materialize, small
 
 
 def rename_interleaved(raw: DataFrame, lib: str, order: str, seq: str = "seq") -> DataFrame:
@@ -53,29 +55,90 @@ def chimeric_inserts(placements: DataFrame, insert: list[str], end: str, sr: str
     return both.withColumn("distance", away).filter((F.col("distance") > 0) & (F.col("distance") < most)).select(*insert, F.col("sr0").alias("sr"), "distance")
 
 
-def greedy_redundancy(pairs: DataFrame, group: list[str], order: list[str], off1: str, off2: str, reach: int = 2) -> DataFrame:
+def greedy_redundancy(pairs: DataFrame, group: list[str], order: list[str], off1: str, off2: str, reach: int = 2, rounds: int = 12) -> DataFrame:
     """``pairs`` with ``redundant``: an earlier kept pair of the group has both offsets within ``reach``.
 
-    Order-dependent, so each group is walked in order. Offsets that are far apart don't meet: groups are cut into cells
-    no further than ``reach`` apart, and only runs of neighbouring cells are walked together.
+    Of pairs at the same place only the first can be kept. Places, one row for each, are joined with the earlier ones near
+    by through cells of offsets, at most (2 reach + 1)^2 to a place however many pairs there are. Then all groups are
+    decided together: places with an earlier kept neighbour are redundant, those with no earlier one undecided are kept.
+    What chains leave undecided after ``rounds`` is walked in order, stretch by stretch of neighbouring offsets.
     """
-    wanted = [*pairs.columns, "redundant"]
+    places = pairs.groupBy(*group, off1, off2).agg(F.min(F.struct(*order)).alias("_first"))
+    places = materialize(places.withColumn("_id", F.monotonically_increasing_id()), "places")
+    size = 2 * reach + 1
+    cell = lambda c: F.floor(F.col(c) / size)
+    spread = lambda c: F.array_distinct(F.array(F.floor((F.col(c) - reach) / size), F.floor((F.col(c) + reach) / size)))
+    keys = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
+    on = [f"_g{i}" for i in range(len(group))] + ["_c1", "_c2"]
+    held = places.select(*keys, cell(off1).alias("_c1"), cell(off2).alias("_c2"), F.col("_id").alias("before"), F.col(off1).alias("_a"), F.col(off2).alias("_b"), F.col("_first").alias("_f"))
+    asking = places.select(*keys, F.explode(spread(off1)).alias("_c1"), off1, off2, "_first", "_id").select("*", F.explode(spread(off2)).alias("_c2"))
+    near = (F.abs(F.col(off1) - F.col("_a")) <= reach) & (F.abs(F.col(off2) - F.col("_b")) <= reach) & (F.col("_f") < F.col("_first"))
+    edges = materialize(asking.join(held, on).filter(near).select(F.col("_id").alias("id"), "before"), "edges")
+    # Places that no earlier one is near are kept; only those with some are gone through.
+    kept = materialize(places.select(F.col("_id").alias("id")).join(edges.select("id").distinct(), "id", "left_anti"), "kept")
+    open_ = materialize(edges.select("id").distinct(), "open")
+    fresh, all_kept = kept, [kept]
+    for _ in range(rounds):
+        near_kept = edges.join(fresh.select(F.col("id").alias("before")), "before", "left_semi").select("id").distinct()
+        last, open_ = open_, materialize(open_.join(near_kept, "id", "left_anti"), "open")
+        forget(last)
+        if open_.isEmpty():
+            break
+        waiting = edges.join(open_, "id", "left_semi").join(open_.select(F.col("id").alias("before")), "before", "left_semi").select("id").distinct()
+        fresh = materialize(open_.join(waiting, "id", "left_anti"), "kept")
+        all_kept.append(fresh)
+        last, open_ = open_, materialize(open_.join(fresh, "id", "left_anti"), "open")
+        forget(last)
+    kept = all_kept[0]
+    for more in all_kept[1:]:
+        kept = kept.unionByName(more)
+    near_kept = edges.join(fresh.select(F.col("id").alias("before")), "before", "left_semi").select("id").distinct()
+    left = materialize(open_.join(near_kept, "id", "left_anti"), "open")
+    if not left.isEmpty():
+        kept = kept.unionByName(_walked(places, left, group, off1, off2, reach))
+    mark = places.join(kept.select(F.col("id").alias("_id"), F.lit(True).alias("_kept")), "_id", "left").select(*group, off1, off2, F.when(F.col("_kept"), F.col("_first")).alias("_first"))
+    same = [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in (*group, off1, off2)]
+    met = pairs.join(mark.select("_first", *(F.col(c).alias(f"_m_{c}") for c in (*group, off1, off2))), reduce(lambda x, y: x & y, same), "left")
+    return met.select(*pairs.columns, F.coalesce(F.struct(*order) != F.col("_first"), F.lit(True)).alias("redundant"))
+
+
+def _walked(places: DataFrame, left: DataFrame, group: list[str], off1: str, off2: str, reach: int) -> DataFrame:
+    """(id) of the places in ``left`` that are kept, walked in order; none of them has a decided earlier neighbour that is kept."""
+    rows = places.join(left.select(F.col("id").alias("_id")), "_id", "left_semi").select(*group, off1, off2, "_first", "_id")
     w = Window.partitionBy(*group).orderBy(off1)
     cut = F.when(F.col(off1) - F.lag(off1).over(w) <= reach, 0).otherwise(1)
-    celled = pairs.withColumn("_cut", cut).withColumn("_cell", F.sum("_cut").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_cut")
+    celled = rows.withColumn("_cut", cut).withColumn("_cell", F.sum("_cut").over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_nth", F.row_number().over(Window.partitionBy(*group, "_cell").orderBy("_first")))
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
+        frame = frame.sort_values("_nth")
         kept, out = set(), []
-        for a, b in zip(frame[off1], frame[off2], strict=True):
-            near = any((a + i, b + j) in kept for i in range(-reach, reach + 1) for j in range(-reach, reach + 1))
-            out.append(near)
-            if not near:
+        for place, a, b in zip(frame["_id"], frame[off1], frame[off2], strict=True):
+            if not any((a + i, b + j) in kept for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)):
                 kept.add((a, b))
-        return frame.assign(redundant=out)[wanted]
+                out.append(place)
+        return pd.DataFrame({"id": out})
+
+    return materialize(celled.drop("_cut", "_first").groupBy(*group, "_cell").applyInPandas(walk, "id long"), "walked")
+
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in [*pairs.dtypes, ("redundant", "boolean")])
-    return celled.groupBy(*group, "_cell").applyInPandas(walk, schema)
+def clean_jumps(reads: DataFrame, placements: DataFrame, insert: list[str], end: str = "end", sr: str = "sr", off: str = "off", ori: str = "ori", seq: str = "seq", reach: int = 2, most: int = 700) -> DataFrame:
+    """Reads of jumping libraries that are left, reverse-complemented: inserts both of whose reads are placed, that aren't
+    chimeric (both on one path, close and facing away) and whose two places no earlier insert has within ``reach``."""
+    side = lambda e: placements.filter(F.col(end) == e).select(*insert, F.col(sr).alias(f"sr{e}"), F.col(off).alias(f"off{e}"))
+    both = materialize(side(0).join(side(1), insert), "pairs")
+    chimeric = chimeric_inserts(placements, insert, end, sr, off, ori, most=most).select(*insert)
+    redundant = greedy_redundancy(pair_places(both), ["sr1", "sr2"], insert, "off1", "off2", reach).filter("redundant").select(*insert)
+    good = both.select(*insert).join(chimeric, insert, "left_anti").join(redundant, insert, "left_anti")
+    return reads.join(good, insert, "left_semi").withColumn(seq, S.revcomp(F.col(seq), "N"))
+
+
+def pair_places(both: DataFrame) -> DataFrame:
+    """Pairs (sr0, off0, sr1, off1) with the smaller path, and on one path the smaller offset, first: (sr1, sr2, off1, off2)."""
+    swap = (F.col("sr0") > F.col("sr1")) | (F.col("sr0") == F.col("sr1")) & (F.col("off0") > F.col("off1"))
+    one, two = F.struct(F.col("sr0").alias("s"), F.col("off0").alias("o")), F.struct(F.col("sr1").alias("s"), F.col("off1").alias("o"))
+    first, second = F.when(swap, two).otherwise(one), F.when(swap, one).otherwise(two)
+    keys = [c for c in both.columns if c not in {"sr0", "off0", "sr1", "off1"}]
+    return both.select(*keys, first["s"].alias("sr1"), second["s"].alias("sr2"), first["o"].alias("off1"), second["o"].alias("off2"))
 
 
 def support_counts(placements: DataFrame, sr: str, insert: list[str], least: int = 2) -> DataFrame:
@@ -147,7 +210,32 @@ def unjoined_pairs(placements: DataFrame, insert: list[str], sr: str = "sr") ->
 
 def sampled_inserts(reads: DataFrame, insert: list[str], share: float, seed: int = 1) -> DataFrame:
     """Reads of a share of the inserts, chosen by a seeded hash, so mates stay together and reruns agree."""
-    return reads.filter(F.pmod(F.xxhash64(F.lit(seed), *insert), F.lit(1_000_000)) < int(share * 1_000_000))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in insert))), 1, 8), 16, 10).cast("long")
+    return reads.filter(F.pmod(drawn, F.lit(1_000_000)) < int(share * 1_000_000))
+
+
+def library_slice(reads: DataFrame, prefix: str, lib: str = "lib") -> DataFrame:
+    """The reads of one library."""
+    return reads.filter(F.col(lib) == prefix)
+
+
+def reads_by_path(placements: DataFrame, sr: str, read: str, most: int = 1000) -> DataFrame:
+    """(sr, block, reads): the sorted reads of each path, in blocks of about ``most`` for paths that have more."""
+    sizes = materialize(placements.groupBy(sr).agg(F.ceil(F.count(F.lit(1)) / most).alias("_blocks")).filter("_blocks > 1"), "sizes")
+    met = placements.join(small(sizes), sr, "left")
+    block = F.when(F.col("_blocks").isNull(), 0).otherwise(F.pmod(F.xxhash64(read), F.col("_blocks"))).cast("long")
+    return met.groupBy(sr, block.alias("block")).agg(F.sort_array(F.collect_list(read)).alias("reads"))
+
+
+def infrequent(counts: DataFrame, sr: str = "sr", most: int = 1) -> DataFrame:
+    """(sr) of the paths with at most ``most`` inserts."""
+    return counts.filter(F.col("cnt") <= most).select(sr)
+
+
+def insert_coverage(links: DataFrame, libraries: DataFrame, genome: int, lib: str = "lib") -> DataFrame:
+    """One row (bases, coverage): the mean insert times the linked inserts of each library, over the genome's size."""
+    per = links.groupBy(lib).agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(libraries.select(lib, "mean")), lib)
+    return per.agg(F.sum(F.col("mean") * F.col("_n")).alias("bases")).withColumn("coverage", F.col("bases") / genome)
 
 
 def jump_reads(placements: DataFrame, seqs: DataFrame, least: int = 64, most: int = 2047) -> DataFrame:

@@ -114,3 +114,32 @@ def path_fragments(seqs: DataFrame, least: int = 64, size: int = 2047, step: int
     named = seqs.withColumn("name", F.when(F.length("name") > 100, F.concat(F.lit("SR"), F.xxhash64("name").cast("string"))).otherwise(F.col("name")))
     w = named.select("name", F.length("seq").alias("n"), F.explode(S.windows(F.col("seq"), size, step)).alias("w"))
     return w.filter(F.length("w.piece") >= least).select(F.when(F.col("n") <= size, F.col("name")).otherwise(F.concat_ws(".", "name", F.col("w.off").cast("string"))).alias("name"), F.col("w.piece").alias("seq"))
+
+
+def fragment_messages(fragments: DataFrame, lib: str, least: int = 64) -> DataFrame:
+    """(name, value): FRG messages of long sequences (name, seq, optionally clr_begin and clr_end), those of ``least`` bases
+    or more, with the same quality for all bases."""
+    n = F.length("seq").cast("string")
+    begin, end = (F.coalesce(F.col(c).cast("string"), default) if c in fragments.columns else default for c, default in (("clr_begin", F.lit("0")), ("clr_end", n)))
+    value = F.concat(F.lit("{FRG\nact:A\nacc:"), "name", F.lit(f"\nrnd:0\nsta:G\nlib:{lib}\npla:0\nloc:0\nsrc:\n.\nseq:\n"), "seq", F.lit("\n.\nqlt:\n"), F.regexp_replace("seq", "[ACGTNacgtn]", "G"), F.lit("\n.\nhps:\n.\nclv:"), begin, F.lit(","), end, F.lit("\nclr:"), begin, F.lit(","), end, F.lit("\n}"))
+    return fragments.filter(F.length("seq") >= least).select("name", value.alias("value"))
+
+
+def read_fragment_dump(spark: SparkSession, path: str) -> DataFrame:
+    """(id, seq) of fragments: FASTA records >name,id, or lines fragmentIdent = name,id and fragmentSequence = bases."""
+    if spark.read.text(path).filter("value like 'fragmentIdent%'").isEmpty():
+        return read_fasta(spark, path).select(F.element_at(F.split("name", ","), -1).cast("long").alias("id"), "seq")
+    text = spark.read.option("lineSep", "fragmentIdent").text(path)
+    return text.select(F.regexp_extract("value", r"^[^\n]*?,\s*(\d+)", 1).alias("id"), F.regexp_extract("value", r"\nfragmentSequence\s*=\s([^\n]*)", 1).alias("seq")).filter("id <> ''").withColumn("id", F.col("id").cast("long"))
+
+
+def write_library_stats(stats: DataFrame, path: str, lib: str = "lib") -> None:
+    """Lines "library mean deviation"."""
+    stats.select(F.concat_ws(" ", lib, F.col("mean").cast("string"), F.col("stdev").cast("string")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_library_stats(spark: SparkSession, path: str, jumping: tuple[str, ...] = ()) -> DataFrame:
+    """(lib, mean, stdev); jumping libraries have 500 and 100, whatever the file says."""
+    jump = F.col("lib").isin(*jumping) if jumping else F.lit(False)
+    stats = read_table(spark, path, "lib string, mean double, stdev double")
+    return stats.select("lib", F.when(jump, 500.0).otherwise(F.col("mean")).alias("mean"), F.when(jump, 100.0).otherwise(F.col("stdev")).alias("stdev"))

@@ -4,7 +4,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from seqweave.operators import gaps, reads
+from seqweave.operators import gaps, kmers, reads
 from seqweave.plans.stages import Config
 from seqweave.plans.storage import dense_ids
 from seqweave.sources import sequences as io
@@ -45,6 +45,34 @@ def test_messages_and_fragments(spark, tmp_path):
     assert sorted(tuple(r) for r in io.read_table(spark, str(tmp_path / "t.txt"), "lib string, mean double, stdev double").collect()) == [("pe", 300.0, 30.0), ("sh", 500.0, 100.0)]
 
 
+def test_long_fragments_and_dumps(spark, tmp_path):
+    df = spark.createDataFrame([("a", "ACGT" * 20, None, None), ("b", "A" * 63, 1, 2), ("c", "N" * 70, 3, 60)], "name string, seq string, clr_begin int, clr_end int")
+    out = {r["name"]: r["value"] for r in io.fragment_messages(df, "sr").collect()}
+    assert set(out) == {"a", "c"} and "clr:0,80\n}" in out["a"] and "clv:3,60\nclr:3,60" in out["c"] and "qlt:\n" + "G" * 70 in out["c"]
+    (tmp_path / "d.txt").write_text("fragmentIdent           = x,17\nother = 1\nfragmentSequence = ACGT\nfragmentIdent = y,18\nfragmentSequence = GG\n")
+    assert sorted(tuple(r) for r in io.read_fragment_dump(spark, str(tmp_path / "d.txt")).collect()) == [(17, "ACGT"), (18, "GG")]
+    (tmp_path / "d.fa").write_text(">x,17 more\nAC\n>y,18\nGG\n")
+    assert sorted(tuple(r) for r in io.read_fragment_dump(spark, str(tmp_path / "d.fa")).collect()) == [(17, "AC"), (18, "GG")]
+    io.write_library_stats(spark.createDataFrame([("pe", 300.0, 30.0), ("sh", 3600.0, 200.0)], "lib string, mean double, stdev double"), str(tmp_path / "libs"))
+    assert sorted(tuple(r) for r in io.read_library_stats(spark, str(tmp_path / "libs"), ("sh",)).collect()) == [("pe", 300.0, 30.0), ("sh", 500.0, 100.0)]
+
+
+def test_kmer_tables(spark, tmp_path):
+    rng = random.Random(4)
+    seqs = [brute.genome(60, i % 5) for i in range(20)]
+    df = spark.createDataFrame([(s, "".join(rng.choice("!+I") for _ in s)) for s in seqs], "seq string, qual string")
+    counts = kmers.count_kmers(df, 9)
+    kmers.save_counts(counts, str(tmp_path / "c"))
+    plain = brute.counts(seqs, 9)
+    assert {tuple(r) for r in kmers.load_counts(spark, str(tmp_path / "c"), 2, 3).collect()} == {(m, n) for m, n in plain.items() if 2 <= n <= 3}
+    kmers.dump_kmers(counts, str(tmp_path / "d"), 4)
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "d")).collect()) == sorted(f"{m} {n}" for m, n in plain.items() if n >= 4)
+    asked = spark.createDataFrame([(brute.rc(m),) for m in list(plain)[:5]] + [("A" * 9,)], "kmer string")
+    assert {tuple(r) for r in kmers.lookup(counts, asked).collect()} == {(m, plain[m]) for m in list(plain)[:5]} | {("A" * 9, plain.get("A" * 9, 0))}
+    good = brute.counts(["".join(b if q != "!" else "N" for b, q in zip(s, r["qual"], strict=True)) for r in df.collect() for s in [r["seq"]]], 9)
+    assert {(r["kmer"], r["good"]) for r in kmers.quality_filtered_counts(df, 9).collect() if r["good"]} == set(good.items())
+
+
 def test_config():
     c = Config.parse("PATHS\nX = /a\nEND\nDATA\nPE = pe 300 30 a.fq b.fq\nJUMP = sh 3600 200 c.fq\nEND\nPARAMETERS\nCLOSE_GAPS = 0 # no\nEND")
     assert c.paths["X"] == "/a" and [x["prefix"] for x in c.libraries] == ["pe", "sh"] and c.parameters["CLOSE_GAPS"] == "0"
@@ -53,17 +81,31 @@ def test_config():
             Config.parse(bad)
 
 
-def test_greedy_redundancy(spark):
+@pytest.mark.parametrize("rounds", [0, 1, 12])
+def test_greedy_redundancy(spark, rounds):
+    """Random orders, chains that hang on their first places, ties at one place, and many pairs at one."""
     rng = random.Random(2)
-    rows = [(i % 3, i, rng.randint(0, 30), rng.randint(0, 30)) for i in range(300)]
-    got = reads.greedy_redundancy(spark.createDataFrame(rows, "g int, i int, a long, b long"), ["g"], ["i"], "a", "b")
-    want, kept = set(), {0: [], 1: [], 2: []}
+    places = [(i % 3, rng.randint(0, 30), rng.randint(0, 30)) for i in range(300)] + [(5, i, i) for i in range(80)] + [(6, 7, 7)] * 500 + [(7, 2 * i, 0) for i in range(40)]
+    rows = [(g, i, a, b) for i, (g, a, b) in enumerate(places)]
+    got = reads.greedy_redundancy(spark.createDataFrame(rows, "g int, i int, a long, b long"), ["g"], ["i"], "a", "b", rounds=rounds)
+    want, kept = set(), {}
     for g, i, a, b in rows:
-        if any(abs(a - x) <= 2 and abs(b - y) <= 2 for x, y in kept[g]):
+        if any(abs(a - x) <= 2 and abs(b - y) <= 2 for x, y in kept.setdefault(g, [])):
             want.add(i)
         else:
             kept[g].append((a, b))
-    assert {r["i"] for r in got.filter("redundant").collect()} == want and got.count() == 300
+    assert {r["i"] for r in got.filter("redundant").collect()} == want and got.count() == len(rows)
+
+
+def test_clean_jumps(spark):
+    """Chimeric, redundant and unpaired inserts go; the others' reads are reverse-complemented."""
+    rows = [(0, 0, "p", 10, "F"), (0, 1, "q", 50, "R"), (1, 0, "q", 51, "R"), (1, 1, "p", 9, "F"), (2, 0, "p", 100, "R"), (2, 1, "p", 300, "F"), (3, 0, "p", 500, "F"), (4, 0, "p", 10, "F"), (4, 1, "q", 90, "R")]
+    placed = spark.createDataFrame(rows, "insert long, end int, sr string, off long, ori string")
+    df = spark.createDataFrame([(i, e, f"AC{'GT'[e]}N{i}") for i in range(6) for e in (0, 1)], "insert long, end int, seq string")
+    got = sorted(tuple(r) for r in reads.clean_jumps(df, placed, ["insert"]).collect())
+    chimeric = {r["insert"] for r in reads.chimeric_inserts(placed, ["insert"], "end", "sr", "off", "ori").collect()}
+    want = [i for i in (0, 2, 4) if i not in chimeric]
+    assert chimeric == {2} and got == [(i, e, f"NN{'CA'[e]}GT") for i in want for e in (0, 1)]
 
 
 def test_trimmed_stats(spark):
@@ -104,10 +146,25 @@ def test_scaffolds_and_closing(spark):
     rs = [(i // 2, i % 2, (lambda s: brute.rc(s) if i % 3 else s)(g[j : j + 70])) for i, j in enumerate(rng.randint(200, 500) for _ in range(160))]
     mates = spark.createDataFrame(rs, "insert long, end int, seq string")
     ids = found.select(F.col("left_ctg").alias("gap"), "left_seq", "right_seq")
-    ends = ids.select("gap", F.explode(F.array("left_seq", "right_seq")).alias("seq"))
+    ends = ids.select("gap", F.explode(F.array(F.struct(F.lit("F").alias("side"), F.col("left_seq").alias("seq")), F.struct(F.lit("R").alias("side"), F.col("right_seq").alias("seq")))).alias("e")).select("gap", "e.*")
     fished = gaps.fish_reads(ends, mates, 21)
-    everything = ids.select("gap").crossJoin(mates.select("insert").distinct())
-    assert fished.count() > 0
+    everything = ids.select("gap").crossJoin(mates.select("insert", "end"))
+    # Against a plain version: strands, mates that are brought, and reads alone.
+    kmers_of = lambda x: {x[i : i + 21] for i in range(len(x) - 20)}
+    want = set()
+    for r in ids.collect():
+        for i in range(80):
+            caught, brings = set(), False
+            for e in (0, 1):
+                seq = rs[2 * i + e][2]
+                for side, bait in (("F", r["left_seq"]), ("R", r["right_seq"])):
+                    same, other = kmers_of(bait) & kmers_of(seq), kmers_of(bait) & kmers_of(brute.rc(seq))
+                    caught |= {e} if same or other else set()
+                    brings |= bool(same) if side == "F" else bool(other)
+            if caught:
+                how = "B" if len(caught) == 2 else "M" if brings else "O"
+                want |= {(r["gap"], i, e, how) for e in (caught if how == "O" else (0, 1))}
+    assert {tuple(r) for r in fished.collect()} == want and {w[3] for w in want} >= {"B", "M", "O"}
     for descending in (False, True):
         got = {r["gap"]: r for r in gaps.close_gaps(ids, everything, mates, 21, 41, descending=descending).collect()}
         assert got["a"]["outcome"] == "joined" and got["a"]["seq"] == g[240:460]
@@ -115,6 +172,18 @@ def test_scaffolds_and_closing(spark):
     closed = gaps.close_gaps(ids, everything, mates, 21, 41).filter("seq is not null").select(F.col("gap").alias("left_ctg"), "seq")
     merged = {r["name"]: r["seq"] for r in gaps.merge_contigs(layout, contigs, closed, 60).collect()}
     assert merged == {"af_br": g, "c": brute.genome(50, 72)}
+    whole = gaps.merge_contigs(layout, contigs, closed, 60)
+    assert sorted(tuple(r) for r in gaps.scaffold_places(whole).collect()) == [("af_br", "s", 0, 700, "f"), ("c", "s", 900, 950, "f")]
+    assert gaps.scaffold_sequences(whole).first()["seq"] == g + "N" * 200 + brute.genome(50, 72)
+
+
+def test_joined_rows_are_split(spark):
+    rows = [(0, "ACGT", "cc0", 0, "F", "cc1", 300, "R"), (1, "AC", "cc2", 900, "R", "cc3", 10, "F"), (2, "GG", "cc4", 5, "F", "cc5", 6, "F")]
+    df = spark.createDataFrame(rows, "gap int, seq string, read1 string, off1 long, ori1 string, read2 string, off2 long, ori2 string")
+    stats = spark.createDataFrame([(0, 280.0, 10.0), (1, 100.0, 10.0)], "gap int, mean double, stdev double")
+    seqs, placed = gaps.split_joined(df, stats)
+    assert sorted(r["gap"] for r in seqs.collect()) == [0, 2]
+    assert sorted(tuple(r) for r in placed.collect()) == [(0, "cc0", 0, "F"), (0, "cc1", 300, "R"), (2, "cc4", 5, "F"), (2, "cc5", 6, "F")]
 
 
 def test_dense_ids(spark):
