@@ -29,16 +29,21 @@ _A = (_draw.randint(0, 1 << 62, SIZE).astype(np.uint64) << np.uint64(1)) | np.ui
 _B = _draw.randint(0, 1 << 62, SIZE).astype(np.uint64)
 
 
-def phrases(text: str) -> dict[str, None]:
-    """The dictionary of the parse, in order; a rest that is a known phrase adds nothing new."""
-    known: dict[str, None] = {}
-    now = ""
+def extended(phrase: int, symbol: str) -> int:
+    """The hash of a phrase (0: none) and one symbol more, which stands for the phrase."""
+    return xxhash.xxh3_64_intdigest(symbol.encode("utf-8", "surrogatepass"), phrase)
+
+
+def phrases(text: str) -> dict[int, None]:
+    """The dictionary of the parse, in order, as hashes; a rest that is a known phrase adds nothing new."""
+    known: dict[int, None] = {}
+    now = 0
     for word in text.split():
         for symbol in (word,) if len(word) <= LONG_WORD else word:
-            now = f"{now} {symbol}" if now else symbol
+            now = extended(now, symbol)
             if now not in known:
                 known[now] = None
-                now = ""
+                now = 0
     return known
 
 
@@ -47,7 +52,7 @@ def signature(text: str | None) -> np.ndarray:
     known = phrases(text or "")
     out = np.full(SIZE, 0xFFFFFFFF, np.uint32)
     if known:
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, (x.encode("utf-8", "surrogatepass") for x in known)), np.uint64, len(known))
+        hashes = np.fromiter(known, np.uint64, len(known))
         for i in range(0, len(hashes), CHUNK):
             mixed = (hashes[i : i + CHUNK, None] * _A + _B) >> np.uint64(32)
             out = np.minimum(out, mixed.min(axis=0).astype(np.uint32))
@@ -127,16 +132,18 @@ def _join_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprint_with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row for each document.
 
-    The next document is that of the next smaller key; null keys come last, rows with equal keys follow their texts, and
-    after the last document comes the first. A null text counts as empty. A single document follows itself; an empty
-    table gives no rows. Two texts without phrases have likeness 1.
+    The next document is that of the next smaller key; null keys come last, rows with equal keys follow the hashes of their
+    texts, and after the last document comes the first. A null text counts as empty. A single document follows itself; an
+    empty table gives no rows. Two texts without phrases have likeness 1.
 
-    The texts are range-partitioned once by key. Within a partition documents follow each other; a partition's last
+    The texts are range-partitioned once, by key, hash and (of rows alike) place in the table, so no key is too frequent
+    for a partition. Within a partition documents follow each other; a partition's last
     document meets the first of the next partition in a second step over two rows for each partition.
     """
     kind = docs.schema[key].dataType.simpleString()
-    order = [F.col(key).desc_nulls_last(), F.coalesce(F.col(text), F.lit(""))]
-    ranged = docs.select(key, text).repartitionByRange(order[0]).sortWithinPartitions(*order).select(F.col(key).cast("string"), F.col(text))
+    order = [F.col("_key").desc_nulls_last(), F.col("_hash"), F.col("_at")]
+    placed = docs.select(F.col(key).alias("_key"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_hash"), F.monotonically_increasing_id().alias("_at"), F.col(text).alias("_text"))
+    ranged = placed.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col("_key").cast("string"), F.col("_text"))
     rows = materialize(ranged.mapInArrow(_run, SCHEMA), "phrases")
     names = rows.columns[:7]
     whole = rows.filter("edited_sha256 is not null").select(names)

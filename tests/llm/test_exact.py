@@ -438,15 +438,42 @@ def test_frequency_hash():
 # Phrase fingerprints ----------------------------------------------------------------------------------------------------
 
 
-def test_phrases_by_hand():
-    assert list(lzprint.phrases("a b a b a b a")) == ["a", "b", "a b", "a b a"]
-    assert list(lzprint.phrases("x" * 30))[:3] == ["x", "x x", "x x x"]
-    assert not lzprint.phrases(" \n")
+def plain_phrases(text):
+    """The phrases of the parse, as tuples of symbols."""
+    known, now = [], ()
+    for word in text.split():
+        for symbol in [word] if len(word) <= 24 else word:
+            now += (symbol,)
+            if now not in known:
+                known.append(now)
+                now = ()
+    return known
+
+
+def test_phrases():
+    assert plain_phrases("a b a b a b a") == [("a",), ("b",), ("a", "b"), ("a", "b", "a")]
+    rng = random.Random(7)
+    texts = ["a b a b a b a", "x" * 30, " \n", "ab c", "a b c"] + [" ".join(rng.choice(["the", "of", "a" * 25, "é", "b"]) for _ in range(rng.randint(1, 80))) for _ in range(60)]
+    parsed = [plain_phrases(t) for t in texts]
+    of = {}
+    for t, plain in zip(texts, parsed, strict=True):
+        hashed = list(lzprint.phrases(t))
+        assert len(hashed) == len(plain) and all(of.setdefault(p, h) == h for p, h in zip(plain, hashed, strict=True))
+    assert len(set(of.values())) == len(of)
+
+
+def test_repetitive_texts_are_parsed_in_one_pass():
+    import time
+
+    began = time.perf_counter()
+    assert 1000 < len(lzprint.phrases("x" * 1_000_000)) < 2000 and len(lzprint.phrases("the of " * 500_000)) < 3000
+    assert time.perf_counter() - began < 10
 
 
 def test_phrase_fingerprints(spark, rows, folder):
     got = queries.op4_lzprint(spark, str(folder / "all")).collect()
-    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    signed = lambda t: np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).view(np.int64)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
     want = []
     for (d, t, *_), (_, after, *_) in zip(order, order[1:] + order[:1], strict=True):
         t, after = t or "", after or ""
