@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
@@ -91,3 +91,14 @@ def good_overlaps(overlaps: DataFrame, fragments: DataFrame, bad: DataFrame, k:
     pairs = overlaps.filter("id1 < id2").select("id1", "id2").distinct()
     shared = pairs.join(own.withColumnRenamed("id", "id1"), "id1").join(own.withColumnRenamed("id", "id2"), ["id2", "kmer"]).select("id1", "id2").distinct()
     return overlaps.join(shared, ["id1", "id2"], "left_semi")
+
+
+def save_overlaps(overlaps: DataFrame, path: str) -> None:
+    """A table whose files hold all overlaps of a unitig together, in order, so that a scan for some reads few of them."""
+    overlaps.repartition("u1").sortWithinPartitions("u1", "u2").write.mode("overwrite").parquet(path)
+
+
+def load_overlaps(spark: SparkSession, path: str, unitigs: list[int] | None = None) -> DataFrame:
+    """A saved table, of the given unitigs alone if any are named; the filter reaches the scan."""
+    df = spark.read.schema("u1 long, u2 long, ahg int, bhg int, ori string").parquet(path)
+    return df if unitigs is None else df.filter(F.col("u1").isin(unitigs))

@@ -10,6 +10,8 @@ from ..plans.storage import dense_ids, forget, materialize, small
 from .unitigs import chain_heads
 
 PATH = "array<struct<ku: bigint, ori: string>>"
+#: Elements that paths are looked up by.
+GRAM = 4
 
 
 def read_paths(matches: DataFrame, unitigs: DataFrame, k: int, *keys: str, loose_ends: int = 2) -> DataFrame:
@@ -79,16 +81,30 @@ def contained(paths: DataFrame, lengths: DataFrame | None = None, k: int = 0, un
     p = paths.select("sr", "path").distinct().withColumn("n", F.size("path"))
     p = p.join(lengths.select("sr", "len"), "sr") if lengths is not None else p.withColumn("len", F.col("n").cast("long"))
     framed = lambda path: F.concat(F.lit("_"), S.name_of_path(path), F.lit("_"))
-    p = materialize(p.withColumn("f", framed(F.col("path"))).withColumn("r", framed(S.reverse_path(F.col("path")))), "paths")
-    # A path meets the containers that hold its first four elements (or all, if it has fewer), read either way.
+    p = p.withColumn("f", framed(F.col("path"))).withColumn("r", framed(S.reverse_path(F.col("path"))))
+    p = materialize(p.withColumn("id", F.monotonically_increasing_id()), "paths")
     gram = lambda part: F.least(S.name_of_path(part), S.name_of_path(S.reverse_path(part)))
-    every = lambda m: F.transform(F.sequence(F.lit(1), F.col("n") - (m - 1)), lambda i: gram(F.slice("path", i, m)))
-    grams = [F.when(F.col("n") > m, every(m)).otherwise(F.array().cast("array<string>")) for m in (1, 2, 3, 4)]
-    index = p.select(F.col("sr").alias("container"), F.col("f").alias("in_f"), F.col("len").alias("in_len"), F.col("n").alias("in_n"), F.explode(F.array_distinct(F.concat(*grams))).alias("gram"))
-    met = p.withColumn("gram", gram(F.slice("path", 1, 4))).join(index, "gram").filter((F.col("in_n") > F.col("n")) & (F.col("in_f").contains(F.col("f")) | F.col("in_f").contains(F.col("r"))))
-    met = materialize(met.select("sr", "container", "in_len", "in_f", F.col("n"), F.when(F.col("in_f").contains(F.col("f")), F.col("f")).otherwise(F.col("r")).alias("as"), F.when(F.col("in_f").contains(F.col("f")), "F").otherwise("R").alias("rel_ori")), "contained")
-    top = met.join(met.select(F.col("sr").alias("container")).distinct(), "container", "left_anti")
-    best = top.groupBy("sr").agg(F.min_by(F.struct("container", "rel_ori", "in_f", "as", "n"), F.struct(-F.col("in_len"), F.col("container"))).alias("b")).select("sr", "b.*")
+    every = lambda m: F.when(F.col("n") >= m, F.transform(F.sequence(F.lit(1), F.col("n") - (m - 1)), lambda i: gram(F.slice("path", i, m)))).otherwise(F.array().cast("array<string>"))
+    # Up to four elements, a path is in what holds the whole of it, read either way: a row for each gram and task tells.
+    grams = p.select("id", "sr", "len", "n", F.explode(F.array_distinct(F.concat(*(every(m) for m in range(1, GRAM + 1))))).alias("gram"))
+    held = materialize(grams.groupBy("gram").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("holders")), "grams")
+    brief = p.filter(F.col("n") <= GRAM).withColumn("gram", gram(F.col("path")))
+    inside = brief.join(held, "gram").filter("most > n").select("id")
+    # Longer ones meet the holders of their rarest gram; names are compared only there.
+    long = p.filter(F.col("n") > GRAM)
+    own = long.select("id", F.explode(F.array_distinct(every(GRAM))).alias("gram")).join(held, "gram").groupBy("id").agg(F.min_by("gram", F.struct("holders", "gram")).alias("gram"))
+    holders = grams.join(own.select("gram").distinct(), "gram", "left_semi").select(F.col("id").alias("in_id"), F.col("n").alias("in_n"), "gram")
+    near = long.select("id", "n").join(own, "id").join(holders, "gram").filter("in_n > n").select("id", "in_id")
+    near = near.join(p.select("id", "sr", "n", "f", "r"), "id").join(p.select(F.col("id").alias("in_id"), F.col("sr").alias("container"), F.col("len").alias("in_len"), F.col("f").alias("in_f")), "in_id")
+    met = materialize(near.filter(F.col("in_f").contains(F.col("f")) | F.col("in_f").contains(F.col("r"))).select("id", "in_id", "container", "in_len"), "contained")
+    inside = materialize(inside.union(met.select("id")).distinct(), "inside")
+    # Of containers that aren't contained themselves, the one of most bases, then by name.
+    top = grams.join(inside, "id", "left_anti").groupBy("gram").agg(F.min_by(F.struct(F.col("id").alias("in_id"), "n"), F.struct(-F.col("len"), F.col("sr"))).alias("x"))
+    of_brief = brief.join(inside, "id", "left_semi").join(top, "gram").select("id", "x.in_id")
+    of_long = met.join(inside.select(F.col("id").alias("in_id")), "in_id", "left_anti").groupBy("id").agg(F.min_by("in_id", F.struct(-F.col("in_len"), F.col("container"))).alias("in_id"))
+    best = of_brief.union(of_long).join(p.select("id", "sr", "n", "f", "r"), "id").join(p.select(F.col("id").alias("in_id"), F.col("sr").alias("container"), F.col("f").alias("in_f")), "in_id")
+    ahead = F.col("in_f").contains(F.col("f"))
+    best = best.select("sr", "container", "in_f", "n", F.when(ahead, F.col("f")).otherwise(F.col("r")).alias("as"), F.when(ahead, "F").otherwise("R").alias("rel_ori"))
     before = F.expr("size(split(substring(in_f, 1, instr(in_f, `as`)), '_')) - 2")
     best = best.withColumn("at", before)
     upto = F.when(F.col("rel_ori") == "F", F.col("at")).otherwise(F.col("at") + F.col("n"))
@@ -100,6 +116,12 @@ def contained(paths: DataFrame, lengths: DataFrame | None = None, k: int = 0, un
     return best.join(sums, "sr", "left").select("sr", "container", "rel_ori", adj.cast("long").alias("adj"))
 
 
+def translate_reduction(reduction: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(sr_id, container_id, rel_ori, adj): a reduction by ids instead of names."""
+    one, two = (ranks.select(F.col("sr").alias(name), F.col("sr_id").alias(f"{name}_id")) for name in ("sr", "container"))
+    return reduction.join(one, "sr").join(two, "container").select("sr_id", "container_id", "rel_ori", "adj")
+
+
 def replace_placements(placements: DataFrame, good: DataFrame, reduction: DataFrame) -> DataFrame:
     """Placements in covering paths that are good, moved into their containers."""
     kept = placements.join(good.select("sr"), "sr", "left_semi").join(reduction, "sr", "left")

@@ -260,3 +260,14 @@ def coverage_stat(unitigs: DataFrame, fragments: DataFrame, utg: str, read_lengt
     gc = unitigs.select(utg, (S.gc_count(F.col("seq")) / (F.length("seq") + 1)).alias("gc_ratio"))
     out = per.crossJoin(F.broadcast(rate)).join(gc, utg, "left")
     return out.select(utg, "rho", "cnt", "gc_ratio", (F.col("rho") * F.col("_rate") - 0.6931471805599453 * F.col("cnt")).alias("astat"))
+
+
+def repeated(df: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
+    """The rows of keys that occur ``least`` times or more."""
+    often = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).drop("_n")
+    return df.join(often, keys, "left_semi")
+
+
+def with_mates_together(df: DataFrame, insert: list[str], end: str = "end") -> DataFrame:
+    """All rows of an insert in one partition, next to each other."""
+    return df.repartition(*insert).sortWithinPartitions(*insert, end)

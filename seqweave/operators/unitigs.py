@@ -9,6 +9,10 @@ from ..functions import sequences as S
 from ..plans.storage import dense_ids, forget, materialize
 
 
+#: Nodes of a chain whose bases are put together at a time.
+BLOCK = 4096
+
+
 def _oriented(counts: DataFrame) -> DataFrame:
     """(node, cnt): both strands of each canonical k-mer."""
     return counts.select(F.explode(F.array_distinct(F.array("kmer", S.revcomp(F.col("kmer"))))).alias("node"), "cnt")
@@ -54,13 +58,19 @@ def compact(counts: DataFrame, k: int, solid: int = 2, low_run: int = 0, least:
     back = follows.select(S.revcomp(F.col("a")).alias("b"), S.revcomp(F.col("next")).alias("p"))
     links = follows.join(back, (F.col("next") == F.col("b")) & (F.col("a") == F.col("p"))).select(F.col("next").alias("node"), F.col("a").alias("prev"))
     placed = chain_heads(materialize(links, "links"), nodes.select("node")).join(nodes.select("node", "solid"), "node")
-    w = Window.partitionBy("head").orderBy("pos")
-    solids = placed.filter("solid").withColumn("_new", F.coalesce((F.col("pos") - F.lag("pos").over(w) > low_run + 1).cast("int"), F.lit(1))).withColumn("part", F.sum("_new").over(w))
-    spans = solids.groupBy("head", "part").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    members = placed.join(spans, "head").filter("pos between lo and hi") if low_run else solids
-    ordered = members.groupBy("head", "part").agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("x"))
-    seq = F.concat(F.col("x")[0]["node"], F.array_join(F.transform(F.slice("x", F.lit(2), F.size("x")), lambda v: F.right(v["node"], F.lit(1))), ""))
-    seqs = ordered.select(S.canonical(seq, largest=True).alias("seq")).distinct().filter(F.length("seq") >= (least or k))
+    if low_run:
+        w = Window.partitionBy("head").orderBy("pos")
+        solids = placed.filter("solid").withColumn("_new", F.coalesce((F.col("pos") - F.lag("pos").over(w) > low_run + 1).cast("int"), F.lit(1))).withColumn("part", F.sum("_new").over(w))
+        spans = solids.groupBy("head", "part").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+        members = placed.join(spans, "head").filter("pos between lo and hi")
+    else:  # all nodes are solid, so a chain is one part from its head on
+        members = placed.withColumn("part", F.lit(1)).withColumn("lo", F.lit(0).cast("long"))
+    # A node adds its last base, the first one all; blocks of a chain are put together, then its blocks.
+    piece = F.when(F.col("pos") == F.col("lo"), F.col("node")).otherwise(F.right("node", F.lit(1)))
+    joined = lambda at, what: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, what))), lambda v: v[what]), "")
+    blocks = members.select("head", "part", "pos", F.floor(F.col("pos") / BLOCK).alias("block"), piece.alias("piece")).groupBy("head", "part", "block").agg(joined("pos", "piece").alias("bases"))
+    whole = blocks.groupBy("head", "part").agg(joined("block", "bases").alias("seq"))
+    seqs = whole.select(S.canonical(F.col("seq"), largest=True).alias("seq")).distinct().filter(F.length("seq") >= (least or k))
     return dense_ids(seqs.withColumn("_n", F.length("seq")), "ku", F.desc("_n"), F.col("seq")).select("ku", "seq")
 
 

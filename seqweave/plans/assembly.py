@@ -9,12 +9,13 @@ from ..operators import kmers, overlaps, paths, reads, unitigs
 from .stages import run_stages
 
 
-def path_stages(source: DataFrame, k: int = 31, solid: int = 2, least_support: int = 2, reduce: bool = True) -> list:
-    """Stages over ``source`` (insert, end, seq): the tables counts, unitigs, matches, placed, good, sequences, reduction, final."""
-    keys = ["insert", "end"]
+def path_stages(source: DataFrame, k: int = 31, solid: int = 2, least_support: int = 2, reduce: bool = True, keys: list[str] | None = None) -> list:
+    """Stages over ``source`` (insert, end, seq): the tables counts, unitigs, matches, placed, good, sequences, reduction,
+    final. ``keys`` are the columns that name a read, the last of them its end."""
+    keys = keys or ["insert", "end"]
 
     def good(_: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
-        return reads.support_counts(t["placed"], "sr", ["insert"], least_support)
+        return reads.support_counts(t["placed"], "sr", keys[:-1], least_support)
 
     def sequences(_: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
         kept = t["placed"].join(t["good"].select("sr"), "sr", "left_semi")

@@ -6,14 +6,15 @@ Rows of ``conversations`` stand in for mate pairs, order lines for placements an
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import sequences as S
-from .operators import gaps, kmers, overlaps, paths, reads, unitigs
-from .plans.storage import dense_ids, materialize
+from .operators import gaps, kmers, overlaps, paths, reads
+from .plans.storage import dense_ids, materialize, shared_dir
 from .sources import sequences as sources
 
 K = 21
@@ -51,14 +52,30 @@ def query(sql: str | None = None):
     return add
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_dir(spark)}/seqweave/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def doc_reads(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    """(doc_id, seq): documents as sequences, dealt over the cores as a file may be one split."""
+    """(doc_id, seq): documents as sequences. Only a table of fewer file splits than cores is dealt out; a large one isn't."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", *more)
-    return docs.repartition(max(spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())).select("doc_id", *more, S.as_sequence(F.col("text")).alias("seq"))
+    cores = spark.sparkContext.defaultParallelism
+    docs = docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    return docs.select("doc_id", *more, S.as_sequence(F.col("text")).alias("seq"))
+
+
+def letters(text: str = "text"):
+    """A text's letters alone as bases, without breaks."""
+    return S.as_sequence(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^A-Za-z]", ""))
+
+
+def _letters_sql(text: str = "text") -> str:
+    return f"translate(regexp_replace(coalesce({text}, ''), '[^A-Za-z]', '', 'g'), '{_LETTERS}', '{'ACGT' * 13}')"
 
 
 def benchmark_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,14 +179,58 @@ def seq_end_slices(spark, sf_dir):
     return gaps.end_slices(doc_reads(spark, sf_dir).withColumnRenamed("doc_id", "ctg"), [100, 500, 1000])
 
 
-@query()
+@query(f"""{_R}, c AS (SELECT doc_id, unnest(string_split(reverse(seq), '')) AS c, generate_subscripts(string_split(reverse(seq), ''), 1) - 1 AS i FROM r), d AS (SELECT doc_id, i, CASE WHEN c = lag(c) OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE -1 END AS up FROM c),
+s AS (SELECT doc_id, i, sum(up) OVER (PARTITION BY doc_id ORDER BY i) AS score FROM d WHERE i > 0), t AS (SELECT doc_id, max(score) AS best FROM s GROUP BY doc_id), b AS (SELECT doc_id, best, min(i) AS cut FROM s JOIN t USING (doc_id) WHERE score = best GROUP BY doc_id, best)
+SELECT doc_id, (length(seq) - CASE WHEN best >= 2 THEN cut ELSE 0 END)::BIGINT AS trimmed_len FROM r LEFT JOIN b USING (doc_id)""")
 def tail_trim(spark, sf_dir):
     return doc_reads(spark, sf_dir).select("doc_id", S.tail_trim_length(F.col("seq")).alias("trimmed_len"))
 
 
-@query(f"{_R}, n AS (SELECT doc_id, seq, row_number() OVER (ORDER BY doc_id) - 1 AS read_no FROM r) SELECT read_no, seq FROM n WHERE NOT regexp_matches(seq, '[^ACGTN]')")
+@query(f"{_R}, n AS (SELECT CASE WHEN doc_id % 3 > 0 THEN translate(seq, '-', 'N') ELSE seq END AS seq, row_number() OVER (ORDER BY doc_id) - 1 AS read_no FROM r) SELECT 'pe' AS lib, read_no, seq FROM n WHERE NOT regexp_matches(seq, '[^ACGTN]')")
 def rename_interleave(spark, sf_dir):
-    return reads.rename_interleaved(doc_reads(spark, sf_dir), "pe", "doc_id").select("read_no", "seq")
+    """Two thirds of the documents have N for what breaks a sequence; the others go where they hold such."""
+    docs = doc_reads(spark, sf_dir).withColumn("seq", F.when(F.col("doc_id") % 3 > 0, F.translate("seq", "-", "N")).otherwise(F.col("seq")))
+    return reads.rename_interleaved(docs, "pe", "doc_id")
+
+
+@query(f"{_R} SELECT doc_id, substr(seq, 6, 21) AS mer, doc_id + 1 - 2 * (doc_id % 2) AS mate FROM r")
+def sub_mers_and_mates(spark, sf_dir):
+    return doc_reads(spark, sf_dir).select("doc_id", S.submer(F.col("seq"), 5, 21).alias("mer"), S.mate_no(F.col("doc_id")).alias("mate"))
+
+
+@query("SELECT CASE WHEN min(ascii(c)) < 64 THEN 33 ELSE 64 END AS phred_offset FROM (SELECT unnest(string_split(props, '')) AS c FROM events) WHERE c <> ''")
+def phred_offset(spark, sf_dir):
+    return kmers.phred_offset(table(spark, sf_dir, "events").withColumnRenamed("props", "qual"))
+
+
+# Tables of k-mers -------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH r AS (SELECT {_seq_sql()} AS seq FROM benchmark), q AS (SELECT seq, 0 AS g FROM r UNION ALL SELECT translate(seq, 'A-', 'NN'), 1 FROM r), runs AS (SELECT g, unnest(regexp_split_to_array(seq, '[^ACGT]+')) AS run FROM q),
+m AS (SELECT g, unnest(list_transform(range(1, length(run) - 3), lambda i: substr(run, i, 5))) AS m FROM runs WHERE length(run) >= 5) SELECT least(m, {_rc('m')}) AS kmer, count(*) FILTER (g = 0) AS cnt, count(*) FILTER (g = 1) AS good FROM m GROUP BY 1""")
+def kmer_quality_filtered(spark, sf_dir):
+    """Qualities by base: that of A, and of what breaks a sequence, is 4, below the least."""
+    source = benchmark_reads(spark, sf_dir).withColumn("qual", F.translate("seq", "ACGT-", "%&IJ#"))
+    return kmers.quality_filtered_counts(source, 5)
+
+
+@query(f"WITH {_kmers_sql('documents', 'doc_id')}, {_kmers_sql('benchmark', 'item_id')}, counts AS (SELECT kmer, count(*) AS cnt FROM kmers_documents GROUP BY kmer) SELECT kmer, coalesce(cnt, 0) AS cnt FROM (SELECT DISTINCT kmer FROM kmers_benchmark) LEFT JOIN counts USING (kmer)")
+def kmer_lookup(spark, sf_dir):
+    return kmers.lookup(_counts(spark, sf_dir), kmers.explode_kmers(benchmark_reads(spark, sf_dir), K, canonical=False))
+
+
+@query(f"WITH {COUNTS_SQL} SELECT kmer, cnt FROM counts WHERE cnt BETWEEN 2 AND 1000")
+def kmer_store(spark, sf_dir):
+    path = new_folder(spark, "counts")
+    kmers.save_counts(_counts(spark, sf_dir), path)
+    return kmers.load_counts(spark, path, 2, 1000)
+
+
+@query(f"WITH {COUNTS_SQL} SELECT kmer || ' ' || cnt AS line FROM counts WHERE cnt BETWEEN 3 AND 200")
+def kmer_dump(spark, sf_dir):
+    path = new_folder(spark, "dump")
+    kmers.dump_kmers(_counts(spark, sf_dir), path, 3, 200)
+    return spark.read.text(path).withColumnRenamed("value", "line")
 
 
 # Mates ----------------------------------------------------------------------------------------------------------------
@@ -192,11 +253,11 @@ def mate_pair_min_length(spark, sf_dir):
     return reads.both_mates(_mates(spark, sf_dir), _INSERT, F.length("seq") >= 64)
 
 
-_PLACED = _MATES + ', p AS (SELECT conv_id, pair, "end", length(seq) % 3 AS sr FROM m)'
+_PLACED = _MATES + ', p AS (SELECT conv_id, pair, "end", length(seq) % 12 AS sr FROM m)'
 
 
 def _placed(spark, sf_dir):
-    return _mates(spark, sf_dir).withColumn("sr", (F.length("seq") % 3).cast("long"))
+    return _mates(spark, sf_dir).withColumn("sr", (F.length("seq") % 12).cast("long"))
 
 
 @query(f"{_PLACED} SELECT conv_id, pair, min(sr) AS sr1, max(sr) AS sr2 FROM p GROUP BY conv_id, pair HAVING count(*) = 2 AND min(sr) <> max(sr)")
@@ -209,9 +270,21 @@ def mate_same_group(spark, sf_dir):
     return reads.joined_inserts(_placed(spark, sf_dir), _INSERT)
 
 
-@query(f"{_PLACED}, l AS (SELECT conv_id, pair, min(sr) AS sr1, max(sr) AS sr2 FROM p GROUP BY conv_id, pair HAVING count(*) = 2 AND min(sr) <> max(sr)) SELECT sr1, sr2, count(*) AS cnt FROM l GROUP BY sr1, sr2")
+@query(f"{_PLACED}, l AS (SELECT conv_id, pair, min(sr) AS sr1, max(sr) AS sr2 FROM p GROUP BY conv_id, pair HAVING count(*) = 2 AND min(sr) <> max(sr)) SELECT sr1, sr2, count(*) AS cnt, string_agg(conv_id || '.' || pair, ',' ORDER BY conv_id, pair) AS inserts FROM l GROUP BY sr1, sr2")
 def mate_unjoined_pairs(spark, sf_dir):
-    return reads.unjoined_pairs(_placed(spark, sf_dir), _INSERT).select("sr1", "sr2", "cnt")
+    found = reads.unjoined_pairs(_placed(spark, sf_dir), _INSERT)
+    return found.withColumn("inserts", F.array_join(F.transform("inserts", lambda x: F.concat_ws(".", x["conv_id"], x["pair"])), ","))
+
+
+@query(f'{_MATES} SELECT m.* FROM m WHERE (conv_id, pair) IN (SELECT conv_id, pair FROM m WHERE length(seq) % 5 = 0)')
+def mates_of_matched(spark, sf_dir):
+    mates = _mates(spark, sf_dir)
+    return gaps.mates_of_matched(mates, mates.filter("length(seq) % 5 = 0"), _INSERT)
+
+
+@query(f"{_MATES} SELECT m.* FROM m WHERE ('0x' || substr(md5('1:' || conv_id || ':' || pair), 1, 8))::BIGINT % 1000000 < 300000")
+def sampled_inserts(spark, sf_dir):
+    return reads.sampled_inserts(_mates(spark, sf_dir), _INSERT, 0.3)
 
 
 _EVENTS = "WITH p AS (SELECT event_id // 2 AS pair, event_id % 2 AS e, event_type AS sr, floor(value * 10)::BIGINT AS off, CASE WHEN user_id % 2 = 0 THEN 'F' ELSE 'R' END AS ori FROM events)"
@@ -231,10 +304,39 @@ def mate_insert_size(spark, sf_dir):
     return reads.insert_sizes(_event_placements(spark, sf_dir), ["pair"], "end", "sr", "off", "ori")
 
 
-@query()
+_JUMPS = """WITH RECURSIVE p AS (SELECT event_id // 2 AS pair, event_id % 2 AS e, event_type AS sr, floor(value)::BIGINT AS off, CASE WHEN user_id % 2 = 0 THEN 'F' ELSE 'R' END AS ori FROM events WHERE event_id % 11 > 0), j AS (SELECT a.pair, a.sr AS s0, a.off AS o0, b.sr AS s1, b.off AS o1 FROM p a JOIN p b ON a.pair = b.pair AND a.e = 0 AND b.e = 1),
+q AS (SELECT pair, CASE WHEN w THEN s1 ELSE s0 END AS sr1, CASE WHEN w THEN s0 ELSE s1 END AS sr2, CASE WHEN w THEN o1 ELSE o0 END AS off1, CASE WHEN w THEN o0 ELSE o1 END AS off2 FROM (SELECT *, s0 > s1 OR (s0 = s1 AND o0 > o1) AS w FROM j)), o AS (SELECT *, row_number() OVER (PARTITION BY sr1, sr2 ORDER BY pair) AS i FROM q),
+w AS (SELECT sr1, sr2, pair, i, false AS redundant, [{'a': off1, 'b': off2}] AS kept FROM o WHERE i = 1 UNION ALL SELECT sr1, sr2, pair, i, redundant, CASE WHEN redundant THEN kept ELSE list_append(kept, {'a': off1, 'b': off2}) END FROM (SELECT o.*, w.kept, len(list_filter(w.kept, lambda x: abs(x.a - o.off1) <= 2 AND abs(x.b - o.off2) <= 2)) > 0 AS redundant FROM w JOIN o ON o.sr1 = w.sr1 AND o.sr2 = w.sr2 AND o.i = w.i + 1))"""
+
+
+def _jumps(spark, sf_dir):
+    """Placements of pairs of events, of which some lack a mate."""
+    return _event_placements(spark, sf_dir).withColumn("off", F.floor(F.col("off") / 10)).filter((F.col("pair") * 2 + F.col("end")) % 11 > 0)
+
+
+@query(f"{_JUMPS} SELECT pair, sr1, sr2, off1, off2, redundant FROM w JOIN q USING (pair, sr1, sr2)")
 def greedy_redundancy(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", F.col("l_quantity").cast("long").alias("off2"), F.dayofyear("l_shipdate").cast("long").alias("off1"), "l_orderkey", "l_linenumber")
-    return reads.greedy_redundancy(lines, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "off1", "off2"], "off1", "off2")
+    """Pairs of events, each event a place on its type's path."""
+    side = lambda e: _jumps(spark, sf_dir).filter(F.col("end") == e).select("pair", F.col("sr").alias(f"sr{e}"), F.col("off").alias(f"off{e}"))
+    return reads.greedy_redundancy(reads.pair_places(side(0).join(side(1), "pair")), ["sr1", "sr2"], ["pair"], "off1", "off2")
+
+
+@query(f"""{_JUMPS}, c AS (SELECT a.pair, CASE WHEN a.ori = 'F' AND b.ori = 'R' THEN a.off - b.off WHEN a.ori = 'R' AND b.ori = 'F' THEN b.off - a.off END AS d FROM p a JOIN p b ON a.pair = b.pair AND a.sr = b.sr AND a.e = 0 AND b.e = 1),
+good AS (SELECT pair FROM w WHERE NOT redundant AND pair NOT IN (SELECT pair FROM c WHERE d > 0 AND d < 700)), s AS (SELECT event_id // 2 AS pair, event_id % 2 AS e, {_seq_sql("event_type || '-' || event_id || event_type")} AS seq FROM events)
+SELECT pair, e AS "end", regexp_replace({_rc('seq')}, '[^ACGTacgt]', 'N', 'g') AS seq FROM s JOIN good USING (pair)""")
+def jump_clean_up(spark, sf_dir):
+    source = table(spark, sf_dir, "events").select(F.expr("event_id div 2").alias("pair"), (F.col("event_id") % 2).alias("end"), S.as_sequence(F.concat("event_type", F.lit("-"), F.col("event_id").cast("string"), "event_type")).alias("seq"))
+    return reads.clean_jumps(source, _jumps(spark, sf_dir), ["pair"])
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE (user_id, event_type) IN (SELECT user_id, event_type FROM events GROUP BY ALL HAVING count(*) >= 15)")
+def repeated_keys(spark, sf_dir):
+    return reads.repeated(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], 15)
+
+
+@query("SELECT source AS lib, count(*) AS n FROM documents GROUP BY source")
+def reads_by_library(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("lib")).agg(F.count(F.lit(1)).alias("n"))
 
 
 # Counts and statistics ------------------------------------------------------------------------------------------------
@@ -250,9 +352,51 @@ def library_mean_stdev(spark, sf_dir):
     return reads.library_stats(table(spark, sf_dir, "events"), "event_type", "value").select("event_type", F.round("mean", 6).alias("mean"), F.round("stdev", 6).alias("stdev"), "n")
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT avg(value) AS m, stddev_pop(value) AS s, count(value) AS n, 0 AS r, true AS go FROM events
+UNION ALL SELECT CASE WHEN n2 IN (n, 0) THEN m ELSE m2 END, CASE WHEN n2 IN (n, 0) THEN s ELSE s2 END, CASE WHEN n2 IN (n, 0) THEN n ELSE n2 END, r + 1, n2 NOT IN (n, 0) FROM (SELECT t.m, t.s, t.n, t.r, avg(value) AS m2, stddev_pop(value) AS s2, count(value) AS n2 FROM t, events WHERE go AND value BETWEEN t.m - 6 * t.s AND t.m + 6 * t.s GROUP BY ALL))
+SELECT round(m, 6) AS mean, round(s, 6) AS stdev, n, r AS rounds FROM t ORDER BY r DESC LIMIT 1""")
 def trimmed_mean_stdev(spark, sf_dir):
-    return reads.trimmed_stats(table(spark, sf_dir, "events"), "value")
+    return reads.trimmed_stats(table(spark, sf_dir, "events"), "value").select(F.round("mean", 6).alias("mean"), F.round("stdev", 6).alias("stdev"), "n", "rounds")
+
+
+@query("""WITH v AS (SELECT event_type AS lib, floor(value)::BIGINT AS size, user_id * 3 AS dist FROM events), g AS (SELECT lib, dist, sum(count(*)) OVER (PARTITION BY lib ORDER BY dist DESC) AS got FROM v GROUP BY lib, dist),
+l AS (SELECT lib, max(dist) FILTER (got >= 400) AS near, max(dist) FILTER (got >= 900) AS far FROM g GROUP BY lib), k AS (SELECT l.*, got AS have FROM l JOIN g ON g.lib = l.lib AND g.dist = l.near WHERE far > 0),
+bad AS (SELECT k.lib FROM v JOIN k ON v.lib = k.lib AND dist >= near AND size > near / 2.0 GROUP BY k.lib, have HAVING count(*) > have * 0.1) SELECT v.lib, size FROM v JOIN k ON v.lib = k.lib AND dist >= far WHERE v.lib NOT IN (SELECT lib FROM bad)""")
+def insert_size_sample(spark, sf_dir):
+    sizes = table(spark, sf_dir, "events").select(F.col("event_type").alias("lib"), F.floor("value").alias("size"), (F.col("user_id") * 3).alias("dist"))
+    return reads.size_sample(sizes, "lib", "size", "dist", 400, 900)
+
+
+@query("SELECT l_partkey, string_agg(l_orderkey || '.' || l_linenumber, ',' ORDER BY l_orderkey || '.' || l_linenumber) AS reads FROM lineitem GROUP BY l_partkey")
+def reads_by_path(spark, sf_dir):
+    placed = table(spark, sf_dir, "lineitem").select("l_partkey", F.concat_ws(".", "l_orderkey", "l_linenumber").alias("read"))
+    return reads.reads_by_path(placed, "l_partkey", "read").select("l_partkey", F.array_join("reads", ",").alias("reads"))
+
+
+@query("WITH c AS (SELECT l_partkey AS sr, count(DISTINCT l_orderkey) AS cnt FROM lineitem GROUP BY 1) SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT sr FROM c WHERE cnt <= 28)")
+def infrequent_removed(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    rare = reads.infrequent(reads.support_counts(lines, "l_partkey", ["l_orderkey"], 1), "l_partkey", 28)
+    return reads.listed(lines, rare, "l_partkey", keep=False)
+
+
+@query("WITH l AS (SELECT event_type AS lib, avg(value) AS mean FROM events GROUP BY 1) SELECT round(sum(mean), 4) AS bases, round(sum(mean) / 12345, 8) AS coverage FROM events JOIN l ON event_type = lib WHERE user_id % 3 = 0")
+def insert_coverage(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumnRenamed("event_type", "lib")
+    found = reads.insert_coverage(events.filter("user_id % 3 = 0"), reads.library_stats(events, "lib", "value"), 12345)
+    return found.select(F.round("bases", 4).alias("bases"), F.round("coverage", 8).alias("coverage"))
+
+
+@query("SELECT event_id, value FROM events WHERE event_type = 'view'")
+def library_slice(spark, sf_dir):
+    return reads.library_slice(table(spark, sf_dir, "events"), "view", "event_type").select("event_id", "value")
+
+
+@query(f"""WITH r AS (SELECT doc_id, {_seq_sql()} AS s FROM documents), p AS (SELECT event_id AS read_no, user_id * 3 AS off, CASE WHEN event_id % 2 = 0 THEN 'F' ELSE 'R' END AS ori, event_id % 500 AS doc_id FROM events), m AS (SELECT *, length(s) AS n, least(greatest(off, 64), length(s)) AS stop FROM p JOIN r USING (doc_id)), x AS (SELECT *, greatest(stop - 300, 0) AS start FROM m),
+y AS (SELECT *, substr(s, start + 1, stop - start) AS back FROM x) SELECT 'ev' AS lib, read_no, CASE WHEN ori = 'F' THEN substr(s, greatest(least(off, n - 64), 0) + 1, 300) ELSE {_rc('back')} END AS seq FROM y""")
+def jump_read_extraction(spark, sf_dir):
+    placed = table(spark, sf_dir, "events").select(F.lit("ev").alias("lib"), F.col("event_id").alias("read_no"), (F.col("event_id") % 500).alias("sr"), (F.col("user_id") * 3).alias("off"), F.when(F.col("event_id") % 2 == 0, "F").otherwise("R").alias("ori"))
+    return reads.jump_reads(placed, doc_reads(spark, sf_dir).withColumnRenamed("doc_id", "sr"), 64, 300)
 
 
 @query("""WITH f AS (SELECT l_partkey AS utg, l_quantity * 60 AS e, 1.0 / l_linenumber AS w FROM lineitem), per AS (SELECT utg, max(e) AS r, sum(w) AS cnt FROM f GROUP BY utg), rho AS (SELECT *, CASE WHEN r - 100 < 0 THEN 1 ELSE r - 100 END AS rho FROM per),
@@ -304,13 +448,13 @@ def set_difference(spark, sf_dir):
 
 # Joins of reads and unitigs -------------------------------------------------------------------------------------------
 
-_LIB = f"""WITH pieces AS (SELECT DISTINCT substr(run, off + 1, 60) AS seq FROM (SELECT run, unnest(range(0, length(run) - 59, 40)) AS off FROM (SELECT unnest(string_split({_seq_sql()}, '-')) AS run FROM benchmark) WHERE length(run) >= 60)),
+_LIB = f"""WITH pieces AS (SELECT DISTINCT substr(run, off + 1, 60) AS seq FROM (SELECT run, unnest(range(0, length(run) - 59, 40)) AS off FROM (SELECT {_letters_sql()} AS run FROM benchmark) WHERE length(run) >= 60)),
 lib AS (SELECT (row_number() OVER (ORDER BY seq) - 1)::BIGINT AS ku, seq FROM pieces)"""
 
 
 def piece_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ku, seq): stretches of 60 bases that follow each other with 20 in common, as in a library of unitigs for k = 21."""
-    runs = benchmark_reads(spark, sf_dir).select(F.explode(S.runs(F.col("seq"))).alias("run")).filter("length(run) >= 60")
+    runs = table(spark, sf_dir, "benchmark").select(letters().alias("run")).filter("length(run) >= 60")
     pieces = runs.select(F.explode(F.transform(F.sequence(F.lit(0), ((F.length("run") - 60) / 40).cast("int")), lambda i: F.substr("run", i * 40 + 1, F.lit(60)))).alias("seq")).distinct()
     return dense_ids(pieces, "ku", "seq").select("ku", "seq")
 
@@ -326,6 +470,13 @@ def overlap_end_join(spark, sf_dir):
     return overlaps.end_overlaps(piece_library(spark, sf_dir), K)
 
 
+@query(f"{_OVERLAPS} SELECT u1, u2, ahg::INT AS ahg, bhg::INT AS bhg, ori FROM ov WHERE u1 IN (0, 5, 6, 7, 40)")
+def overlap_store(spark, sf_dir):
+    path = new_folder(spark, "overlaps")
+    overlaps.save_overlaps(overlaps.end_overlaps(piece_library(spark, sf_dir), K), path)
+    return overlaps.load_overlaps(spark, path, [0, 5, 6, 7, 40])
+
+
 _ULIB = f"""{_LIB}, uk AS (SELECT ku, off, substr(seq, off + 1, 21) AS m FROM (SELECT ku, seq, unnest(range(0, 40)) AS off FROM lib)), one AS (SELECT least(m, {_rc('m')}) AS mer FROM uk GROUP BY 1 HAVING count(*) = 1),
 bad AS (SELECT DISTINCT ku FROM uk WHERE least(m, {_rc('m')}) NOT IN (SELECT mer FROM one)), ul AS (SELECT * FROM lib WHERE ku NOT IN (SELECT ku FROM bad)), uu AS (SELECT ku, off, least(m, {_rc('m')}) AS mer, (m > {_rc('m')})::INT AS f FROM uk WHERE ku NOT IN (SELECT ku FROM bad))"""
 
@@ -428,12 +579,19 @@ def placement_compose(spark, sf_dir):
     return gaps.compose_placements(rd, un, status, placed)
 
 
-@query(f"""WITH {_kmers_sql('documents', 'doc_id')}, {_kmers_sql('benchmark', 'item_id')}, own AS (SELECT DISTINCT item_id, kmer FROM kmers_benchmark), caught AS (SELECT DISTINCT doc_id // 2 AS pair, doc_id % 2 AS e, kmer FROM kmers_documents WHERE kmer IN (SELECT kmer FROM own)),
-freq AS (SELECT kmer FROM caught GROUP BY kmer HAVING count(*) >= 1000), hits AS (SELECT DISTINCT item_id, pair, e FROM caught JOIN own USING (kmer) WHERE kmer NOT IN (SELECT kmer FROM freq))
-SELECT item_id AS gap, pair AS insert, CASE WHEN count(*) = 2 THEN 'B' ELSE 'M' END AS how FROM hits GROUP BY item_id, pair""")
+@query(f"""WITH ends AS (SELECT item_id AS gap, 'F' AS side, left({_seq_sql()}, 100) AS seq FROM benchmark UNION ALL SELECT item_id, 'R', substr({_seq_sql()}, 101) FROM benchmark), rd AS (SELECT doc_id, {_seq_sql()} AS seq FROM documents),
+em AS (SELECT gap, side, unnest(list_transform(range(1, length(seq) - {K - 2}), lambda i: substr(seq, i, {K}))) AS m FROM ends WHERE length(seq) >= {K}), own AS (SELECT DISTINCT gap, side, least(m, {_rc('m')}) AS mer, m <= {_rc('m')} AS f FROM em WHERE NOT contains(m, '-')),
+rm AS (SELECT doc_id, unnest(list_transform(range(1, length(seq) - {K - 2}), lambda i: substr(seq, i, {K}))) AS m FROM rd WHERE length(seq) >= {K}), caught AS (SELECT DISTINCT doc_id // 2 AS pair, doc_id % 2 AS e, least(m, {_rc('m')}) AS mer, m <= {_rc('m')} AS f FROM rm WHERE NOT contains(m, '-') AND least(m, {_rc('m')}) IN (SELECT mer FROM own)),
+freq AS (SELECT mer FROM caught GROUP BY mer HAVING count(DISTINCT (pair, e)) >= 1000), hits AS (SELECT gap, pair, e, (side = 'F') = (caught.f = own.f) AS inward FROM caught JOIN own USING (mer) WHERE mer NOT IN (SELECT mer FROM freq)),
+per AS (SELECT gap, pair, bool_or(e = 0) AS s0, bool_or(e = 1) AS s1, bool_or(inward) AS b FROM hits GROUP BY gap, pair), how AS (SELECT *, CASE WHEN s0 AND s1 THEN 'B' WHEN b THEN 'M' ELSE 'O' END AS how FROM per)
+SELECT gap, pair AS insert, e::INT AS "end", how FROM how, (VALUES (0), (1)) v(e) WHERE how <> 'O' OR (e = 0 AND s0) OR (e = 1 AND s1)""")
 def gap_fishing(spark, sf_dir):
+    """Each item is a gap, its first 100 bases the end F and the others the end R; documents 2n and 2n + 1 are mates."""
     mates = doc_reads(spark, sf_dir).select(F.expr("doc_id div 2").alias("insert"), (F.col("doc_id") % 2).alias("end"), "seq")
-    return gaps.fish_reads(benchmark_reads(spark, sf_dir).withColumnRenamed("item_id", "gap"), mates, K)
+    half = lambda side, s: F.struct(F.lit(side).alias("side"), s.alias("seq"))
+    ends = benchmark_reads(spark, sf_dir).select(F.col("item_id").alias("gap"), F.explode(F.array(half("F", F.left("seq", F.lit(100))), half("R", F.substr("seq", F.lit(101))))).alias("x")).select("gap", "x.*")
+    found = gaps.fish_reads(ends, mates, K)
+    return found.select("gap", "insert", F.col("end").cast("int").alias("end"), "how")
 
 
 @query(f"""{_R}, w AS (SELECT doc_id, seq, length(seq) AS n, unnest(range(0, greatest(ceil((length(seq) - 2047) / 1550.0), 0)::BIGINT + 1)) * 1550 AS off FROM r) SELECT CASE WHEN n <= 2047 THEN doc_id::VARCHAR ELSE doc_id || '.' || off END AS name, substr(seq, off + 1, 2047) AS seq FROM w WHERE length(substr(seq, off + 1, 2047)) >= 64""")
@@ -441,67 +599,5 @@ def fragment_sink_rows(spark, sf_dir):
     return sources.path_fragments(doc_reads(spark, sf_dir).select(F.col("doc_id").cast("string").alias("name"), "seq"))
 
 
-# Graphs (checked against brute force in the tests) ----------------------------------------------------------------------
-
-
-def _benchmark_unitigs(spark, sf_dir):
-    return materialize(unitigs.compact(kmers.count_kmers(benchmark_reads(spark, sf_dir), K), K, solid=1), "unitigs")
-
-
-@query()
-def unitig_compaction(spark, sf_dir):
-    return _benchmark_unitigs(spark, sf_dir)
-
-
-@query()
-def spur_removal(spark, sf_dir):
-    u = _benchmark_unitigs(spark, sf_dir)
-    return unitigs.kill_spurs(overlaps.adjacency(overlaps.end_overlaps(u, K), u), u, K, 30)
-
-
-@query()
-def unique_merge_report(spark, sf_dir):
-    u = _benchmark_unitigs(spark, sf_dir)
-    adjacent = materialize(overlaps.adjacency(overlaps.end_overlaps(u, K), u), "adjacent")
-    return unitigs.unique_joins(adjacent, unitigs.kill_spurs(adjacent, u, K, 30))
-
-
-def _covering_paths(spark, sf_dir):
-    u = _benchmark_unitigs(spark, sf_dir)
-    source = benchmark_reads(spark, sf_dir).select("item_id", F.posexplode(S.runs(F.col("seq"))).alias("nth_run", "seq"))
-    m = overlaps.read_matches(source, u, K, "item_id", "nth_run")
-    return u, materialize(paths.read_paths(m, u, K, "item_id", "nth_run"), "placed")
-
-
-@query()
-def path_placements(spark, sf_dir):
-    u, placed = _covering_paths(spark, sf_dir)
-    seqs = paths.path_sequences(placed, u, K)
-    return paths.replace_placements(placed.select("item_id", "nth_run", "sr", "off", "ori"), seqs, paths.contained(placed, paths.path_lengths(placed.select("sr", "path").distinct(), u, K), K, u))
-
-
-@query()
-def chain_merge(spark, sf_dir):
-    return paths.merge_chains(_covering_paths(spark, sf_dir)[1])
-
-
-@query()
-def mate_path_join(spark, sf_dir):
-    u, placed = _covering_paths(spark, sf_dir)
-    adjacent = materialize(overlaps.adjacency(overlaps.end_overlaps(u, K), u), "adjacent")
-    lengths = u.select(F.col("ku").alias("_ku"), F.length("seq").cast("long").alias("len"))
-    w = Window.partitionBy("item_id").orderBy("nth_run")
-    pairs = placed.withColumn("other", F.lead("path").over(w)).filter("other is not null")
-    pairs = pairs.select(F.concat_ws("/", "item_id", "nth_run").alias("insert"), F.col("path").alias("even"), S.reverse_path(F.col("other")).alias("odd"), F.lit(0).alias("before"), F.lit(0).alias("after"), F.lit(300.0).alias("mean"), F.lit(30.0).alias("stdev"))
-    pairs = pairs.join(lengths, F.col("even")[0]["ku"] == F.col("_ku")).drop("_ku")
-    return paths.join_mates(pairs, adjacent, K).select("insert", "outcome", S.name_of_path(F.col("path")).alias("sr"))
-
-
-@query()
-def gap_k_search(spark, sf_dir):
-    """Each item's first and last 40 bases of its longest stretch are the ends of a gap; the items' stretches are the reads."""
-    runs = benchmark_reads(spark, sf_dir).select("item_id", F.explode(S.runs(F.col("seq"))).alias("seq")).filter("length(seq) >= 120")
-    g = runs.groupBy(F.col("item_id").alias("gap")).agg(F.max_by("seq", F.struct(F.length("seq"), F.col("seq"))).alias("s")).select("gap", F.left("s", F.lit(40)).alias("left_seq"), F.right("s", F.lit(40)).alias("right_seq"))
-    mates = runs.select(F.xxhash64("item_id", "seq").alias("insert"), F.lit(0).alias("end"), "seq")
-    ends = g.select("gap", F.explode(F.array("left_seq", "right_seq")).alias("seq"))
-    return gaps.close_gaps(g, gaps.fish_reads(ends, mates, K), mates)
+# The queries of graphs and of files are in modules of their own.
+from . import registry_files, registry_graphs  # noqa: E402, F401

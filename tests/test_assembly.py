@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from seqweave.functions import sequences as S
 from seqweave.operators import kmers, overlaps, paths, unitigs
+from seqweave.plans import closing, whole
 from seqweave.plans.assembly import covering_paths
+from seqweave.plans.stages import Config
 
 K = 11
 
@@ -163,3 +165,39 @@ def test_whole_plan(spark, tmp_path):
     before = (tmp_path / "unitigs" / "_SUCCESS").stat().st_mtime_ns
     again = covering_paths(spark, df, str(tmp_path), 21, stop_after="matches")
     assert set(again) == {"counts", "unitigs", "matches"} and (tmp_path / "unitigs" / "_SUCCESS").stat().st_mtime_ns == before
+
+
+def test_gaps_closed_together(spark):
+    """The larger k closes what reads cover well, the smaller one a gap where reads overlap by less; a hole stays."""
+    g, h, other = brute.genome(500, 81), brute.genome(500, 82), brute.genome(400, 83)
+    starts = {0: range(100, 360, 12), 1: [*range(100, 186, 12), 215, 245, 275, 305, 335, 360]}
+    rows = [(brute.rc(s) if i % 2 else s,) for seq, at in ((g, starts[0]), (h, starts[1])) for i, a in enumerate(at) for s in [seq[a : a + 60]]]
+    source = spark.createDataFrame(rows, "seq string")
+    df = spark.createDataFrame([("g", g[120:180], g[320:380]), ("h", h[120:180], h[320:380]), ("x", other[:60], other[300:360])], "gap string, left_seq string, right_seq string")
+    got = {r["gap"]: (r["k"], r["seq"]) for r in closing.close_globally(df, source, [23, 41], 260, 30).collect()}
+    assert got == {"g": (41, g[120:380]), "h": (23, h[120:380])}
+
+
+def test_whole_plan(spark, tmp_path):
+    """From files and a configuration to messages; interrupted and taken up again."""
+    g = brute.genome(900, 91)
+    rng = random.Random(5)
+    pairs = [(g[a : a + 80], brute.rc(g[a + 120 : a + 200])) for a in (rng.randint(0, 700) for _ in range(160))]
+    (tmp_path / "a.fa").write_text("".join(f">x{i}\n{s}\n" for i, (s, _) in enumerate(pairs)))
+    (tmp_path / "b.fq").write_text("".join(f"@x{i}\n{s}\n+\n{'I' * len(s)}\n" for i, (_, s) in enumerate(pairs)))
+    jumps = [x for a in (rng.randint(0, 500) for _ in range(30)) for x in (brute.rc(g[a : a + 70]), g[a + 300 : a + 370])]
+    (tmp_path / "c.fa").write_text("".join(f">y{i}\n{s}\n" for i, s in enumerate(jumps)))
+    config = Config.parse(f"DATA\nPE = pe 200 20 {tmp_path}/a.fa {tmp_path}/b.fq\nJUMP = sh 370 30 {tmp_path}/c.fa\nEND\nPARAMETERS\nGRAPH_KMER_SIZE = 31\nEND")
+    assert set(whole.whole_plan(spark, config, str(tmp_path / "w"), stop_after="jumping")) == {"paired", "jumping"}
+    t = whole.whole_plan(spark, config, str(tmp_path / "w"))
+    assert t["paired"].count() == 320 and t["jumping"].count() == 60
+    both = {(r["insert"], r["end"]): r["seq"] for r in t["paired"].collect()}
+    assert [(both[i, 0], both[i, 1]) for i in range(160)] == pairs
+    assert t["cleaned"].count() % 2 == 0 and t["cleaned"].count() <= 60
+    assert all(s in g or brute.rc(s) in g for s in [r["seq"] for r in t["sequences"].collect()])
+    kinds = {r["lib"] for r in t["messages"].collect()}
+    assert {"paths", "pe", "sh"} >= kinds >= {"paths", "sh"}
+    layout = spark.createDataFrame([("a", "s", 0, 300, "f"), ("b", "s", 400, 900, "f")], "ctg string, scf string, begin long, end long, ori string")
+    contigs = spark.createDataFrame([("a", g[:300]), ("b", g[400:])], "ctg string, seq string")
+    merged, places, scaffolds = whole.close_scaffolds(layout, contigs, t["paired"].select("insert", "end", "seq"), [31, 33], end_bases=60)
+    assert merged.first()["seq"] == g == scaffolds.first()["seq"] and tuple(places.first()) == ("af_bf", "s", 0, 900, "f")
