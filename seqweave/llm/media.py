@@ -142,7 +142,8 @@ def as_payload(text: str | None, unit: int = WIDTH) -> bytes:
 
 
 def media_column(text: Column) -> Column:
-    """Each text's bytes, filled up with zeros to a positive multiple of 64, as a PNG image. Null counts as empty."""
+    """Each text's bytes, filled up with zeros to a positive multiple of 64, as a PNG image. Null and empty texts give the
+    same image, repeated rows equal ones, an empty table no rows; texts of any length are one image."""
 
     @F.pandas_udf("binary")
     def of(texts: pd.Series) -> pd.Series:
@@ -155,7 +156,8 @@ FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_by
 
 
 def features_column(media: Column) -> Column:
-    """A struct of what is read back from each image: ``FEATURES``. Null gives null; a broken image raises."""
+    """A struct of what is read back from each image: ``FEATURES``. Null gives null, repeated rows equal
+    structs, an empty table no rows; a broken image raises."""
 
     @F.pandas_udf(FEATURES)
     def of(images: pd.Series) -> pd.DataFrame:

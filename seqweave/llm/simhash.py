@@ -320,10 +320,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
 
 #: Bits of a band at least, and differing bits of all 64 * WORDS up to which wide fingerprints are compared. At a share s
 #: of common shingles a bit differs with probability arccos(2 s / (1 + s)) / pi: at 0.8 in 77 of 512 bits, give or take 8.
-BAND_BITS, WIDE_BITS = 14, 96
+BAND_BITS, WIDE_BITS = 14, 104
 #: Fingerprints that a bucket holds on average at most (bands get wider with the corpus), share of pairs at 0.8 that agree in
 #: some band, and fingerprints of a bucket that a task holds.
-BAND_ROWS, AGREE, HOT = 1 << 12, 0.98, 1 << 16
+BAND_ROWS, AGREE, HOT = 1 << 12, 0.995, 1 << 16
 #: Nearer bounds, whose links come first: within the first, texts are alike beyond doubt (0.8 lies over three deviations off).
 NEARER = (48, 72)
 #: Share of common shingles from which texts count as near duplicates.

@@ -332,7 +332,7 @@ def test_recall_by_similarity_and_in_chains(spark):
         if s >= 0.8:
             bins["short" if len(sets[i]) < 10 else min(int(s * 20), 19)].append(got[i] == got[j])
     found = {b: sum(x) / len(x) for b, x in bins.items()}
-    assert found["short"] >= 0.98 and found[16] >= 0.95 and all(s >= 0.98 for b, s in found.items() if b != 16), found
+    assert found["short"] >= 0.98 and found[16] >= 0.98 and all(s >= 0.98 for b, s in found.items() if b != 16), found
 
 
 def test_wider_bands_find_as_many():
@@ -341,7 +341,7 @@ def test_wider_bands_find_as_many():
     assert [p.shape[1] for p in plans] == [14, 14, 18, 25]
     flips = rng.rand(3000, 64 * simhash.WORDS) < 0.1476
     for plan in plans[:3]:
-        assert (~flips[:, plan].any(axis=2)).any(axis=1).mean() > 0.96
+        assert (~flips[:, plan].any(axis=2)).any(axis=1).mean() > 0.985
 
 
 def test_one_of_each(spark):
