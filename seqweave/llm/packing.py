@@ -41,12 +41,12 @@ class WordTokenizer:
     case or white space depend on more than one character are encoded as they are.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = WORDS):
         import json
 
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         with open(path, encoding="utf-8") as f:
             suffix = json.load(f)["model"]["end_of_word_suffix"]
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(self.tokenizer.get_vocab_size())])
@@ -94,7 +94,7 @@ class WordTokenizer:
             return self._encode(text)
         words = text.lower().split()
         if new := set(words).difference(self.ids):
-            if len(self.ids) > WORDS:
+            if len(self.ids) > self.most:
                 self.forget()
                 new = set(words).difference(self.ids)
             self.learn(new)
@@ -102,9 +102,9 @@ class WordTokenizer:
 
 
 @cache
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, words: int = WORDS) -> WordTokenizer:
     """One for each worker process, so that tasks after the first find their words known."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, words)
 
 
 class Packer:
@@ -186,7 +186,7 @@ class Packer:
 SCHEMA = "key string, start long, length long, ids_crc32 long, ids binary, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 
-def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", prompt: str | None = None, tokens: int = SEQUENCE, segments: int = SEGMENTS, losses: int = LOSSES, context: float = CONTEXT, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "doc_id", prompt: str | None = None, tokens: int = SEQUENCE, segments: int = SEGMENTS, losses: int = LOSSES, context: float = CONTEXT, window: int = WINDOW, with_ids: bool = True, words: int = WORDS) -> DataFrame:
     """One row for each piece: (key, start, length, ids_crc32, ids, doc_tokens, sequence_id, offset, loss_tokens).
 
     A document's ids are those of its text (null: empty) and ``END``. ``prompt`` names a column of texts whose ids go
@@ -194,12 +194,12 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", key: str = "d
     ``END`` never does. ``tokens``, ``segments`` and ``losses`` limit each sequence. Every id is in exactly one piece, and
     a sequence has ``tokens`` ids or a power of two. ``sequence_id`` is the task's partition times 2**40 plus a count. A
     document longer than a sequence is cut; rows with null or repeated keys are packed each for itself; an empty table
-    gives no rows. ``with_ids`` leaves the ids themselves out if false.
+    gives no rows. ``with_ids`` leaves the ids themselves out if false; ``words`` bounds those whose ids a worker keeps.
     """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(tokenizer_path)
+        tok = tokenizer(tokenizer_path, words)
         packer = Packer(TaskContext.get().partitionId() << 40, tokens, segments, losses, window)
         end = array("I", [END]).tobytes()
         ready: list[tuple] = []
