@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from seqweave.llm import mix, packing, pii, queries, simhash
 from seqweave.llm.common import materialize, small
 
+#: Words whose ids a worker keeps while packing; fewer than alone, as the stages before leave the executors' heaps grown.
+WORDS = 450_000
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -49,7 +52,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences. Null texts count as empty, rows with null or repeated keys are packed each
     for itself, an empty table gives no rows."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False, words=WORDS)
 
 
 STAGES = [("language_id", language), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixing), ("packing", packed)]
