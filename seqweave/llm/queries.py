@@ -27,9 +27,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text stored as an image, read back and described."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), media.media_column(F.col("text")).alias("media"))
-    return docs.select("doc_id", "n_bytes", media.features_column(F.col("media")).alias("x")).select("doc_id", "n_bytes", "x.*")
+    """Every text stored as an image in a table's binary column, read back from there and described."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    stored = materialize(read(spark, sf_dir, "documents").select("doc_id", size, media.media_column(F.col("text")).alias("media")), "media")
+    return stored.select("doc_id", "n_bytes", media.features_column(F.col("media")).alias("x")).select("doc_id", "n_bytes", "x.*")
 
 
 def op4_lzprint(spark: SparkSession, sf_dir: str) -> DataFrame:
