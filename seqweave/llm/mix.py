@@ -92,7 +92,10 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: str
     thin or written.
     """
     names = {"source_size", "target", "taken", "shard", "epochs", "cut_from", "cut_words", "head_words"}
-    docs = docs.select(*(c for c in docs.columns if c not in names))
+    # Whole rows travel as one column, so that none of theirs is taken for one of these.
+    told = F.lit(None).cast("string") if content is None else F.col(content)
+    docs = docs.select(F.struct(*(c for c in docs.columns if c not in names)).alias("_row"), F.col(key).alias("key"), F.col(source).alias("source"), F.col(size).alias("size"), told.alias("content"))
+    key, source, size, content = "key", "source", "size", None if content is None else "content"
     sources = source_targets(docs.select(F.col(source).alias("_source"), F.col(size).alias("_size")), "_source", "_size", weights, share, most)
     sources = sources.withColumn("blocks", F.sum(F.round(F.col("target") / block)).over(Window.partitionBy(F.lit(0))).cast("long"))
     sources = sainte_lague(sources, [], ["nth"], "target", "blocks").withColumnRenamed("won", "source_blocks")
@@ -132,7 +135,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: str
     head = F.greatest(F.least(end, stop - F.col("words")) - begin, F.lit(0))
     laid = laid.withColumn("epochs", F.when(F.col(size) > 0, F.col("turns")).otherwise(F.lit(0))).withColumn("cut_words", cut).withColumn("cut_from", F.when(cut > 0, cut_from - begin).otherwise(F.lit(0))).withColumn("head_words", head)
     laid = laid.withColumn("taken", F.col("epochs") * F.col(size) + F.col("cut_words") + F.col("head_words"))
-    return laid.select(*docs.columns, "source_size", "target", "taken", "shard", "epochs", "cut_from", "cut_words", "head_words")
+    return laid.select("_row.*", "source_size", "target", "taken", "shard", "epochs", "cut_from", "cut_words", "head_words")
 
 
 def mixed_texts(mixed: DataFrame, text: str = "text", size: str = "size") -> DataFrame:

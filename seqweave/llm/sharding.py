@@ -57,12 +57,12 @@ def shuffle_into_shards(records: DataFrame, key: str, size: str, shards: int = S
         buckets += int(more)
     # Each bucket is a partition of its own, so the generator, which a partition's number seeds, starts anew for it.
     gathered = dealt.repartitionById(buckets, F.col("_bucket")).groupBy("_bucket").agg(F.sort_array(F.collect_list(F.struct(*(c for c in dealt.columns if c != "_bucket")))).alias("rows"))
-    shuffled = gathered.select("_bucket", F.posexplode(F.shuffle("rows", seed)).alias("at", "row"))
-    shuffled = materialize(shuffled.select("_bucket", F.col("at").cast("long").alias("at"), "row.*"), "shuffled", ("shard",))
+    shuffled = gathered.select("_bucket", F.posexplode(F.shuffle("rows", seed)).alias("_at", "_row"))
+    shuffled = materialize(shuffled.select("_bucket", F.col("_at").cast("long").alias("_at"), "_row.*"), "shuffled", ("shard",))
     counts = shuffled.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = materialize(counts.select(F.col("_bucket").alias("_b"), before.alias("before")), "offsets")
-    out = shuffled.join(small(offsets), F.col("_bucket") == F.col("_b")).withColumn("slot", F.col("before") + F.col("at"))
+    offsets = materialize(counts.select(F.col("_bucket").alias("_b"), before.alias("_before")), "offsets")
+    out = shuffled.join(small(offsets), F.col("_bucket") == F.col("_b")).withColumn("slot", F.col("_before") + F.col("_at"))
     return out.select(*records.columns, "shard", "slot", "grown_shard")
 
 

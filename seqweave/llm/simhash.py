@@ -575,17 +575,18 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     first = materialize(first, "firsts")
     stay = (F.col("key").eqNullSafe(F.col("_key"))) & (F.col("hash") == F.col("_hash"))
     gone = rows.select(F.col("key").alias("_key"), F.col("hash").alias("_hash"), "root").join(first.filter("n > 1"), "root").filter(~stay).select("_key", "_hash").distinct()
-    hashed = docs.withColumn("_of", F.xxhash64(F.coalesce(text, F.lit(""))))
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_of") == F.col("_hash"))
+    # Whole rows travel as one column, so that none of theirs is taken for one of these.
+    hashed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_of"))
+    same = F.col("_doc").eqNullSafe(F.col("_key")) & (F.col("_of") == F.col("_hash"))
     kept = hashed.join(gone, same, "left_anti")
     # Rows alike in key and text would all stay: one of them does.
     twice = materialize(rows.groupBy("key", "hash").count().filter("count > 1").select(F.col("key").alias("_key"), F.col("hash").alias("_hash")), "repeated")
     if not twice.isEmpty():
-        others = [c for c in docs.columns if c not in {text, key}]
-        w = Window.partitionBy(key, "_of").orderBy(*others, text)
+        others = [F.col("_row").getField(c) for c in docs.columns if c not in {text, key}]
+        w = Window.partitionBy("_doc", "_of").orderBy(*others, F.col("_row").getField(text))
         firsts = kept.join(twice, same, "left_semi").withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
         kept = kept.join(twice, same, "left_anti").unionByName(firsts)
-    return kept.select(docs.columns)
+    return kept.select("_row.*")
 
 
 def hex_of(fp: Column) -> Column:

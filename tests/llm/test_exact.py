@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from seqweave.llm import licenses, lzprint, media, mix, packing, queries, sharding, simhash, urltree
+from seqweave.llm import licenses, lzprint, media, mix, packing, pii, queries, sharding, simhash, urltree
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -368,6 +368,23 @@ def test_alike_links():
     assert united(80, same + [(place[a], place[b]) for a, b in got]) == united(80, same + want)
 
 
+def test_clashing_columns(spark, docs, rows):
+    """Columns that are named like those an operator works with come through, and change nothing."""
+    names = ["id", "hash", "key", "fp", "class", "root", "words", "first", "part", "at", "before", "row", "shards", "nth", "n", "content", "host", "raw", "label", "kind", "norm", "count", "_of", "_row", "_at"]
+    more = docs.select("*", *(F.lit(f"clash of {c}").alias(c) for c in names))
+    same = lambda df: df.filter(" or ".join(f"`{c}` <> 'clash of {c}'" for c in names)).count() == 0
+    kept = simhash.one_of_each(more).cache()
+    assert same(kept) and kept.count() == simhash.one_of_each(docs).count()
+    sized = more.withColumn("size", mix.words_of(F.col("text")))
+    mixed = mix.mix(sized).cache()
+    assert same(mixed) and mixed.agg(F.sum("taken")).first() == mix.mix(docs.withColumn("size", mix.words_of(F.col("text")))).agg(F.sum("taken")).first()
+    sharded = sharding.shuffle_into_shards(sized.drop("_row", "_at"), "doc_id", "size", 3)
+    assert sharded.count() == len(rows) and sharded.filter("`at` <> 'clash of at'").count() == 0
+    assert licenses.scan_licenses(more).count() == lzprint.fingerprint_with_next(more).count() == packing.pack(more, VOCABULARY).select("doc_id", "start", "doc_tokens").filter("start = 0").count() == len(rows)
+    private = pii.replace_pii(more, key="k")
+    assert same(private) and private.columns == [*more.columns, "n_entities"]
+
+
 # Media ----------------------------------------------------------------------------------------------------------------
 
 
