@@ -88,3 +88,11 @@ def fragment_dump_scan(spark, sf_dir):
     io.write_fasta(seqs.filter("item_id % 2 = 0").withColumn("name", name), f"{path}/fasta")
     seqs.filter("item_id % 2 = 1").select(F.concat(F.lit("fragmentIdent           = "), name, F.lit("\nfragmentLibrary = 1\nfragmentSequence        = "), "seq").alias("value")).write.text(f"{path}/dump")
     return io.read_fragment_dump(spark, f"{path}/fasta").unionByName(io.read_fragment_dump(spark, f"{path}/dump"))
+
+
+@query(f"WITH s AS (SELECT item_id, {_letters_sql()} AS seq FROM benchmark) SELECT 'q' || item_id AS name, seq, translate(seq, 'ACGT', '@+I!') AS qual FROM s")
+def fastq_by_lines(spark, sf_dir):
+    path = new_folder(spark, "fastq")
+    seqs = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("@q"), F.col("item_id").cast("string")).alias("name"), letters().alias("seq"))
+    seqs.select(F.concat_ws("\n", "name", "seq", F.lit("+"), F.translate("seq", "ACGT", "@+I!")).alias("value")).write.text(path)
+    return io.read_fastq_lines(spark, path)

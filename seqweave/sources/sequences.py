@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from ..plans.storage import materialize, small
 
 
 def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -45,7 +46,8 @@ def parse_fastq(text: str) -> Iterator[tuple[str, str, str]]:
 
 
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(name, seq, qual). A file is one task, as records can't be told apart from inside; use many files."""
+    """(name, seq, qual) of records that may span lines. A file is one task, as these can't be told apart from inside; use
+    many files, or ``read_fastq_lines``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -56,6 +58,23 @@ def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths, wholetext=True).mapInPandas(run, "name string, seq string, qual string")
 
 
+def read_fastq_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(name, seq, qual) of files whose records have four lines each. Files are split: lines are numbered within their split,
+    and splits by the lines before them, so a large file is as many tasks as it has splits. Compressed files are one split.
+    A header that isn't @, or lengths that differ, fail the query."""
+    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at"))
+    text = materialize(text.filter(F.trim("value") != ""), "lines")
+    sizes = materialize(text.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")), "splits")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+    lines = text.withColumn("nth", nth).join(small(sizes.select("file", "block", before.alias("before"))), ["file", "block"]).withColumn("nth", F.col("nth") + F.col("before"))
+    line = lambda i: F.max(F.when(F.col("nth") % 4 == i, F.regexp_replace("value", "\r$", "")))
+    records = lines.groupBy("file", F.expr("nth div 4").alias("record")).agg(line(0).alias("name"), line(1).alias("seq"), line(2).alias("plus"), line(3).alias("qual"))
+    good = F.coalesce(F.col("name").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual")), F.lit(False))
+    checked = F.when(good, F.substr("name", F.lit(2))).otherwise(F.raise_error(F.concat(F.lit("not a record of four lines: "), F.coalesce("name", F.lit("")))))
+    return records.select(checked.alias("name"), "seq", "qual")
+
+
 def read_sequences(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(name, seq, qual) of FASTA and FASTQ files, told apart by their first byte; ValueError for others."""
     fasta, fastq = [], []

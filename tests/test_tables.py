@@ -34,6 +34,27 @@ def test_fastq(spark, tmp_path):
         io.read_sequences(spark, [str(tmp_path / "z")])
 
 
+def test_fastq_by_lines(spark, tmp_path):
+    """Records of four lines, over files cut into many splits."""
+    rng = random.Random(6)
+    want = []
+    (tmp_path / "q").mkdir()
+    for f in range(3):
+        rows = [(f"r{f}.{i} x", brute.genome(n, 1000 * f + i), "".join(rng.choice("@+I!") for _ in range(n))) for i in range(150) for n in [rng.randint(1, 80)]]
+        (tmp_path / "q" / f"{f}.fq").write_text("".join(f"@{n}\n{s}\n+\n{q}\n" for n, s, q in rows))
+        want += rows
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = sorted(tuple(r) for r in io.read_fastq_lines(spark, str(tmp_path / "q")).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted(want) == sorted(tuple(r) for r in io.read_fastq(spark, str(tmp_path / "q")).collect())
+    (tmp_path / "bad.fq").write_text("@a\nACG\n+\nII\n")
+    with pytest.raises(Exception, match="not a record of four lines"):
+        io.read_fastq_lines(spark, str(tmp_path / "bad.fq")).collect()
+
+
 def test_messages_and_fragments(spark, tmp_path):
     (tmp_path / "m.asm").write_text("{MDI\nref:1\n}\n{UTG\nacc:(7,1)\nsta:S\n}\n{UTG\nacc:(8,2)\nsta:U\n}\n")
     got = io.read_messages(spark, str(tmp_path / "m.asm"), "UTG", id="acc", status="sta")
