@@ -3,14 +3,17 @@
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from seqweave.llm import langid, pii, queries, simhash
+from seqweave.llm import langid, pii, queries
 
 SYLLABLES = {"en": "th er on an in ed re the and ing".split(), "fr": "ou eau que é ai oi ment le ré".split(), "de": "ch sch ei ung en ü ß und der".split()}
 
@@ -330,23 +333,62 @@ def test_surrogates_of_edge_cases(spark, docs, none, folder):
 # Pipeline -------------------------------------------------------------------------------------------------------------
 
 
+def plain_single(rows):
+    """(doc_id, text) of one row of each component of texts that share four fifths of their shingles, by comparing all."""
+    words = [[w.decode() for w in (r["text"] or "").encode().lower().split()] for r in rows]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j in range(len(rows)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[find(j)] = find(i)
+    first = {}
+    for i, r in enumerate(rows):
+        rank = (r["doc_id"] is None, r["doc_id"] or 0, np.uint64(xxhash.xxh64_intdigest((r["text"] or "").encode(), 42)).view(np.int64))
+        first[find(i)] = min(first.get(find(i), (rank, r["doc_id"], r["text"])), (rank, r["doc_id"], r["text"]))
+    return sorted(repr(x[1:]) for x in first.values())
+
+
 def test_pipeline(spark, docs, rows, folder):
+    """Each stage on what the one before it kept, held against plain versions."""
     sf_dir = str(folder / "all")
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["language_id", "near_duplicates", "personal_data", "mixing", "packing"]
     now = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = stages["language_id"](spark, now, sf_dir).collect()
     letters = [r for r in rows if re.search(r"[^\W\d_]", r[1] or "")]
-    assert len(kept) == len(letters)
+    assert sorted(repr(tuple(r)) for r in kept) == sorted(map(repr, letters))
     now = spark.createDataFrame(kept, now.schema)
     single = stages["near_duplicates"](spark, now, sf_dir).collect()
-    component = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(now).collect()}
-    assert sorted(r["doc_id"] for r in single if r["doc_id"] is not None) == sorted(set(component.values()) - {None})
+    assert sorted(repr((r["doc_id"], r["text"])) for r in single) == plain_single(kept)
     now = spark.createDataFrame(single, now.schema)
-    private = stages["personal_data"](spark, now, sf_dir)
-    assert private.columns == corpus_pipeline.COLUMNS and private.count() == len(single)
-    mixed = stages["mixing"](spark, private, sf_dir)
+    spark.conf.set(pii.KEY_SETTING, "k")
+    try:
+        private = stages["personal_data"](spark, now, sf_dir)
+        assert private.columns == corpus_pipeline.COLUMNS
+        want = {(r["doc_id"], r["text"]): (pii.rewrite(r["text"], {}, set(), "k")[0] if r["text"] else r["text"]) for r in single}
+        got = {(r["doc_id"], r["text"]) for r in private.collect()}
+        assert got == {(d, t) for (d, _), t in want.items()}
+        mixed = stages["mixing"](spark, private, sf_dir).cache()
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
     assert mixed.columns == corpus_pipeline.COLUMNS and mixed.filter("n_chars <> length(text)").count() == 0
-    assert stages["packing"](spark, mixed, sf_dir).agg(F.sum("length")).first()[0] > 0
+    n_words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    total = sum(n_words(t) for _, t in got)
+    out = mixed.collect()
+    assert abs(sum(n_words(r["text"]) for r in out) - 1.5 * total) <= 4 and total > 0
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    packed = stages["packing"](spark, mixed, sf_dir).collect()
+    assert sum(r["length"] for r in packed) == sum(len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in out)
+    per = Counter()
+    for r in packed:
+        per[r["sequence_id"]] += r["length"]
+    assert all(n <= 2048 and n & (n - 1) == 0 for n in per.values())
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     assert corpus_pipeline.run(spark, str(folder / "none")).count() == 0
