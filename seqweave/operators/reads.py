@@ -271,3 +271,8 @@ def repeated(df: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
 def with_mates_together(df: DataFrame, insert: list[str], end: str = "end") -> DataFrame:
     """All rows of an insert in one partition, next to each other."""
     return df.repartition(*insert).sortWithinPartitions(*insert, end)
+
+
+def head_sample(df: DataFrame, n: int, *order) -> DataFrame:
+    """The first ``n`` rows in an order, for estimates."""
+    return df.orderBy(*order).limit(n)

@@ -16,16 +16,22 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def run_stages(spark: SparkSession, folder: str, stages: list[tuple[str, Stage]], stop_after: str | None = None, rerun: str | None = None, least_rows: dict[str, int] | None = None) -> dict[str, DataFrame]:
+def run_stages(spark: SparkSession, folder: str, stages: list[tuple[str, Stage]], stop_after: str | None = None, rerun: str | None = None, least_rows: dict[str, int] | None = None, piped: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """Run the stages in order and return their tables.
 
     A stage whose table was written completely is read, until the first that wasn't (or ``rerun``): from there on all are
-    run again. A stage with fewer rows than ``least_rows`` asks for fails.
+    run again. A stage with fewer rows than ``least_rows`` asks for fails. Those named in ``piped`` aren't written but
+    computed within the stages that read them: less disk, more work where several do.
     """
     done: dict[str, DataFrame] = {}
     fresh = False
     for name, stage in stages:
         path = f"{folder}/{name}"
+        if name in piped:
+            done[name] = stage(spark, done)
+            if name == stop_after:
+                break
+            continue
         fresh = fresh or name == rerun or not _exists(spark, f"{path}/_SUCCESS")
         if fresh:
             stage(spark, done).write.mode("overwrite").parquet(path)

@@ -339,6 +339,19 @@ def reads_by_library(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("lib")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"{_MATES} SELECT DISTINCT conv_id, pair, 1 AS partitions FROM m")
+def mates_together(spark, sf_dir):
+    """In how many partitions the reads of each insert are."""
+    rows = reads.with_mates_together(_mates(spark, sf_dir), _INSERT).withColumn("part", F.spark_partition_id())
+    return materialize(rows.select(*_INSERT, "part"), "parts").groupBy(*_INSERT).agg(F.count_distinct("part").cast("int").alias("partitions"))
+
+
+@query("SELECT round(avg(length(text)), 6) AS average FROM (SELECT text FROM documents ORDER BY doc_id LIMIT 100)")
+def head_average_length(spark, sf_dir):
+    head = reads.head_sample(table(spark, sf_dir, "documents").select("doc_id", "text"), 100, "doc_id")
+    return head.agg(F.round(F.avg(F.length("text")), 6).alias("average"))
+
+
 # Counts and statistics ------------------------------------------------------------------------------------------------
 
 

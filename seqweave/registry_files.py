@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import sequences as S
-from .registry import _MATES, _R, _letters_sql, _mates, doc_reads, letters, new_folder, query, table
+from .operators import kmers
+from .registry import _HITS, _MATES, _R, K, _letters_sql, _mates, benchmark_reads, doc_reads, letters, new_folder, query, table
 from .sources import sequences as io
 
 
@@ -96,3 +97,11 @@ def fastq_by_lines(spark, sf_dir):
     seqs = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("@q"), F.col("item_id").cast("string")).alias("name"), letters().alias("seq"))
     seqs.select(F.concat_ws("\n", "name", "seq", F.lit("+"), F.translate("seq", "ACGT", "@+I!")).alias("value")).write.text(path)
     return io.read_fastq_lines(spark, path)
+
+
+@query(f"{_HITS} SELECT doc_id FROM hit")
+def contaminant_file(spark, sf_dir):
+    """The contaminants come from a file of sequences."""
+    path = new_folder(spark, "contaminants")
+    io.write_fasta(benchmark_reads(spark, sf_dir).filter("length(seq) > 0").withColumnRenamed("item_id", "name"), path, width=70)
+    return kmers.with_contaminant(doc_reads(spark, sf_dir), io.read_fasta(spark, path), K, "doc_id")

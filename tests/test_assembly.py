@@ -8,7 +8,7 @@ from seqweave.functions import sequences as S
 from seqweave.operators import kmers, overlaps, paths, unitigs
 from seqweave.plans import closing, whole
 from seqweave.plans.assembly import covering_paths
-from seqweave.plans.stages import Config
+from seqweave.plans.stages import Config, run_stages
 
 K = 11
 
@@ -167,6 +167,16 @@ def test_whole_plan(spark, tmp_path):
     assert set(again) == {"counts", "unitigs", "matches"} and (tmp_path / "unitigs" / "_SUCCESS").stat().st_mtime_ns == before
 
 
+def test_piped_stages(spark, tmp_path):
+    """A stage that is piped isn't written; the result is the same."""
+    stages = [("a", lambda s, t: s.range(10)), ("b", lambda s, t: t["a"].filter("id > 3")), ("c", lambda s, t: t["b"].union(t["a"]))]
+    written, piped = run_stages(spark, str(tmp_path / "w"), stages), run_stages(spark, str(tmp_path / "p"), stages, piped=("b",))
+    assert sorted(r[0] for r in written["c"].collect()) == sorted(r[0] for r in piped["c"].collect())
+    assert (tmp_path / "w" / "b").exists() and not (tmp_path / "p" / "b").exists()
+    with pytest.raises(RuntimeError, match="fewer than 99"):
+        run_stages(spark, str(tmp_path / "w"), stages, least_rows={"c": 99})
+
+
 def test_gaps_closed_together(spark):
     """The larger k closes what reads cover well, the smaller one a gap where reads overlap by less; a hole stays."""
     g, h, other = brute.genome(500, 81), brute.genome(500, 82), brute.genome(400, 83)
