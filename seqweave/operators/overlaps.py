@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from ..plans.storage import materialize, small
 from .kmers import explode_kmers
 
 
@@ -59,13 +60,21 @@ def unitig_kmers(unitigs: DataFrame, k: int) -> DataFrame:
     return placed_kmers(unitigs, k, "ku").select("mer", "ku", F.col("at").alias("off"), F.col("flipped").alias("ku_flipped"))
 
 
+def unitig_index(unitigs: DataFrame, k: int) -> DataFrame:
+    """(mer, ku, off, ku_flipped) of the k-mers that occur once in all unitigs: one that occurs again would point nowhere."""
+    once = F.min(F.struct("ku", "off", "ku_flipped")).alias("x")
+    return unitig_kmers(unitigs, k).groupBy("mer").agg(F.count(F.lit(1)).alias("_n"), once).filter("_n = 1").select("mer", "x.*")
+
+
 def read_matches(reads: DataFrame, unitigs: DataFrame, k: int, *keys: str) -> DataFrame:
     """(keys, read_len, nth, ku, ahg, ori, hit_begin, hit_end): the unitigs along each read, an island of hits for each.
 
     A new island begins where unitig, strand or implied start changes, or a k-mer begins after the last hit's end.
-    ``hit_begin`` and ``hit_end`` are the island's place in the read. Reads are exploded once and probe the unitigs' k-mers.
+    ``hit_begin`` and ``hit_end`` are the island's place in the read. Reads are exploded once and probe the unitigs' k-mers,
+    which are unique, so a read's k-mer gives one hit at most; a small index is broadcast and the reads aren't shuffled.
     """
-    hits = placed_kmers(reads.withColumn("read_len", F.length("seq")), k, *keys, "read_len").join(unitig_kmers(unitigs, k), "mer")
+    index = small(materialize(unitig_index(unitigs, k), "index"))
+    hits = placed_kmers(reads.withColumn("read_len", F.length("seq")), k, *keys, "read_len").join(index, "mer")
     same = F.col("flipped") == F.col("ku_flipped")
     hits = hits.select(*keys, "read_len", "at", "ku", F.when(same, "F").otherwise("R").alias("ori"), F.when(same, F.col("off") - F.col("at")).otherwise(F.col("off") + F.col("at") + k).alias("start"))
     w = Window.partitionBy(*keys).orderBy("at", "ku", "start")
