@@ -29,7 +29,7 @@ SEQUENCE, SEGMENTS, LOSSES, END = 2048, 64, 1792, 1
 #: Share of a document's ids that is context where it has no prompt.
 CONTEXT = 0.25
 #: Documents that wait at a time, their ids at most, and words whose ids a task keeps.
-WINDOW, WINDOW_IDS, WORDS = 256, 1 << 21, 650_000
+WINDOW, WINDOW_IDS, WORDS = 256, 1 << 21, 1_200_000
 
 
 class WordTokenizer:
@@ -133,20 +133,20 @@ class Packer:
         limits[0] = tokens
         room, out = [tokens, int(limits[1]), int(limits[2])], []
         left, free = self.left.copy(), self.free.copy()
-        while room[0] > 0 and room[1] > 0:
-            bears = left - 1 - free  # END bears none
-            n = np.minimum(np.where(bears <= room[2], left, free + room[2]), room[0])
-            loss = np.maximum(np.minimum(n, left - 1) - free, 0)
-            share = room / limits
-            score = n * (share[0] / limits[0]) + loss * (share[2] / limits[2]) + share[1] / limits[1]
-            score[n <= 0] = -1
-            i = int(score.argmax()) if len(score) else -1
-            if i < 0 or score[i] < 0:
+        last = left - 1  # END bears none
+        while room[0] > 0 and room[1] > 0 and len(left):
+            n = np.minimum(np.where(last - free <= room[2], left, free + room[2]), room[0])
+            loss = np.maximum(np.minimum(n, last) - free, 0)
+            # A piece is one segment whichever it is, so that share tells none apart.
+            score = n * (room[0] / limits[0] ** 2) + loss * (room[2] / limits[2] ** 2)
+            i = int(score.argmax())
+            if n[i] <= 0:
                 break
             got, lost = int(n[i]), int(loss[i])
             out.append((i, got, lost))
             room = [room[0] - got, room[1] - 1, room[2] - lost]
             left[i] -= got
+            last[i] -= got
             free[i] = max(0, int(free[i]) - got)
         return out
 
