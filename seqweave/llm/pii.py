@@ -1,7 +1,8 @@
 """Surrogates for personal data.
 
 Entities are found by patterns: e-mail and network addresses, telephone, account, bank and social security numbers,
-secrets, and names after a title. Each is replaced by a surrogate that a secret key draws from (kind, normal form,
+secrets, and names after a title. A bare run of 13 to 19 digits is an account number if it has an issuer's first digit and its check digit holds, a word
+before it says so, or it stands beside another one; other long numbers stay. Each is replaced by a surrogate that a secret key draws from (kind, normal form,
 attempt): the same entity gets the same surrogate everywhere (coreference), in the form in which it stands (separators,
 letter case, script). A given name has the gender of its titles in the document, whichever of its mentions has them; if
 these tell none, that of the corpus's other documents, if they agree, and else the male form. Distinctness is checked over
@@ -54,6 +55,10 @@ _JOINTS = "-'’"
 _WORD = re.compile(r"(?<!\w)[^\W\d_][\w'’-]*+")
 _JOINED = re.compile(r"[^'’-]*+['’-]++|[^'’-]++")
 
+#: What names a bare number as one of an account, ahead of it, or as one more of such numbers.
+_ACCOUNT = re.compile(r"(?i)(?:account|acct|konto|compte|cuenta|card|karte|carte|tarjeta)\w{0,10}\W{0,3}(?:no|nr|num|number|nummer)?\W{0,3}$")
+_ONE_MORE = re.compile(r"(?i)\W{1,3}(?:(?:or|and|und|et|ou|y|o)\W{1,3})?")
+
 _ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 _SYLLABLES = {"latin": ("ba be da do ka ke la lo ma mi na no pa ra ri sa se ta to va".split(), "n r l s t m".split()), "cyrillic": ("ба бо да де ка ко ла ли ма ми на но па ра ро са се та то ва".split(), "н в р л м т".split()), "greek": ("βα δα δο κα κο λα λι μα μι να νο πα ρα ρο σα σε τα το φα θε".split(), "ς ν ς ρ ς ν".split())}
 
@@ -206,6 +211,11 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 continue
         else:
             norm = _digits(whole)
+            # A run of digits is an account's if its check digit holds, or what stands before it says so.
+            if kind == "account" and whole.isdigit() and not (norm[0] in "23456" and _luhn(norm)):
+                said = _ACCOUNT.search(text, max(0, m.start() - 40), m.start())
+                if not said and not (out and out[-1][2] == "account" and _ONE_MORE.fullmatch(text, out[-1][1], m.start())):
+                    continue
         out.append((m.start(), m.end(), kind, norm))
     taken = _Taken([(a, b) for a, b, _, _ in out])
     for m in _ASSIGNED.finditer(text):

@@ -248,7 +248,7 @@ def planted(rng):
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     word = lambda a, b: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(a, b)))
     kinds = {
-        "email": lambda: f"{word(1, 9)}.{digits(2)}@{word(2, 8)}.example.com", "phone": lambda: f"+{rng.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", "account": lambda: "4" + digits(15), "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "email": lambda: f"{word(1, 9)}.{digits(2)}@{word(2, 8)}.example.com", "phone": lambda: f"+{rng.randint(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}", "account": lambda: next(x for x in iter(lambda: "4" + digits(15), None) if pii._luhn(x)), "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
         "ip": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), "secret": lambda: "".join(rng.choice("0123456789abcdef") for _ in range(39)) + "f", "iban": lambda: "DE" + digits(20), "surname": lambda: word(3, 8).capitalize(),
     }
     text, places = "", []
@@ -296,6 +296,11 @@ def test_surrogates_of_planted_entities(spark):
     assert not {s for s in surrogate.values()} & {n for _, n in surrogate}
 
 
+def test_long_numbers_are_no_accounts_unless_something_says_so():
+    numbers = {x: [k for *_, k, _ in pii.find(x)] for x in ("at 4111111111111111 it", "at 4111111111111112 it", "Konto-Nr. 4111111111111112", "account number: 9807915762804490", "card 4111111111111112 or 9807915762804491", "4111 1111 1111 1112", "n 9807915762804490, 9807915762804491", "no account here, far from it and all that: 9807915762804490")}
+    assert list(numbers.values()) == [["account"], [], ["account"], ["account"], ["account", "account"], ["account"], [], []]
+
+
 def test_long_texts_without_blanks():
     import time
 
