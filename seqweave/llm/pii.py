@@ -1,13 +1,14 @@
 """Surrogates for personal data.
 
 Entities are found by patterns: e-mail and network addresses, telephone, account, bank and social security numbers,
-secrets, and names after a title. A bare run of 13 to 19 digits is an account number if it has an issuer's first digit and its check digit holds, a word
-before it says so, or it stands beside another one; other long numbers stay. Each is replaced by a surrogate that a secret key draws from (kind, normal form,
-attempt): the same entity gets the same surrogate everywhere (coreference), in the form in which it stands (separators,
-letter case, script). A given name has the gender of its titles in the document, whichever of its mentions has them; if
-these tell none, that of the corpus's other documents, if they agree, and else the male form. Distinctness is checked over
-the whole corpus: of entities that draw the same surrogate, or one that is itself an entity of the corpus, all but one draw
-again. Only those that had to draw again, and names whose gender other documents tell, are looked up when texts are
+secrets, and names after a title. A bare run of 13 to 19 digits is an account number if it has an issuer's first digit and
+its check digit holds, a word before it says so, or it stands beside another one; other long numbers stay. Each entity is
+replaced by a surrogate that a secret key draws from (kind, normal form, attempt): the same one gets the same surrogate
+everywhere (coreference), in the form in which it stands (separators, letter case, script). A given name has the gender of
+its titles in the document, whichever of its mentions has them; if these tell none, that of the corpus's other documents,
+if they agree, and else the male form. Distinctness is checked over the whole corpus: of entities that draw the same
+surrogate, or one that is itself an entity of the corpus, all but one draw again.
+Only those that had to draw again, and names whose gender other documents tell, are looked up when texts are
 rewritten; all others are drawn on the spot.
 """
 
